@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tilewright.functions import let
+
 
 def trunc(x: Column) -> Column:
     """Towards zero, as a bigint."""
@@ -90,21 +92,21 @@ def holds(x0: Column, y0: Column, x1: Column, y1: Column, x: Column, y: Column)
 # --- polygons ----------------------------------------------------------------------------------
 
 
-def xs(v: Column) -> Column:
-    return F.transform(v, lambda p: p["x"])
-
-
-def ys(v: Column) -> Column:
-    return F.transform(v, lambda p: p["y"])
-
-
 def polygon_box(v: Column) -> Column:
     """Corners, centre and size of the bounding box."""
-    x0, x1, y0, y1 = F.array_min(xs(v)), F.array_max(xs(v)), F.array_min(ys(v)), F.array_max(ys(v))
-    return F.struct(
-        x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"),
-        ((x0 + x1) / 2).alias("xc"), ((y0 + y1) / 2).alias("yc"), (x1 - x0).alias("w"), (y1 - y0).alias("h"),
+
+    def box(p: Column) -> Column:
+        x0, x1, y0, y1 = p["x0"], p["x1"], p["y0"], p["y1"]
+        return F.struct(
+            x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"),
+            ((x0 + x1) / 2).alias("xc"), ((y0 + y1) / 2).alias("yc"), (x1 - x0).alias("w"), (y1 - y0).alias("h"),
+        )
+
+    ends = lambda x, y: F.struct(
+        F.array_min(x).alias("x0"), F.array_max(x).alias("x1"), F.array_min(y).alias("y0"), F.array_max(y).alias("y1")
     )
+    # The fields of an array of structs are arrays already: v.x is read, not computed.
+    return let(let(v, lambda u: ends(u["x"], u["y"])), box)
 
 
 def _total(values: Column) -> Column:
@@ -113,14 +115,18 @@ def _total(values: Column) -> Column:
 
 def centroid(v: Column) -> Column:
     """Mean of all listed vertices (a repeated closing vertex counts twice)."""
-    return F.struct((_total(xs(v)) / F.size(v)).alias("x"), (_total(ys(v)) / F.size(v)).alias("y"))
+    mean = lambda c: _total(c) / F.size(c)
+    return let(v, lambda u: F.struct(mean(u["x"]).alias("x"), mean(u["y"]).alias("y")))
 
 
 def area(v: Column) -> Column:
     """Shoelace area; the last vertex joins the first."""
-    after = F.concat(F.slice(v, 2, F.size(v)), F.slice(v, 1, 1))
-    cross = F.zip_with(v, after, lambda p, q: (p["x"] * q["y"] - q["x"] * p["y"]).cast("double"))
-    return F.abs(_total(cross)) / 2
+
+    def doubled(u: Column) -> Column:
+        after = F.concat(F.slice(u, 2, F.size(u)), F.slice(u, 1, 1))
+        return _total(F.zip_with(u, after, lambda p, q: (p["x"] * q["y"] - q["x"] * p["y"]).cast("double")))
+
+    return F.abs(let(v, doubled)) / 2
 
 
 def clip_shift(v: Column, x0: Column, y0: Column, x1: Column, y1: Column, clip: bool = True) -> Column:
@@ -136,42 +142,53 @@ def rescale(v: Column, w0: Column, h0: Column, w1: Column, h1: Column) -> Column
 
 def midpoints(v: Column, times: int = 1) -> Column:
     """Insert the truncated midpoint between consecutive vertices, `times` times over; not closed."""
+    v = F.transform(v, lambda p: F.struct(trunc(p["x"]).alias("x"), trunc(p["y"]).alias("y"))) if times else v
     for _ in range(times):
-        v = _halve(v)
+        v = let(v, _halve)
     return v
 
 
 def _halve(v: Column) -> Column:
+    middle = lambda p, q, c: trunc((p[c] + q[c]) / 2).alias(c)
     pairs = F.zip_with(
-        F.slice(v, 1, F.size(v) - 1),
+        F.slice(v, 1, F.greatest(F.size(v) - 1, F.lit(0))),
         F.slice(v, 2, F.size(v)),
-        lambda p, q: F.array(
-            F.struct(trunc(p["x"]).alias("x"), trunc(p["y"]).alias("y")),
-            F.struct(trunc((p["x"] + q["x"]) / 2).alias("x"), trunc((p["y"] + q["y"]) / 2).alias("y")),
-        ),
+        lambda p, q: F.array(F.struct(p["x"], p["y"]), F.struct(middle(p, q, "x"), middle(p, q, "y"))),
     )
-    last = F.transform(F.slice(v, -1, 1), lambda p: F.struct(trunc(p["x"]).alias("x"), trunc(p["y"]).alias("y")))
-    return F.when(F.size(v) < 2, last).otherwise(F.concat(F.flatten(pairs), last))
+    return F.concat(F.flatten(pairs), F.slice(v, -1, 1))
 
 
 def with_corner(v: Column, tile_w: int, tile_h: int, eps: float = 0.005) -> Column:
     """The first time the outline jumps from one tile border to a perpendicular one, add that corner."""
 
-    def border(share):
-        return F.when(share.between(0, eps), 0.0).when(share.between(1 - eps, 1), 1.0)
-
-    def corner(p, q):
-        px, py = border(p["x"] / tile_w), border(p["y"] / tile_h)
-        qx, qy = border(q["x"] / tile_w), border(q["y"] / tile_h)
-        at = lambda x, y: F.struct((x * tile_w).cast("bigint").alias("x"), (y * tile_h).cast("bigint").alias("y"))
-        return F.when(px.isNotNull() & qy.isNotNull(), at(px, qy)).when(py.isNotNull() & qx.isNotNull(), at(qx, py))
-
-    n = F.size(v)
-    corners = F.zip_with(F.slice(v, 1, F.greatest(n - 1, F.lit(0))), F.slice(v, 2, n), corner)
-    jump = F.array_position(F.transform(corners, lambda c: c.isNotNull()), True).cast("int")
-    whole = F.transform(v, lambda p: F.struct(p["x"].cast("bigint").alias("x"), p["y"].cast("bigint").alias("y")))
-    first = F.slice(F.filter(corners, lambda c: c.isNotNull()), 1, 1)
-    return F.when(jump > 0, F.concat(F.slice(whole, 1, jump), first, F.slice(whole, jump + 1, n))).otherwise(whole)
+    def border(share: Column) -> Column:
+        return F.when(share.between(0, eps), 0).when(share.between(1 - eps, 1), 1)
+
+    def edges(p: Column) -> Column:
+        return F.struct(border(p["x"] / tile_w).alias("x"), border(p["y"] / tile_h).alias("y"))
+
+    def at(x: Column, y: Column) -> Column:
+        return F.struct((x * tile_w).cast("bigint").alias("x"), (y * tile_h).cast("bigint").alias("y"))
+
+    def corner(p: Column, q: Column) -> Column:
+        return let(
+            F.struct(edges(p).alias("p"), edges(q).alias("q")),
+            lambda e: F.when(e["p"]["x"].isNotNull() & e["q"]["y"].isNotNull(), at(e["p"]["x"], e["q"]["y"])).when(
+                e["p"]["y"].isNotNull() & e["q"]["x"].isNotNull(), at(e["q"]["x"], e["p"]["y"])
+            ),
+        )
+
+    def insert(u: Column, corners: Column) -> Column:
+        jump = F.array_position(F.transform(corners, lambda c: c.isNotNull()), True).cast("int")
+        return F.when(
+            jump > 0, F.concat(F.slice(u, 1, jump), F.slice(corners, jump, 1), F.slice(u, jump + 1, F.size(u)))
+        ).otherwise(u)
+
+    def bordered(u: Column) -> Column:
+        pairs = F.zip_with(F.slice(u, 1, F.greatest(F.size(u) - 1, F.lit(0))), F.slice(u, 2, F.size(u)), corner)
+        return let(pairs, lambda corners: insert(u, corners))
+
+    return let(F.transform(v, lambda p: F.struct(p["x"].cast("bigint").alias("x"), p["y"].cast("bigint").alias("y"))), bordered)
 
 
 def vertex_text(v: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.functions import geometry as g
+from tilewright.functions import once
 from tilewright.functions.draws import SEED, coin
 
 # What a configuration may name.
@@ -62,6 +64,11 @@ def at_least_tile(rects: DataFrame, tile_w: int, tile_h: int) -> DataFrame:
     return rects.filter((F.col("x1") - F.col("x0") >= tile_w) & (F.col("y1") - F.col("y0") >= tile_h))
 
 
+def min_area(objects: DataFrame, at_least: float = 40) -> DataFrame:
+    """Outlines with at least the given area, which is added as `area`."""
+    return once(objects, "area", g.area(F.col("vertices")), lambda a: a >= at_least)
+
+
 def by_confidence(preds: DataFrame, registry: DataFrame, model: str, task: str, classify: bool) -> DataFrame:
     """Detections at or above the registered model's threshold, tagged with its weights."""
     entry = registry.filter(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.functions.draws import SEED, draw, slot
@@ -12,10 +12,10 @@ from tilewright.operators.ranks import split_rank
 def confusion_matrix(df: DataFrame, n_classes: int) -> DataFrame:
     """(truth, predicted, share) for every pair of classes; shares are of all rows."""
     counts = df.groupBy("truth", "predicted").agg(F.count("*").alias("n"))
-    total = df.agg(F.count("*")).scalar()
     ids = F.array(*[F.lit(i) for i in range(n_classes)])
     grid = df.sparkSession.range(1).select(F.explode(ids).alias("truth")).withColumn("predicted", F.explode(ids))
     found = grid.join(F.broadcast(counts), ["truth", "predicted"], "left")  # n_classes² rows
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
     return found.select("truth", "predicted", (F.coalesce("n", F.lit(0)) / total).alias("share"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions import geometry as g
+from tilewright.functions import let
 
 
 def rects_from_features(df: DataFrame, features: str = "features") -> DataFrame:
@@ -110,16 +111,30 @@ def tile_polygons(df: DataFrame, tile: int, step: int, width: Column, height: Co
             F.least(g.trunc(p["x"]), width - 1).alias("x"), F.least(g.trunc(p["y"]), height - 1).alias("y")
         ),
     )
-    rows = df.withColumn("vertices", whole).withColumn("_b", g.polygon_box(F.col("vertices")))
-    rows = rows.withColumn("j", F.explode(g.touched_windows(F.col("_b.x0"), F.col("_b.x1"), width, tile, step, False)))
-    rows = rows.withColumn("i", F.explode(g.touched_windows(F.col("_b.y0"), F.col("_b.y1"), height, tile, step, False)))
-    left, top = F.col("j") * step, F.col("i") * step
-    inside = F.filter(
-        F.col("vertices"),
-        lambda p: (p["x"] >= left) & (p["x"] < left + tile) & (p["y"] >= top) & (p["y"] < top + tile),
-    )
-    moved = F.transform(inside, lambda p: F.struct((p["x"] - left).alias("x"), (p["y"] - top).alias("y")))
-    return rows.withColumn("vertices", moved).filter(F.size("vertices") > 0).drop("_b")
+
+    def piece(v: Column, i: Column, j: Column) -> Column:
+        left, top = j * step, i * step
+        inside = F.filter(
+            v, lambda p: (p["x"] >= left) & (p["x"] < left + tile) & (p["y"] >= top) & (p["y"] < top + tile)
+        )
+        return F.transform(inside, lambda p: F.struct((p["x"] - left).alias("x"), (p["y"] - top).alias("y")))
+
+    def pieces(v: Column, b: Column) -> Column:
+        rows = let(
+            F.struct(
+                g.touched_windows(b["x0"], b["x1"], width, tile, step, False).alias("j"),
+                g.touched_windows(b["y0"], b["y1"], height, tile, step, False).alias("i"),
+            ),
+            lambda w: F.flatten(F.transform(w["j"], lambda j: F.transform(
+                w["i"], lambda i: F.struct(i.alias("i"), j.alias("j"), piece(v, i, j).alias("vertices"))
+            ))),
+        )
+        return F.filter(rows, lambda r: F.size(r["vertices"]) > 0)
+
+    # One expression per object, so that nothing in it is worked out twice.
+    cut = let(whole, lambda v: let(g.polygon_box(v), lambda b: pieces(v, b)))
+    kept = [c for c in df.columns if c != "vertices"]
+    return df.select(*kept, F.explode(cut).alias("_r")).select(*kept, "_r.i", "_r.j", "_r.vertices")
 
 
 def normalise_vertices(df: DataFrame, tile: int) -> DataFrame:
@@ -141,5 +156,6 @@ def rasterise(df: DataFrame, cell: int, tile: int) -> DataFrame:
     )
     rows = df.filter(on_grid).withColumn("cell_x", F.explode(span(F.col("x0"), F.col("x0") + F.col("w"))))
     rows = rows.withColumn("cell_y", F.explode(span(F.col("y0"), F.col("y0") + F.col("h"))))
-    top = rows.groupBy("tile", "cell_x", "cell_y").agg(F.max(F.struct("obj", "class")).alias("_t"))
-    return top.select("tile", "cell_x", "cell_y", F.col("_t.obj").alias("object"), (F.col("_t.class") + 1).alias("class_mark"))
+    return rows.groupBy("tile", "cell_x", "cell_y").agg(
+        F.max("obj").alias("object"), (F.max_by("class", "obj") + 1).alias("class_mark")
+    )

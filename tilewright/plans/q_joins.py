@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tilewright.functions import geometry as g
 from tilewright.functions import names as nm
 from tilewright.operators import bags, folds, matching, merging, pairing, runs, tiling
-from tilewright.operators.ranks import group_rank
 from tilewright.plans import views as v
 from tilewright.plans.registry import query
 from tilewright.plans.q_sources import class_text
@@ -156,11 +155,9 @@ def j13(spark, d):
 
 
 @query("j14_crops_for_predictions", """
-    with k as (select tile, pred, conf, row_number() over (partition by tile order by pred) - 1 as k from preds)
-    select tile, pred, k, conf, tile || '_crop' || k as crop, md5(tile || '_crop' || k) as digest from k where (tile + k) % 3 <> 0""")
+    select tile, pred as k, conf, tile || '_crop' || pred as crop, md5(tile || '_crop' || pred) as digest from preds where (tile + pred) % 3 <> 0""")
 def j14(spark, d):
-    ranked = group_rank(v.preds(spark, d).select("tile", "pred", "conf"), ["tile"], [F.shiftright("pred", 8)], ["pred"])
-    rows = ranked.select("tile", "pred", "conf", (F.col("rank") - 1).alias("k"))
+    rows = v.preds(spark, d).select("tile", F.col("pred").alias("k"), "conf")
     # The crop files of two thirds of the predictions; tile and number are read back from the names.
     name = nm.crop_name(F.col("tile").cast("string"), F.col("k"))
     listed = rows.filter("(tile + k) % 3 <> 0").select(name.alias("crop")).withColumn("digest", F.md5("crop"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tilewright.functions import classes as cl
+from tilewright.functions import once
 from tilewright.functions import geometry as g
 from tilewright.functions import names as nm
 from tilewright.functions import text as tx
@@ -85,7 +86,7 @@ def f8(spark, d):
     select tile, obj, abs(sum(x * coalesce(ny, fy) - coalesce(nx, fx) * y))::double / 2 as area
     from n group by tile, obj having abs(sum(x * coalesce(ny, fy) - coalesce(nx, fx) * y))::double / 2 >= 20000""")
 def f9(spark, d):
-    return v.objects(spark, d).select("tile", "obj", g.area(F.col("vertices")).alias("area")).filter("area >= 20000")
+    return lb.min_area(v.objects(spark, d), 20000).select("tile", "obj", "area")
 
 
 @query("f10_conf_filter", "select tile, pred, conf, 'detection_classes.pt' as weights from preds where conf >= 0.425")
@@ -208,7 +209,7 @@ def p7(spark, d):
     select tile, obj, class, class as class_fine, (min(x) + max(x)) / 2.0 as xc, (min(y) + max(y)) / 2.0 as yc,
            max(x) - min(x) as w, max(y) - min(y) as h from vertices group by tile, obj, class""")
 def p8(spark, d):
-    rows = v.objects(spark, d).select("tile", "obj", "class", F.col("class").alias("class_fine"), g.polygon_box(F.col("vertices")).alias("b"))
+    rows = once(v.objects(spark, d).withColumn("class_fine", F.col("class")), "b", g.polygon_box(F.col("vertices")))
     return rows.select("tile", "obj", "class", "class_fine", "b.xc", "b.yc", "b.w", "b.h")
 
 

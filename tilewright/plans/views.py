@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tilewright.functions import once
 from tilewright.operators.ranks import HOT_ROWS, group_rank, hot_cold, hot_keys, split_rank
 
 TILE = 2048
@@ -117,7 +118,8 @@ def objects(spark: SparkSession, d: str) -> DataFrame:
     at = lambda start, size, half: F.col(start) + F.floor(F.col(size) * half / 2.0)
     ring = [(0, 0), (1, 0), (2, 0), (2, 1), (2, 2), (1, 2), (0, 2), (0, 1), (0, 0)]
     vertices = F.array(*[F.struct(at("sx0", "w", a).alias("x"), at("sy0", "h", b).alias("y")) for a, b in ring])
-    return boxes(spark, d).select("tile", "slide", "obj", "class", vertices.alias("vertices"))
+    rows = boxes(spark, d).select("tile", "slide", "obj", "class", "sx0", "sy0", "w", "h")
+    return once(rows, "vertices", vertices).drop("sx0", "sy0", "w", "h")
 
 
 def instances(spark: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions import geometry as g
-from tilewright.functions import names
+from tilewright.functions import let
+from tilewright.functions import names, once
 
 
 def manifest_rows(files: DataFrame, path: str = "path", size: str = "length") -> DataFrame:
@@ -29,10 +30,10 @@ def dataset_manifest(spark: SparkSession, root: str, glob: str = "*") -> DataFra
 
 def label_lines(df: DataFrame, text: str, *keys: str) -> DataFrame:
     """Text of label files to rows: class, and 4 (box) or more (outline) numbers. The class is the first token."""
-    lines = df.select(*keys, F.posexplode(F.split(text, "\n")).alias("line_n", "line")).filter(F.trim("line") != "")
-    tokens = F.split(F.trim("line"), r"\s+")
-    numbers = F.transform(F.slice(tokens, 2, F.size(tokens)), lambda t: t.cast("double"))
-    return lines.select(*keys, "line_n", F.get(tokens, 0).cast("double").cast("int").alias("class"), numbers.alias("numbers"))
+    lines = df.select(*keys, F.posexplode(F.split(text, "\n")).alias("line_n", "line"))
+    rows = once(lines, "_t", F.split(F.trim("line"), r"\s+"), lambda t: F.get(t, 0) != "")
+    numbers = F.transform(F.slice("_t", 2, F.size("_t")), lambda t: t.cast("double"))
+    return rows.select(*keys, "line_n", F.get("_t", 0).cast("double").cast("int").alias("class"), numbers.alias("numbers"))
 
 
 def label_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -92,7 +93,7 @@ def feature_table(df: DataFrame, key: str, vector: str) -> DataFrame:
 
 def boxes_of_lines(rows: DataFrame) -> DataFrame:
     """Label rows to centre-form boxes; outlines become their bounding box."""
-    box = g.box_from_numbers(F.col("numbers"))
-    outline = g.polygon_box(g.polygon_from_numbers(F.col("numbers")))
-    part = lambda f: F.coalesce(box[f], outline[f]).alias(f)
-    return rows.select(*[c for c in rows.columns if c != "numbers"], part("xc"), part("yc"), part("w"), part("h"))
+    outline = let(g.polygon_box(g.polygon_from_numbers(F.col("numbers"))), lambda b: F.struct(b["xc"], b["yc"], b["w"], b["h"]))
+    box = F.when(F.size("numbers").isin(4, 8), g.box_from_numbers(F.col("numbers"))).otherwise(outline)
+    kept = [c for c in rows.columns if c != "numbers"]
+    return once(rows, "_b", box).select(*kept, "_b.xc", "_b.yc", "_b.w", "_b.h")
