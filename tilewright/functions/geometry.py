@@ -142,7 +142,6 @@ def rescale(v: Column, w0: Column, h0: Column, w1: Column, h1: Column) -> Column
 
 def midpoints(v: Column, times: int = 1) -> Column:
     """Insert the truncated midpoint between consecutive vertices, `times` times over; not closed."""
-    v = F.transform(v, lambda p: F.struct(trunc(p["x"]).alias("x"), trunc(p["y"]).alias("y"))) if times else v
     for _ in range(times):
         v = let(v, _halve)
     return v
@@ -171,11 +170,8 @@ def with_corner(v: Column, tile_w: int, tile_h: int, eps: float = 0.005) -> Colu
         return F.struct((x * tile_w).cast("bigint").alias("x"), (y * tile_h).cast("bigint").alias("y"))
 
     def corner(p: Column, q: Column) -> Column:
-        return let(
-            F.struct(edges(p).alias("p"), edges(q).alias("q")),
-            lambda e: F.when(e["p"]["x"].isNotNull() & e["q"]["y"].isNotNull(), at(e["p"]["x"], e["q"]["y"])).when(
-                e["p"]["y"].isNotNull() & e["q"]["x"].isNotNull(), at(e["q"]["x"], e["p"]["y"])
-            ),
+        return F.when(p["x"].isNotNull() & q["y"].isNotNull(), at(p["x"], q["y"])).when(
+            p["y"].isNotNull() & q["x"].isNotNull(), at(q["x"], p["y"])
         )
 
     def insert(u: Column, corners: Column) -> Column:
@@ -185,15 +181,20 @@ def with_corner(v: Column, tile_w: int, tile_h: int, eps: float = 0.005) -> Colu
         ).otherwise(u)
 
     def bordered(u: Column) -> Column:
-        pairs = F.zip_with(F.slice(u, 1, F.greatest(F.size(u) - 1, F.lit(0))), F.slice(u, 2, F.size(u)), corner)
-        return let(pairs, lambda corners: insert(u, corners))
+        steps = lambda e: F.zip_with(F.slice(e, 1, F.greatest(F.size(e) - 1, F.lit(0))), F.slice(e, 2, F.size(e)), corner)
+        return let(let(F.transform(u, edges), steps), lambda corners: insert(u, corners))
 
-    return let(F.transform(v, lambda p: F.struct(p["x"].cast("bigint").alias("x"), p["y"].cast("bigint").alias("y"))), bordered)
+    def reaches(c: Column, size: int) -> Column:
+        return (F.array_min(c) <= eps * size) | (F.array_max(c) >= (1 - eps) * size)
+
+    whole = F.transform(v, lambda p: F.struct(p["x"].cast("bigint").alias("x"), p["y"].cast("bigint").alias("y")))
+    # Few outlines come near borders of both directions; the others stay as they are.
+    return let(whole, lambda u: F.when(reaches(u["x"], tile_w) & reaches(u["y"], tile_h), bordered(u)).otherwise(u))
 
 
 def vertex_text(v: Column) -> Column:
-    """`x1 y1 x2 y2 …`"""
-    return F.array_join(F.transform(v, lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))), " ")
+    """`[{x1, y1}, {x2, y2}, …]`"""
+    return v.cast("string")
 
 
 def polygon_from_numbers(v: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions.draws import SEED
 from tilewright.operators.sampling import split_stratified
+from tilewright.session import checkpointed
 
 
 def one_hot_clinical(df: DataFrame, values: dict[str, list]) -> DataFrame:
@@ -31,8 +32,11 @@ def fit_tree(df: DataFrame, features: list[str], key: str, label: str = "label",
 
 
 def fit_bags(df: DataFrame, key: str = "bag", vector: str = "pooled", label: str = "label", test: float = 0.3, seed: int = SEED):
-    """Multinomial logistic regression of the bag label on the pooled vector."""
-    split = split_stratified(df, key, label, test, seed).withColumns(
+    """Multinomial logistic regression of the bag label on the pooled vector.
+
+    The split and the fit pass over the pooled vectors many times, so they are written out first.
+    """
+    split = split_stratified(checkpointed(df.select(key, vector, label)), key, label, test, seed).withColumns(
         {"_y": F.col(label).cast("double"), "_x": array_to_vector(F.transform(vector, lambda x: x.cast("double")))}
     )
     train, held = split.filter("fold = 'train'"), split.filter("fold = 'test'")

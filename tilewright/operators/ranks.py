@@ -48,8 +48,16 @@ def hot_keys(df: DataFrame, by: list[str], rows: int) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > rows).select(*by)
 
 
-def hot_cold(df: DataFrame, by: list[str], rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
-    hot = F.broadcast(hot_keys(df, by, rows))
+def hot_cold(df: DataFrame, by: list[str], rows: int = HOT_ROWS) -> tuple[DataFrame | None, DataFrame]:
+    """(rows of hot groups or None, all other rows).
+
+    A counting job over the key columns runs here and now; where it finds no hot group, as is usual, the
+    caller builds its plan for ordinary groups only.
+    """
+    keys = hot_keys(df, by, rows)
+    if keys.isEmpty():
+        return None, df
+    hot = F.broadcast(keys)
     return df.join(hot, by, "left_semi"), df.join(hot, by, "left_anti")
 
 
@@ -59,7 +67,7 @@ def group_rank(
     """Row number in each group: one window for ordinary groups, `split_rank` for hot ones."""
     hot, cold = hot_cold(df, by, rows)
     plain = cold.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("bigint"))
-    return plain.unionByName(split_rank(hot, by, slices, order, out))
+    return plain if hot is None else plain.unionByName(split_rank(hot, by, slices, order, out))
 
 
 def global_rank(df: DataFrame, order: list[str], out: str = "rank") -> DataFrame:

@@ -112,21 +112,23 @@ def tile_polygons(df: DataFrame, tile: int, step: int, width: Column, height: Co
         ),
     )
 
-    def piece(v: Column, i: Column, j: Column) -> Column:
-        left, top = j * step, i * step
+    def windows(lo: Column, hi: Column, dim: Column, name: str) -> Column:
+        span = lambda k: F.struct(k.alias(name), (k * step).alias("lo"), (k * step + tile).alias("hi"))
+        return F.transform(g.touched_windows(lo, hi, dim, tile, step, False), span)
+
+    def piece(v: Column, b: Column, i: Column, j: Column) -> Column:
+        whole = (b["x0"] >= j["lo"]) & (b["x1"] < j["hi"]) & (b["y0"] >= i["lo"]) & (b["y1"] < i["hi"])
         inside = F.filter(
-            v, lambda p: (p["x"] >= left) & (p["x"] < left + tile) & (p["y"] >= top) & (p["y"] < top + tile)
+            v, lambda p: (p["x"] >= j["lo"]) & (p["x"] < j["hi"]) & (p["y"] >= i["lo"]) & (p["y"] < i["hi"])
         )
-        return F.transform(inside, lambda p: F.struct((p["x"] - left).alias("x"), (p["y"] - top).alias("y")))
+        shift = lambda p: F.struct((p["x"] - j["lo"]).alias("x"), (p["y"] - i["lo"]).alias("y"))
+        return F.transform(F.when(whole, v).otherwise(inside), shift)
 
     def pieces(v: Column, b: Column) -> Column:
         rows = let(
-            F.struct(
-                g.touched_windows(b["x0"], b["x1"], width, tile, step, False).alias("j"),
-                g.touched_windows(b["y0"], b["y1"], height, tile, step, False).alias("i"),
-            ),
+            F.struct(windows(b["x0"], b["x1"], width, "j").alias("j"), windows(b["y0"], b["y1"], height, "i").alias("i")),
             lambda w: F.flatten(F.transform(w["j"], lambda j: F.transform(
-                w["i"], lambda i: F.struct(i.alias("i"), j.alias("j"), piece(v, i, j).alias("vertices"))
+                w["i"], lambda i: F.struct(i["i"].alias("i"), j["j"].alias("j"), piece(v, b, i, j).alias("vertices"))
             ))),
         )
         return F.filter(rows, lambda r: F.size(r["vertices"]) > 0)

@@ -283,7 +283,7 @@ def w1(spark, d):
     with a as (select *, lead(x) over w as nx, lead(y) over w as ny from vertices window w as (partition by tile, obj order by ord)),
          b as (select tile, obj, ord * 2 as ord, x, y from a union all
                select tile, obj, ord * 2 + 1, trunc((x + nx) / 2.0)::bigint, trunc((y + ny) / 2.0)::bigint from a where nx is not null)
-    select tile, obj, count(*)::int as n, string_agg(x || ' ' || y, ' ' order by ord) as ring from b group by tile, obj""")
+    select tile, obj, count(*)::int as n, '[' || string_agg('{' || x || ', ' || y || '}', ', ' order by ord) || ']' as ring from b group by tile, obj""")
 def w2(spark, d):
     more = g.midpoints(F.col("vertices"))
     rows = v.objects(spark, d).select("tile", "obj", more.alias("m"))
@@ -296,9 +296,9 @@ def w2(spark, d):
          s as (select *, case when x <= 0.15::double * 2048 then 0 when x >= 0.85::double * 2048 then 1 end as bx,
                          case when y <= 0.15::double * 2048 then 0 when y >= 0.85::double * 2048 then 1 end as by_ from p),
          l as (select *, lag(bx) over w as lx, lag(by_) over w as ly from s window w as (partition by tile, obj, i, j order by ord)),
-         h as (select *, case when lx is not null and by_ is not null then (lx * 2048) || ' ' || (by_ * 2048) when ly is not null and bx is not null then (bx * 2048) || ' ' || (ly * 2048) end as corner from l),
+         h as (select *, case when lx is not null and by_ is not null then '{' || (lx * 2048) || ', ' || (by_ * 2048) || '}' when ly is not null and bx is not null then '{' || (bx * 2048) || ', ' || (ly * 2048) || '}' end as corner from l),
          f as (select *, row_number() over (partition by tile, obj, i, j, corner is not null order by ord) as nth from h)
-    select tile, obj, i::int as i, j::int as j, string_agg(case when corner is not null and nth = 1 then corner || ' ' || x || ' ' || y else x || ' ' || y end, ' ' order by ord) as ring
+    select tile, obj, i::int as i, j::int as j, '[' || string_agg(case when corner is not null and nth = 1 then corner || ', ' else '' end || '{' || x || ', ' || y || '}', ', ' order by ord) || ']' as ring
     from f group by tile, obj, i, j""")
 def w3(spark, d):
     # Borders this wide make jumps common in the stand-in outlines; the default is 0.005.

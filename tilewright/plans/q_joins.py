@@ -37,7 +37,7 @@ def j2_paired(spark, d):
 @query("j3_assign_objects_to_samples", """
     with c as (select tile, slide, obj, class, avg(x) as cx, avg(y) as cy from vertices group by tile, slide, obj, class)
     select c.tile, c.slide, c.obj, r.sample_n, case c.class when 0 then 'Glomerulus' else 'Glo-NA' end as class_name,
-           string_agg((least(greatest(x, x0), x1) - x0) || ' ' || (least(greatest(y, y0), y1) - y0), ' ' order by ord) as ring
+           '[' || string_agg('{' || (least(greatest(x, x0), x1) - x0) || ', ' || (least(greatest(y, y0), y1) - y0) || '}', ', ' order by ord) || ']' as ring
     from c join rects r on r.slide = c.slide and cx between x0 and x1 and cy between y0 and y1
     join vertices v on v.tile = c.tile and v.obj = c.obj where c.class <> 2 group by c.tile, c.slide, c.obj, r.sample_n, c.class""")
 def j3(spark, d):
@@ -63,7 +63,7 @@ def j4(spark, d):
 
 POLYGONS_SQL = """
     select slide, tile, obj, class, i::int as i, j::int as j, count(*)::int as n,
-           string_agg((x - j * 1024) || ' ' || (y - i * 1024), ' ' order by ord) as ring
+           '[' || string_agg('{' || (x - j * 1024) || ', ' || (y - i * 1024) || '}', ', ' order by ord) || ']' as ring
     from vertices join range(0, 5) tj(j) on x >= j * 1024 and x < j * 1024 + 2048
     join range(0, 3) ti(i) on y >= i * 1024 and y < i * 1024 + 2048 group by all"""
 

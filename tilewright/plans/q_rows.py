@@ -233,7 +233,7 @@ def p10(spark, d):
 
 
 @query("p11_clip_translate_to_sample", """
-    select v.tile, v.obj, string_agg((least(greatest(x, x0), x1) - x0) || ' ' || (least(greatest(y, y0), y1) - y0), ' ' order by ord) as ring
+    select v.tile, v.obj, '[' || string_agg('{' || (least(greatest(x, x0), x1) - x0) || ', ' || (least(greatest(y, y0), y1) - y0) || '}', ', ' order by ord) || ']' as ring
     from vertices v join rects r on r.slide = v.slide and r.sample_n = v.slide % 3 group by v.tile, v.obj""")
 def p11(spark, d):
     own = v.rects(spark, d).filter("sample_n = slide % 3")
@@ -243,7 +243,7 @@ def p11(spark, d):
 
 
 @query("p12_rescale_to_level", """
-    select tile, obj, string_agg(trunc(x / 6144.0::double * 1000)::bigint || ' ' || trunc(y / 4096.0::double * 700)::bigint, ' ' order by ord) as ring
+    select tile, obj, '[' || string_agg('{' || trunc(x / 6144.0::double * 1000)::bigint || ', ' || trunc(y / 4096.0::double * 700)::bigint || '}', ', ' order by ord) || ']' as ring
     from vertices group by tile, obj""")
 def p12(spark, d):
     moved = g.rescale(F.col("vertices"), F.lit(v.SLIDE_W), F.lit(v.SLIDE_H), F.lit(1000), F.lit(700))

@@ -46,7 +46,7 @@ def s2(spark, d):
 
 @query("s3_annotation_objects", f"""
     select form, tile, obj, class_name, ring, n::int as n from (
-      select tile, obj, {NAME_SQL} as class_name, string_agg(x || ' ' || y, ' ' order by ord) as ring, count(*) as n
+      select tile, obj, {NAME_SQL} as class_name, '[' || string_agg('{{' || x || ', ' || y || '}}', ', ' order by ord) || ']' as ring, count(*) as n
       from vertices group by tile, obj, class)
     cross join (values ('collection'), ('gson')) t(form)""")
 def s3(spark, d):

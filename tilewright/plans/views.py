@@ -64,10 +64,12 @@ def boxes(spark: SparkSession, d: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     hot, cold = hot_cold(line, ["tile"], hot_rows)
     in_tile = Window.partitionBy("tile").orderBy(*order)
     plain = cold.withColumn("obj", F.row_number().over(in_tile).cast("bigint")).join(owner, "tile")
-    slices = [F.col("l_linenumber"), F.shiftright("l_partkey", 10)]
-    crowded = split_rank(hot, ["tile"], slices, order, "obj")
-    few = owner.join(F.broadcast(hot_keys(line, ["tile"], hot_rows)), "tile", "left_semi")  # one row per hot tile
-    rows = plain.unionByName(crowded.join(F.broadcast(few), "tile"))
+    rows = plain
+    if hot is not None:
+        slices = [F.col("l_linenumber"), F.shiftright("l_partkey", 10)]
+        crowded = split_rank(hot, ["tile"], slices, order, "obj")
+        few = owner.join(F.broadcast(hot_keys(line, ["tile"], hot_rows)), "tile", "left_semi")  # one row per hot tile
+        rows = plain.unionByName(crowded.join(F.broadcast(few), "tile"))
     p, s, k = F.col("l_partkey"), F.col("l_suppkey"), F.col("obj")
     shaped = rows.select(
         "tile", "slide", "obj", _class().alias("class"),

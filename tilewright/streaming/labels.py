@@ -13,8 +13,8 @@ from tilewright.operators.labels import first_lines, lines_of
 
 def label_files(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     raw = (
-        spark.readStream.option("wholetext", "true").option("maxFilesPerTrigger", files_per_batch)
-        .option("pathGlobFilter", "*.txt").text(path)
+        spark.readStream.option("maxFilesPerTrigger", files_per_batch)
+        .text(path, wholetext=True, pathGlobFilter="*.txt")
     )
     return raw.select(names.stem(F.col("_metadata.file_name")).alias("name"), "value")
 
