@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import geometry as g
 
-CELL = 512
+# Pixels. Smaller cells compare fewer pairs in crowded tiles, larger ones file a box under fewer cells.
+CELL = 256
 
 
 def _cell(x: Column, cell: int) -> Column:

@@ -321,7 +321,7 @@ def w5(spark, d):
     return folds.grouped_folds(v.tiles(spark, d), "slide", 4).select("tile", "slide", "fold_n")
 
 
-@query("w5_fold_balance", GROUPED_SQL + """
+@query("w5_fold_balance", GROUPED_SQL.replace("from slides", "from (select distinct slide from objs)") + """
     select s::int as split, case when s = fold_n then 'val' else 'train' end as fold, class, count(*) as n
     from objs join f using (slide) cross join range(0, 4) t(s) group by all""")
 def w5_balance(spark, d):

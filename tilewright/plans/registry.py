@@ -34,7 +34,7 @@ VIEWS = {
     "preds": """select tile, slide, obj as pred, x0 + (tile * 7 + obj) % 61 - 30 as x0, y0 + (tile * 11 + obj) % 61 - 30 as y0,
                w::bigint as w, h, ((tile * 31 + obj * 17) % 1000)::double / 1000.0::double as conf from boxes where (tile + obj) % 10 <> 0
         union all
-        select tile, slide, obj + 100, 1900, 1900, 100, 100, ((tile * 13 + obj) % 1000)::double / 1000.0::double from boxes where (tile + obj) % 11 = 0""",
+        select tile, slide, obj + 1000000000000, 1900, 1900, 100, 100, ((tile * 13 + obj) % 1000)::double / 1000.0::double from boxes where (tile + obj) % 11 = 0""",
     "rects": """select slide, k as sample_n, k * 2048 as x0, 0 as y0, (k + 1) * 2048 as x1, 4096 as y1
         from slides cross join (values (0), (1), (2)) t(k)""",
     "vertices": """select tile, slide, obj, class, k as ord, sx0 + cast(floor(w * fx / 2.0) as bigint) as x, sy0 + cast(floor(h * fy / 2.0) as bigint) as y

@@ -91,14 +91,17 @@ def shares(df: DataFrame) -> DataFrame:
 
 
 def preds(spark: SparkSession, d: str) -> DataFrame:
-    """Shifted copies of nine boxes in ten, and a false one for every eleventh: one pass over the boxes."""
+    """Shifted copies of nine boxes in ten, and a false one for every eleventh: one pass over the boxes.
+
+    False ones are numbered far above the objects, so that (tile, pred) stays a key in crowded tiles.
+    """
     t, o = F.col("tile"), F.col("obj")
     row = lambda pred, x, y, w, h, conf: F.struct(
         pred.alias("pred"), x.cast("bigint").alias("x0"), y.cast("bigint").alias("y0"),
         w.cast("bigint").alias("w"), h.cast("bigint").alias("h"), (conf / 1000.0).alias("conf"),
     )
     copy = row(o, F.col("x0") + (t * 7 + o) % 61 - 30, F.col("y0") + (t * 11 + o) % 61 - 30, F.col("w"), F.col("h"), (t * 31 + o * 17) % 1000)
-    false = row(o + 100, F.lit(1900), F.lit(1900), F.lit(100), F.lit(100), (t * 13 + o) % 1000)
+    false = row(o + 10**12, F.lit(1900), F.lit(1900), F.lit(100), F.lit(100), (t * 13 + o) % 1000)
     both = F.filter(
         F.array(F.when((t + o) % 10 != 0, copy), F.when((t + o) % 11 == 0, false)), lambda r: r.isNotNull()
     )
