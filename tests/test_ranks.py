@@ -50,7 +50,7 @@ def test_global_rank(spark):
 @pytest.mark.parametrize("cut", [0, 1, 299, 1000, 5000])
 def test_parts_by_draw(skewed, cut):
     df = skewed.filter("g = 0").drop("d")
-    got = ranks.parts_by_draw(df, draw("id"), "id", [lambda n, _: F.lit(cut)])
+    got = ranks.parts_by_draw(df, draw("id"), "id", [lambda *_: F.lit(cut)])
     want = df.withColumn("r", F.row_number().over(Window.orderBy(draw("id"), "id"))).filter(F.col("r") <= cut)
     first = got.filter("part = 0").select("id")
     assert first.count() == min(cut, 1000) and first.exceptAll(want.select("id")).isEmpty()

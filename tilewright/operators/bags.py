@@ -88,11 +88,9 @@ def bag_summary(bags: DataFrame, features: DataFrame, labelled: DataFrame) -> Da
         F.min(F.array_min(v)).cast("double").alias("feat_min"), F.max(F.array_max(v)).cast("double").alias("feat_max"),
         (F.sum(total) / F.sum(F.size(v))).alias("feat_mean"),
     )
-    of_labels = labelled.agg(F.count("*").alias("n_bags"), F.sum("label").alias("n_positive"))
-    return of_features.select(
-        of_labels.select("n_bags").scalar().alias("n_bags"), of_labels.select("n_positive").scalar().alias("n_positive"),
-        (of_labels.select(F.col("n_bags") - F.col("n_positive")).scalar()).alias("n_negative"), "*",
-    )
+    n, positive = F.count("*"), F.sum("label")
+    of_labels = labelled.agg(F.struct(n.alias("n_bags"), positive.alias("n_positive"), (n - positive).alias("n_negative")).alias("l"))
+    return of_features.withColumn("_l", of_labels.scalar()).select("_l.*", "feat_min", "feat_max", "feat_mean")
 
 
 def bag_vectors(bags: DataFrame, features: DataFrame) -> DataFrame:

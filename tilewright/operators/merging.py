@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,9 +13,8 @@ def merge_datasets(first: DataFrame, second: DataFrame, keys: list[str]) -> Data
 
 def merge_gap(first: DataFrame, second: DataFrame, merged: DataFrame, slack: int = 6) -> DataFrame:
     """One row: sizes and whether the merged one is within `slack` of the sum."""
-    n = lambda df, name: df.agg(F.count("*").alias(name)).withColumn("_k", F.lit(0))
-    parts = [n(first, "n_first"), n(second, "n_second"), n(merged, "n_merged")]
-    row = reduce(lambda a, b: a.join(b, "_k"), parts).drop("_k")
+    n = lambda df: df.agg(F.count("*").alias("n"))
+    row = n(first).withColumnRenamed("n", "n_first").withColumns({"n_second": n(second).scalar(), "n_merged": n(merged).scalar()})
     return row.withColumn("ok", F.abs(F.col("n_first") + F.col("n_second") - F.col("n_merged")) < slack)
 
 

@@ -92,13 +92,15 @@ def parts_by_draw(
     df: DataFrame,
     drawn: Column,
     tie: str,
-    cuts: list[Callable[[Column, Column], Column]],
+    cuts: list[Callable[[Column, Column, Column], Column]],
     by: list[str] = (),
     out: str = "part",
+    sizes_as: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Split each group at given ranks of a random order: part 0 holds the first cut's rows, and so on.
 
-    `cuts` are functions of (rows of the group, rows of the table), in rising order. Nothing is ranked
+    `cuts` are functions of (rows of the group, rows of the table, rows of the largest group), in rising
+    order. `sizes_as` names two columns for the group's and the largest group's size. Nothing is ranked
     but the hex slots that hold a cut: slot sizes locate it, the rows of that slot give its key, and every
     row is then compared with the cut keys, so the table itself is never shuffled. `by` must be a
     handful of groups (classes, a flag): the cut keys are broadcast, one row per group.
@@ -115,8 +117,9 @@ def parts_by_draw(
         F.sum("_c").over(running).alias("_hi"),
         F.sum("_c").over(group).alias("_n"),
         F.sum("_c").over(table).alias("_all"),
-    )
-    at = [F.least(F.greatest(c(F.col("_n"), F.col("_all")).cast("bigint"), F.lit(0)), F.col("_n")) for c in cuts]
+    ).withColumn("_most", F.max("_n").over(table))
+    given = [F.col("_n"), F.col("_all"), F.col("_most")]
+    at = [F.least(F.greatest(c(*given).cast("bigint"), F.lit(0)), F.col("_n")) for c in cuts]
     wanted = (
         spans.select(*by, "_s", "_lo", "_hi", F.posexplode(F.array(*at)).alias("_i", "_cut"))
         .filter((F.col("_cut") > F.col("_lo")) & (F.col("_cut") <= F.col("_hi")))
@@ -133,6 +136,9 @@ def parts_by_draw(
     here = F.struct(F.col("_d"), F.col(tie).alias("_t"))
     rows = df.withColumn("_d", drawn)
     if by:
+        if sizes_as:
+            totals = spans.groupBy(*by).agg(F.max("_n").alias(sizes_as[0]), F.max("_most").alias(sizes_as[1]))
+            keys = totals.join(keys, by, "left")
         rows = rows.join(F.broadcast(keys), by, "left")
         limits = [F.col(f"_k{i}") for i in range(len(cuts))]
     else:

@@ -18,11 +18,11 @@ def split_random(df: DataFrame, key: str, ratio: list[float], seed: int = SEED,
 
     Whole slides are cut with int() for test; tiles with round() (`round_test`).
     """
-    val = lambda n, _: F.bround(F.lit(float(ratio[1])) * n)
+    val = lambda n, *_: F.bround(F.lit(float(ratio[1])) * n)
     cuts, names = [val], ["val", "train"]
     if len(ratio) == 3:
-        test = lambda n, _: F.lit(float(ratio[2])) * n
-        cuts.append(lambda n, a: val(n, a) + (F.bround(test(n, a)) if round_test else F.floor(test(n, a))))
+        test = lambda n: F.lit(float(ratio[2])) * n
+        cuts.append(lambda n, *_: val(n) + (F.bround(test(n)) if round_test else F.floor(test(n))))
         names = ["val", "test", "train"]
     return _named(parts_by_draw(df, draw(key, seed=seed), key, cuts), names)
 
@@ -36,7 +36,7 @@ def split_with_empties(tiles: DataFrame, key: str, ratio: list[float], empty_sha
     def train_size(full):
         return full - F.bround(F.lit(float(ratio[1])) * full) - F.bround(F.lit(float(ratio[2])) * full)
 
-    def extra(n, everything):
+    def extra(n, everything, _):
         wished = F.floor(train_size(everything - n) * (1 + empty_share))
         return F.floor(F.lit(float(empty_share)) * wished)
 
@@ -44,7 +44,7 @@ def split_with_empties(tiles: DataFrame, key: str, ratio: list[float], empty_sha
     test = lambda n: F.bround(F.lit(float(ratio[2])) * n)
     full = _named(
         parts_by_draw(tiles.filter("not is_empty"), draw(key, seed=seed), key,
-                      [lambda n, _: val(n), lambda n, _: val(n) + test(n)]),
+                      [lambda n, *_: val(n), lambda n, *_: val(n) + test(n)]),
         ["val", "test", "train"],
     )
     # The cut for the empty tiles depends on the number of full ones, so both are counted together.
@@ -60,14 +60,14 @@ def _keep_empties(tiles: DataFrame, key: str, wished, seed: int) -> DataFrame:
 
 def downsample_empty(tiles: DataFrame, key: str, share: float = 0.1, seed: int = SEED) -> DataFrame:
     """Empty tiles are cut down to `share` of all tiles; nothing happens if they are fewer already."""
-    wished = lambda n, everything: F.bround((everything - n) / (1 - share)) - (everything - n)
+    wished = lambda n, everything, _: F.bround((everything - n) / (1 - share)) - (everything - n)
     return _keep_empties(tiles, key, wished, seed)
 
 
 def downsample_empty_train(tiles: DataFrame, key: str, share: float = 0.1, seed: int = SEED) -> DataFrame:
     """In train int(full·(1+p)) tiles remain in all, unless the share of empties is at most p already."""
 
-    def wished(n, everything):
+    def wished(n, everything, _):
         full = everything - n
         return F.when(n / everything <= share, n).otherwise(F.floor(full * (1 + share)) - full)
 
@@ -77,7 +77,7 @@ def downsample_empty_train(tiles: DataFrame, key: str, share: float = 0.1, seed:
 
 def split_stratified(df: DataFrame, key: str, by: str, test: float = 0.2, seed: int = SEED) -> DataFrame:
     """Train and test with equal class shares: round(test·n) rows of every class are test."""
-    cut = lambda n, _: F.bround(F.lit(float(test)) * n)
+    cut = lambda n, *_: F.bround(F.lit(float(test)) * n)
     return _named(parts_by_draw(df, draw(key, seed=seed), key, [cut], by=[by]), ["test", "train"])
 
 
@@ -87,15 +87,12 @@ def oversample(df: DataFrame, key: str, by: str, seed: int = SEED) -> DataFrame:
     A class that lacks `need` rows copies each of its n rows need div n times, and need mod n of them,
     drawn at random, once more.
     """
-    sizes = df.groupBy(by).agg(F.count("*").alias("_n"))
-    most = sizes.agg(F.max("_n")).scalar()
-    extra = lambda n, _: (most - n) % n
-    drawn = parts_by_draw(df, draw(key, seed=seed), key, [extra], by=[by])
-    sized = drawn.join(F.broadcast(sizes), by)  # one row per class
-    copies = F.floor((most - F.col("_n")) / F.col("_n")) + (F.col("part") == 0).cast("int")
+    extra = lambda n, _, most: (most - n) % n
+    sized = parts_by_draw(df, draw(key, seed=seed), key, [extra], by=[by], sizes_as=("_n", "_most"))
+    copies = F.floor((F.col("_most") - F.col("_n")) / F.col("_n")) + (F.col("part") == 0).cast("int")
     numbers = F.sequence(F.lit(0), copies.cast("int"))
     rows = sized.withColumn("_m", F.explode(numbers))
-    return rows.withColumn("copy", F.when(F.col("_m") > 0, F.col("_m") - 1)).drop("_n", "_m", "part")
+    return rows.withColumn("copy", F.when(F.col("_m") > 0, F.col("_m") - 1)).drop("_n", "_most", "_m", "part")
 
 
 def originals(df: DataFrame) -> DataFrame:

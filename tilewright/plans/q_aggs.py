@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tilewright.functions import geometry as g
-from tilewright.operators import bags, folds, labels, matching, metrics, pooling, profile, runs, scoring, tiling
-from tilewright.operators.ranks import group_rank
+from tilewright.operators import bags, folds, labels, matching, metrics, pairing, pooling, profile, runs, scoring, tiling
 from tilewright.plans import views as v
 from tilewright.plans.q_joins import polygons
 from tilewright.plans.registry import query
+from tilewright.session import checkpointed
 
 
 @query("a1_unique_classes", "select distinct class from objs")
@@ -130,15 +130,18 @@ def made_bags(spark, d):
     return bags.bag_key(bags.make_bags(v.instances(spark, d)))
 
 
-def labelled_bags(spark, d):
-    from tilewright.operators.pairing import label_bags
+def written_bags(spark, d):
+    """Bags as a table, for queries that use them more than once."""
+    return checkpointed(made_bags(spark, d))
 
-    return label_bags(made_bags(spark, d), bags.slide_labels(v.instances(spark, d)))
+
+def labelled(spark, d, made):
+    return pairing.label_bags(made, bags.slide_labels(v.instances(spark, d)))
 
 
 @query("a15_bag_class_freq", "select c::int as label, (select count(*) from lbags where label = c) as n from range(0, 4) t(c)")
 def a15(spark, d):
-    return bags.bag_class_freq(labelled_bags(spark, d), 4)
+    return bags.bag_class_freq(labelled(spark, d, made_bags(spark, d)), 4)
 
 
 @query("a16_bag_checks", """
@@ -146,15 +149,17 @@ def a15(spark, d):
     union all select distinct bag, 'no features' from kbags where instance % 97 <> 0 and instance % 31 = 0
     union all select null, 'labels not balanced' from (select min(n) as lo, max(n) as hi from (select label, count(*) as n from lbags group by label)) where lo <> hi""")
 def a16(spark, d):
-    broken = made_bags(spark, d).filter("instance % 97 <> 0")
-    return bags.bag_problems(broken, v.features(spark, d).filter("instance % 31 <> 0"), labelled_bags(spark, d), 9)
+    made = written_bags(spark, d)
+    broken = made.filter("instance % 97 <> 0")
+    return bags.bag_problems(broken, v.features(spark, d).filter("instance % 31 <> 0"), labelled(spark, d, made), 9)
 
 
 @query("a17_bag_summary", """
     select (select count(*) from lbags) as n_bags, (select sum(label)::bigint from lbags) as n_positive, (select (count(*) - sum(label))::bigint from lbags) as n_negative,
            min(x) as feat_min, max(x) as feat_max, round(avg(x), 8) as feat_mean from bagelements""")
 def a17(spark, d):
-    out = bags.bag_summary(made_bags(spark, d), v.features(spark, d), labelled_bags(spark, d))
+    made = written_bags(spark, d)
+    out = bags.bag_summary(made, v.features(spark, d), labelled(spark, d, made))
     return out.withColumn("feat_mean", F.round("feat_mean", 8))
 
 
@@ -169,7 +174,8 @@ QUERY_VECTOR = [(k % 7 - 3) / 4 for k in range(64)]
 
 
 def bag_features(spark, d):
-    return made_bags(spark, d).select("bag", "instance").join(v.features(spark, d), "instance")
+    """Pooling passes over its input twice, so the bags are written first; features are joined as they are read."""
+    return written_bags(spark, d).select("bag", "instance").join(v.features(spark, d), "instance")
 
 
 def by_dim(df, digits=6):

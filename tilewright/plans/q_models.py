@@ -11,7 +11,7 @@ from tilewright.plans.q_aggs import CLASS_SQL, COUNT_SQL, NAMED_SQL, QUERY_VECTO
 from tilewright.plans.q_joins import class_text
 from tilewright.plans.q_sources import SEGMENT_SQL, SEGMENTS, patients
 from tilewright.plans.registry import query
-from tilewright.session import fresh_dir
+from tilewright.session import checkpointed, fresh_dir
 from tilewright.streaming import labels as label_stream
 from tilewright.streaming import runs as run_stream
 
@@ -30,7 +30,7 @@ def m2(spark, d):
 @query("m3_bag_classifier")
 def m3(spark, d):
     i = v.instances(spark, d)
-    made = bags.bag_key(bags.make_bags(i))
+    made = checkpointed(bags.bag_key(bags.make_bags(i)))
     pooled = pooling.attention(pairing.feature_bags(made.select("bag", "instance"), v.features(spark, d)), QUERY_VECTOR)
     known = pairing.label_bags(made, bags.slide_labels(i)).select("bag", "label")
     return clinical.fit_bags(pooled.join(known, "bag"))[1]
