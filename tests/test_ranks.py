@@ -41,6 +41,13 @@ def test_a_hot_group_is_spread_even_if_the_input_is_hashed_on_it(skewed):
     assert "REPARTITION_BY_COL" in got._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("n", [1, 8])
+def test_first_n(skewed, n):
+    got = ranks.first_n(skewed, ["g"], "d", "id", n)
+    want = window_rank(skewed, ["g"]).filter(F.col("want") <= n)
+    assert got.select("g", "id", "rank").exceptAll(want.select("g", "id", "want")).isEmpty() and got.count() == want.count()
+
+
 def test_global_rank(spark):
     names = spark.range(1000).select(F.md5(F.col("id").cast("string")).alias("n"))
     got = ranks.global_rank(names, ["n"]).orderBy("n").collect()

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.functions.draws import SEED, draw, slot
-from tilewright.operators.ranks import HOT_ROWS, group_rank, split_rank
+from tilewright.operators.ranks import HOT_ROWS, first_n, group_rank, split_rank
 
 
 def slide_labels(objects: DataFrame, healthy: int = 0, unhealthy: int = 1, levels: int = 4) -> DataFrame:
@@ -40,8 +40,7 @@ def _slide_sizes(instances: DataFrame) -> DataFrame:
 def make_bags(instances: DataFrame, n: int = 9, seed: int = SEED, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(slide, bag_n, ord, instance): disjoint random groups of n per slide.
 
-    A short last bag is topped up from the slide's other bags, by a second draw. Its top-up is a small
-    top-n per slide, which Spark cuts down per task before it shuffles.
+    A short last bag is topped up from the slide's other bags, by a second draw.
     """
     ranked = _slide_rank(instances.select("slide", "instance"), seed, hot_rows)
     sized = ranked.join(_slide_sizes(instances), "slide")
@@ -49,9 +48,8 @@ def make_bags(instances: DataFrame, n: int = 9, seed: int = SEED, hot_rows: int
     own = sized.select("slide", "instance", F.floor(place / n).alias("bag_n"), (place % n).cast("int").alias("ord"))
     short = F.col("size") % n
     others = sized.filter((short > 0) & (F.col("rank") <= F.col("size") - short))
-    again = Window.partitionBy("slide").orderBy("_d", "instance")
-    drawn = others.withColumn("_d", draw("instance", seed=f"{seed}b")).withColumn("_r", F.row_number().over(again))
-    top = drawn.filter(F.col("_r") <= n - 1).filter(F.col("_r") <= n - short)
+    drawn = others.withColumn("_d", draw("instance", seed=f"{seed}b"))
+    top = first_n(drawn, ["slide"], "_d", "instance", n - 1, "_r").filter(F.col("_r") <= n - short)
     fill = top.select("slide", "instance", F.floor(F.col("size") / n).alias("bag_n"), (short + F.col("_r") - 1).cast("int").alias("ord"))
     return own.unionByName(fill)
 

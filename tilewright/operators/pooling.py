@@ -1,7 +1,6 @@
 """Pooling of a bag's instance vectors with given weights.
 
-Vectors are summed by MLlib's Summarizer, which combines per task before it shuffles, so a group of any
-size is pooled without being collected.
+Vectors are summed by MLlib's Summarizer, which combines per task before it shuffles; no bag is collected.
 """
 
 from __future__ import annotations

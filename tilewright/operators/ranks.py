@@ -70,6 +70,17 @@ def group_rank(
     return plain if hot is None else plain.unionByName(split_rank(hot, by, slices, order, out))
 
 
+def first_n(df: DataFrame, by: list[str], drawn: str, tie: str, n: int, out: str = "rank") -> DataFrame:
+    """The first n rows of each group in drawn order, numbered: first per hex slot, then among the survivors.
+
+    The second window sees at most 4096·n rows of a group, however large the group is.
+    """
+    cut = df.withColumn("_s", slot(F.col(drawn), 3)).repartition(*by, "_s")
+    inside = Window.partitionBy(*by, "_s").orderBy(drawn, tie)
+    few = cut.withColumn("_in", F.row_number().over(inside)).filter(F.col("_in") <= n).drop("_in", "_s")
+    return few.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(drawn, tie))).filter(F.col(out) <= n)
+
+
 def global_rank(df: DataFrame, order: list[str], out: str = "rank") -> DataFrame:
     """Row number over the whole table in any order: range sort, then per-partition offsets.
 
