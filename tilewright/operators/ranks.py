@@ -48,6 +48,11 @@ def hot_keys(df: DataFrame, by: list[str], rows: int) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > rows).select(*by)
 
 
+# Whether a table has hot groups, by plan: queries over one table count its keys once per application.
+# An outdated answer costs time, never a wrong result.
+_HAS_HOT: dict[tuple, bool] = {}
+
+
 def hot_cold(df: DataFrame, by: list[str], rows: int = HOT_ROWS) -> tuple[DataFrame | None, DataFrame]:
     """(rows of hot groups or None, all other rows).
 
@@ -55,7 +60,10 @@ def hot_cold(df: DataFrame, by: list[str], rows: int = HOT_ROWS) -> tuple[DataFr
     caller builds its plan for ordinary groups only.
     """
     keys = hot_keys(df, by, rows)
-    if keys.isEmpty():
+    plan = (df.sparkSession.sparkContext.applicationId, keys.semanticHash())
+    if plan not in _HAS_HOT:
+        _HAS_HOT[plan] = not keys.isEmpty()
+    if not _HAS_HOT[plan]:
         return None, df
     hot = F.broadcast(keys)
     return df.join(hot, by, "left_semi"), df.join(hot, by, "left_anti")

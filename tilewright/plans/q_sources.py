@@ -86,7 +86,7 @@ def s5(spark, d):
     select 'run=' || (exp % 20) as exp, epoch::double as epoch, "precision", recall from epochs""")
 def s6(spark, d):
     out = fresh_dir(spark, "results")
-    curves = v.epochs(spark, d).withColumn("run", F.col("exp") % 20).drop("exp").repartition("run")
+    curves = v.epochs(spark, d).withColumn("run", F.col("exp") % 20).drop("exp").hint("rebalance", "run")
     curves.write.partitionBy("run").csv(out, header=True)
     return files.training_metrics(spark, out)
 

@@ -150,8 +150,8 @@ def shape_runs(events: DataFrame) -> DataFrame:
 
 
 def epochs(spark: SparkSession, d: str) -> DataFrame:
-    """(exp, epoch, precision, recall): an experiment's events in time order, days being the rank's slices."""
-    ranked = group_rank(runs(spark, d), ["exp"], [F.to_date("ts")], ["ts", "event_id"], "epoch")
+    """(exp, epoch, precision, recall): an experiment's events in time order, minutes being the slices of a long one."""
+    ranked = group_rank(runs(spark, d), ["exp"], [F.date_trunc("minute", "ts")], ["ts", "event_id"], "epoch")
     return ranked.select("exp", "epoch", F.col("value").alias("precision"), (F.col("event_id") % 100 / 100.0).alias("recall"))
 
 
