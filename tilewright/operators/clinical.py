@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -49,7 +48,3 @@ def _accuracy(predicted: DataFrame, train: DataFrame) -> DataFrame:
     return predicted.agg(F.count("*").alias("n_test"), F.avg(hit).alias("accuracy")).withColumn(
         "n_train", train.agg(F.count("*")).scalar()
     )
-
-
-def accuracy(predicted: DataFrame) -> float:
-    return MulticlassClassificationEvaluator(labelCol="_y", metricName="accuracy").evaluate(predicted)

@@ -9,7 +9,6 @@ from tilewright.functions import names as nm
 from tilewright.operators import bags, folds, matching, merging, pairing, runs, tiling
 from tilewright.plans import views as v
 from tilewright.plans.registry import query
-from tilewright.plans.q_sources import class_text
 
 
 @query("j1_full_tiles", "select tile, slide, sample, fold from statuses where not is_empty")

@@ -8,8 +8,7 @@ from tilewright.operators import bags, clinical, pairing, pooling
 from tilewright.plans import jobs
 from tilewright.plans import views as v
 from tilewright.plans.q_aggs import CLASS_SQL, COUNT_SQL, NAMED_SQL, QUERY_VECTOR, RUN_STATUS_SQL, SHARE_SQL, SHARED_SQL
-from tilewright.plans.q_joins import class_text
-from tilewright.plans.q_sources import SEGMENT_SQL, SEGMENTS, patients
+from tilewright.plans.q_sources import SEGMENT_SQL, SEGMENTS, class_text, patients
 from tilewright.plans.registry import query
 from tilewright.session import checkpointed, fresh_dir
 from tilewright.streaming import labels as label_stream

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tilewright.functions import geometry as g
-from tilewright.functions import names as nm
-from tilewright.operators import clinical, labels, tiling
+from tilewright.operators import clinical, tiling
 from tilewright.plans import views as v
 from tilewright.plans.registry import query
 from tilewright.session import fresh_dir
