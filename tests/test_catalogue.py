@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = entry.CATALOGUE, entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
