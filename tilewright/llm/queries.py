@@ -149,3 +149,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tilewright.llm.search import top_k
 
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+@query("op10_ngram_jaccard")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewright.llm.jaccard import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=5, percent=75)
