@@ -156,3 +156,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tilewright.llm.jaccard import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), words=5, percent=75)
+
+
+@query("op4_line_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewright.llm.lines import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents"))
