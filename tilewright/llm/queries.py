@@ -163,3 +163,17 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tilewright.llm.lines import dedup_lines
 
     return dedup_lines(table(spark, sf_dir, "documents"))
+
+
+@query("op3_suffix_array_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewright.llm.bytes_dedup import dedup_bytes
+
+    return dedup_bytes(table(spark, sf_dir, "documents"), size=200).drop("kept")
+
+
+@query("op1_fm_index_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewright.llm.words_dedup import dedup_words
+
+    return dedup_words(table(spark, sf_dir, "documents"), size=20).drop("kept")
