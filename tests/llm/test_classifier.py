@@ -37,6 +37,6 @@ def test_odd_rows(spark, make_docs, odd_texts):
 def test_sparse_scores_equal_the_trainer_features(spark, make_docs, sf_texts):
     texts = [t for _, t in sf_texts[:20]]
     w = classifier.train(texts, np.arange(20) % 2)
-    got = {r["doc_id"]: r["score"] for r in classifier.score(make_docs(texts), w).collect()}
-    alone = {i: r["score"] for i, t in enumerate(texts[:5]) for r in classifier.score(make_docs([t]), w).collect()}
+    got = {r["doc_id"]: r["p"] for r in classifier.with_score(make_docs(texts), w, "p").collect()}
+    alone = {i: r["p"] for i, t in enumerate(texts[:5]) for r in classifier.with_score(make_docs([t]), w, "p").collect()}
     assert all(abs(got[i] - alone[i]) < 1e-6 for i in alone)

@@ -127,24 +127,25 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     return w / max(1, parts.sum())
 
 
-def score(docs: DataFrame, weights: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, score, predicted) of every whole text, as sparse dot products; a null text scores as an empty one."""
-    kind = docs.schema[key].dataType.simpleString()
+def _probabilities(w: np.ndarray, texts: pa.Array) -> np.ndarray:
+    out = [np.zeros(0)]
+    for _, raw, starts in tx.slices(texts):
+        rows = len(starts) - 1
+        r, f = slice_features(raw, starts, len(w))
+        total, count = np.bincount(r, weights=w[f], minlength=rows), np.bincount(r, minlength=rows)
+        out.append(1 / (1 + np.exp(-np.clip(w[0] + SCALE * total / np.maximum(1, count), -30, 30))))
+    return np.concatenate(out)
+
+
+def with_score(docs: DataFrame, weights: np.ndarray, name: str = "score", text: str = "text") -> DataFrame:
+    """`docs` and one more column, the score of every whole text, as sparse dot products; null scores as empty."""
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))  # `dims` numbers
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
-        for batch in batches:
-            for at, raw, starts in tx.slices(batch.column(1)):
-                rows = len(starts) - 1
-                r, f = slice_features(raw, starts, len(w))
-                total = np.bincount(r, weights=w[f], minlength=rows)
-                count = np.bincount(r, minlength=rows)
-                p = 1 / (1 + np.exp(-np.clip(w[0] + SCALE * total / np.maximum(1, count), -30, 30)))
-                columns = [batch.column(0).slice(at, rows), pa.array(p), pa.array((p >= 0.5).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "score", "predicted"])
+    def apply(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in parts:
+            yield pa.array(_probabilities(shared.value, part))
 
-    return docs.select(key, text).mapInArrow(apply, f"key {kind}, score double, predicted int").withColumnRenamed("key", key)
+    return docs.withColumn(name, F.arrow_udf(apply, "double")(F.col(text)))
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -153,5 +154,5 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", key: st
     Repeated rows are scored alike; a null key is never held out and never learned from; other columns are
     ignored; an empty table gives no rows. Only the sample is moved; scoring needs no shuffle.
     """
-    scored = score(docs, fit(docs, labels, label, key=key, text=text), key, text)
-    return scored.select(key, held_out(F.col(key)).alias("held_out"), "score", "predicted")
+    scored = with_score(docs.select(key, text), fit(docs, labels, label, key=key, text=text), "score", text)
+    return scored.select(key, held_out(F.col(key)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -240,8 +240,8 @@ def dedup_lines(
     )
 
 
-def without_lines(docs: DataFrame, removed: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with the removed lines cut out of the text; all columns are kept."""
+def without_lines(docs: DataFrame, removed: DataFrame, key: str = "doc_id", text: str = "text", mark: str | None = None) -> DataFrame:
+    """`docs` with the removed lines cut out of the text; all columns are kept. `mark` names a column for whether any was."""
     goes = removed.filter("n_removed > 0").select(F.col(key).alias("_key"), F.col("removed.line").alias("_lines")).dropDuplicates(["_key"])
 
     def cut(bodies: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -256,4 +256,5 @@ def without_lines(docs: DataFrame, removed: DataFrame, key: str = "doc_id", text
 
     kept = F.pandas_udf(cut, "string")
     joined = docs.join(goes, F.col(key) == F.col("_key"), "left")
-    return joined.withColumn(text, kept(F.col(text), F.col("_lines"))).drop("_key", "_lines")
+    out = joined.withColumn(text, kept(F.col(text), F.col("_lines")))
+    return (out.withColumn(mark, F.col("_lines").isNotNull()) if mark else out).drop("_key", "_lines")
