@@ -176,6 +176,20 @@ def _grouped(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["task", "leader", "cell", "node", "line"])
 
 
+def _sets(lines: list[bytes], k: int) -> list[np.ndarray]:
+    """The shingle set of each line."""
+    raw = np.frombuffer(b"".join(lines), np.uint8)
+    edge = np.append(0, np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines))))
+    points, before = _characters(raw)
+    h, count = _shingles(points, before[edge[:-1]], before[edge[1:]], k)
+    row = np.repeat(np.arange(len(lines)), count)
+    order = np.argsort(h, kind="stable")
+    order = order[np.argsort(row[order].astype(np.int32), kind="stable")]
+    h, row = h[order], row[order]
+    new = np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1]))
+    return np.split(h[new], np.cumsum(np.bincount(row[new], minlength=len(lines)))[:-1])
+
+
 def line_links(docs: DataFrame, table: DataFrame, percent: int, shingle: int, key: str, text: str) -> DataFrame:
     """(a, b): verified links that connect the near-equal first occurrences."""
     posts = table.filter("line >= 0 and size(keys) > 0").select(F.explode("keys").alias("k"), F.col("node").alias("doc"))
@@ -185,29 +199,26 @@ def line_links(docs: DataFrame, table: DataFrame, percent: int, shingle: int, ke
     size = led.groupBy("leader").agg(F.count("*").alias("g")).filter("g > 1")
     tasks = max(1, led.count() // GROUPS_PER_TASK)
     blocks = F.when(F.col("g") > BLOCK, F.ceil(2 * F.col("g") / BLOCK)).otherwise(1).cast("bigint")
-    task = F.when(F.col("g") > BLOCK, F.xxhash64(F.lit("cells"), "leader")).otherwise(F.pmod(F.xxhash64("leader"), F.lit(tasks)))
+    task = F.when(F.col("g") > BLOCK, F.shiftright(F.xxhash64(F.lit("cells"), "leader"), 1)).otherwise(F.pmod(F.xxhash64("leader"), F.lit(tasks)))
     members = led.join(size.select("leader", blocks.alias("blocks"), task.alias("task")), "leader")
 
     def verify(part: pd.DataFrame) -> pd.DataFrame:
         leader, cell, node = (part[c].to_numpy() for c in ("leader", "cell", "node"))
         order = np.lexsort((node, cell, leader))
-        leader, cell, node = leader[order], cell[order], node[order]
-        lines = part["line"].to_numpy()[order]
-        edges = np.flatnonzero(np.append(True, (leader[1:] != leader[:-1]) | (cell[1:] != cell[:-1])))
+        new = (np.diff(leader[order]) != 0) | (np.diff(cell[order]) != 0)
+        text_of: dict[bytes, int] = {}
+        own = np.array([text_of.setdefault(x, len(text_of)) for x in part["line"]], np.int64)
+        sets = _sets(list(text_of), shingle)
         a, b = [], []
-        for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(node)]):
-            if hi - lo < 2:
-                continue
-            points = [np.frombuffer(x.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), "<u4") for x in lines[lo:hi]]
-            length = np.fromiter(map(len, points), np.int64, hi - lo)
-            end = np.cumsum(length)
-            h, count = _shingles(np.concatenate(points), end - length, end, shingle)
-            root = connect([np.unique(x) for x in np.split(h, np.cumsum(count)[:-1])], percent)
-            for x, r in enumerate(root.tolist()):
-                if r != x:
-                    a.append(node[lo + x])
-                    b.append(node[lo + r])
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+        for group in np.split(order, np.flatnonzero(new) + 1):
+            # Equal lines are one set; its first line stands for it.
+            texts, first, which = np.unique(own[group], return_index=True, return_inverse=True)
+            start = first[connect([sets[x] for x in texts], percent)] if len(texts) > 1 else first
+            root = start[which]
+            apart = np.flatnonzero(root != np.arange(len(group)))
+            a.append(node[group[apart]])
+            b.append(node[group[root[apart]]])
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     return _line_groups(docs, members, key, text).groupBy("task").applyInPandas(verify, "a long, b long")
 
@@ -224,7 +235,7 @@ def dedup_lines(
     Other columns are ignored; an empty table gives no rows.
     """
     table = written(line_table(docs, least, shingle, bands, rows, key, text), "lines")
-    links = line_links(docs, table, percent, shingle, key, text)
+    links = written(line_links(docs, table, percent, shingle, key, text), "line-links")
     copies = table.filter("line >= 0 and node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
     found = components(links.unionByName(copies)).filter("node <> component")
     number = lambda c: F.col(c).bitwiseAND((1 << LINE_BITS) - 1)
