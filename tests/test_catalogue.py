@@ -43,8 +43,9 @@ def test_query_equals_sql(spark, sf, duck, name):
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in SQL])
 def test_models_give_one_row_of_metrics(spark, sf, name):
-    (row,) = QUERIES[name](spark, sf).collect()
-    assert 0 <= row["accuracy"] <= 1 and row["n_test"] > 0 and row["n_train"] > row["n_test"]
+    # The labels follow from the features; the bags are too few at the smallest size to learn 64 weights.
+    (row,) = QUERIES[name](spark, sf.replace("0.001", "0.1") if name.startswith("m3") else sf).collect()
+    assert 0.85 <= row["accuracy"] <= 1 and row["n_test"] > 0 and row["n_train"] > row["n_test"]
 
 
 def test_entry(spark):

@@ -9,10 +9,6 @@ COPY_PREFIX = r"^Augm_(\d+)_"
 TILE_PART = r"sample(\d+)_(\d+)_(\d+)"
 
 
-def base_name(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]*)$", 1)
-
-
 def stem(name: Column) -> Column:
     """Text before the first dot."""
     return F.split_part(name, F.lit("."), F.lit(1))

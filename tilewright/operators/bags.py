@@ -27,36 +27,38 @@ def labelled_only(crops: DataFrame, labels: DataFrame) -> DataFrame:
     return crops.join(labels.select("slide"), "slide", "left_semi")
 
 
-def _slide_rank(instances: DataFrame, seed, hot_rows: int, out: str = "rank") -> DataFrame:
+def _slide_rank(instances: DataFrame, seed, hot_rows: int, out: str = "rank", by: list[str] = ("slide",)) -> DataFrame:
     drawn = instances.withColumn("_d", draw("instance", seed=seed))
-    ranked = group_rank(drawn, ["slide"], [slot(F.col("_d"))], ["_d", "instance"], out, hot_rows)
+    ranked = group_rank(drawn, list(by), [slot(F.col("_d"))], ["_d", "instance"], out, hot_rows)
     return ranked.drop("_d")
 
 
-def _slide_sizes(instances: DataFrame) -> DataFrame:
-    return instances.groupBy("slide").agg(F.count("*").alias("size"))
+def _slide_sizes(instances: DataFrame, by: list[str] = ("slide",)) -> DataFrame:
+    return instances.groupBy(*by).agg(F.count("*").alias("size"))
 
 
-def make_bags(instances: DataFrame, n: int = 9, seed: int = SEED, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(slide, bag_n, ord, instance): disjoint random groups of n per slide.
+def make_bags(
+    instances: DataFrame, n: int = 9, seed: int = SEED, hot_rows: int = HOT_ROWS, by: tuple[str, ...] = ("slide",)
+) -> DataFrame:
+    """(by, bag_n, ord, instance): disjoint random groups of n per slide, or per slide and sample.
 
-    A short last bag is topped up from the slide's other bags, by a second draw.
+    A short last bag is topped up from the group's other bags, by a second draw.
     """
-    ranked = _slide_rank(instances.select("slide", "instance"), seed, hot_rows)
-    sized = ranked.join(_slide_sizes(instances), "slide")
+    ranked = _slide_rank(instances.select(*by, "instance"), seed, hot_rows, by=by)
+    sized = ranked.join(_slide_sizes(instances, by), list(by))
     place = F.col("rank") - 1
-    own = sized.select("slide", "instance", F.floor(place / n).alias("bag_n"), (place % n).cast("int").alias("ord"))
+    own = sized.select(*by, "instance", F.floor(place / n).alias("bag_n"), (place % n).cast("int").alias("ord"))
     short = F.col("size") % n
     others = sized.filter((short > 0) & (F.col("rank") <= F.col("size") - short))
     drawn = others.withColumn("_d", draw("instance", seed=f"{seed}b"))
-    top = first_n(drawn, ["slide"], "_d", "instance", n - 1, "_r").filter(F.col("_r") <= n - short)
-    fill = top.select("slide", "instance", F.floor(F.col("size") / n).alias("bag_n"), (short + F.col("_r") - 1).cast("int").alias("ord"))
+    top = first_n(drawn, list(by), "_d", "instance", n - 1, "_r").filter(F.col("_r") <= n - short)
+    fill = top.select(*by, "instance", F.floor(F.col("size") / n).alias("bag_n"), (short + F.col("_r") - 1).cast("int").alias("ord"))
     return own.unionByName(fill)
 
 
-def bag_key(bags: DataFrame) -> DataFrame:
+def bag_key(bags: DataFrame, by: tuple[str, ...] = ("slide",)) -> DataFrame:
     """One column that names a bag: `<slide>_<bag_n>`."""
-    return bags.withColumn("bag", F.concat_ws("_", F.col("slide").cast("string"), F.col("bag_n").cast("string")))
+    return bags.withColumn("bag", F.concat_ws("_", *[F.col(c).cast("string") for c in (*by, "bag_n")]))
 
 
 def bag_class_freq(labelled: DataFrame, n_classes: int) -> DataFrame:

@@ -39,8 +39,8 @@ def drop_small_counts(df: DataFrame, w_min: float = 0.15, h_min: float = 0.15) -
 
 
 def drop_class(df: DataFrame, cid: int) -> DataFrame:
-    """Remove a class; a class that does not occur changes nothing."""
-    return df.filter(F.col("class") != cid)
+    """Remove a class; a class that does not occur changes nothing, and rows without a class stay."""
+    return df.filter(~F.col("class").eqNullSafe(F.lit(cid)))
 
 
 def emptied_tiles(before: DataFrame, after: DataFrame, key: str = "tile") -> DataFrame:
@@ -70,12 +70,15 @@ def min_area(objects: DataFrame, at_least: float = 40) -> DataFrame:
 
 
 def by_confidence(preds: DataFrame, registry: DataFrame, model: str, task: str, classify: bool) -> DataFrame:
-    """Detections at or above the registered model's threshold, tagged with its weights."""
-    entry = registry.filter(
-        (F.col("model") == model) & (F.col("task") == task) & (F.col("classify") == F.lit(classify))
-    ).select("conf_thres", "weights")
-    limit = entry.select("conf_thres").scalar()
-    return preds.filter(F.col("conf") >= limit).withColumn("weights", entry.select("weights").scalar())
+    """Detections at or above the registered model's threshold, tagged with its weights.
+
+    A model that is not registered, twice, or without a threshold is an error.
+    """
+    entry = registry.filter((F.col("model") == model) & (F.col("task") == task) & (F.col("classify") == F.lit(classify)))
+    found = entry.select("conf_thres", "weights").head(2)
+    if len(found) != 1 or found[0]["conf_thres"] is None:
+        raise ValueError(f"no threshold for {model}, {task}, classes {classify}")
+    return preds.filter(F.col("conf") >= found[0]["conf_thres"]).withColumn("weights", F.lit(found[0]["weights"]))
 
 
 def model_registry(spark) -> DataFrame:
@@ -90,10 +93,10 @@ def model_registry(spark) -> DataFrame:
 
 
 def not_allowed(df: DataFrame, allowed: dict[str, list]) -> DataFrame:
-    """One row per (row, column) whose value is outside the column's allow-list."""
+    """One row per (row, column) whose value is missing or outside the column's allow-list."""
     reasons = F.filter(
         F.array(*[
-            F.when(~F.col(c).isin(list(values)), F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")))
+            F.when(~F.coalesce(F.col(c).isin(list(values)), F.lit(False)), F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")))
             for c, values in allowed.items()
         ]),
         lambda r: r.isNotNull(),

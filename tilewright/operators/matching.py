@@ -15,6 +15,8 @@ from tilewright.functions import geometry as g
 
 # Pixels. Smaller cells compare fewer pairs in crowded tiles, larger ones file a box under fewer cells.
 CELL = 256
+# Boxes are clipped to the tile, so that one in other coordinates is not filed under millions of cells.
+TILE = 2048
 
 
 def _cell(x: Column, cell: int) -> Column:
@@ -22,7 +24,7 @@ def _cell(x: Column, cell: int) -> Column:
 
 
 def _by_cell(df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, cell: int) -> DataFrame:
-    rows = df.withColumn("_cx", F.explode(F.sequence(_cell(x0, cell), _cell(x1, cell))))
+    rows = df.filter((x1 >= x0) & (y1 >= y0)).withColumn("_cx", F.explode(F.sequence(_cell(x0, cell), _cell(x1, cell))))
     return rows.withColumn("_cy", F.explode(F.sequence(_cell(y0, cell), _cell(y1, cell))))
 
 
@@ -42,7 +44,7 @@ def _prefixed(df: DataFrame, columns: list[str], p: str) -> DataFrame:
     return df.select("tile", *[F.col(c).alias(p + c) for c in columns])
 
 
-def match_predictions(preds: DataFrame, truth: DataFrame, tile: int | None = None, cell: int = CELL) -> DataFrame:
+def match_predictions(preds: DataFrame, truth: DataFrame, tile: int | None = TILE, cell: int = CELL) -> DataFrame:
     """Each prediction with the class of the nearest true box that holds its centre; null = false positive.
 
     Ties in distance go to the smaller object number.
@@ -63,26 +65,27 @@ def match_predictions(preds: DataFrame, truth: DataFrame, tile: int | None = Non
     match = F.min_by(F.struct(F.col("g_obj").alias("obj"), F.col("g_class").alias("class")), nearest)
     kept = [c for c in preds.columns if c not in ("tile", "pred")]
     return (
-        pairs.groupBy("tile", "pred")
+        # A prediction lies in one cell, so these groups are the predictions, and the join's partitioning serves.
+        pairs.groupBy("tile", "_cx", "_cy", "pred")
         .agg(
             *[F.first(c).alias(c) for c in kept],  # constant within a prediction
             F.count("g_obj").alias("n_matches"),
             match.alias("_m"),
         )
         .withColumns({"obj": F.col("_m.obj"), "class": F.col("_m.class")})
-        .drop("_m")
+        .drop("_m", "_cx", "_cy")
     )
 
 
-def overlap_match(preds: DataFrame, truth: DataFrame, share: float = 0.25, cell: int = CELL) -> DataFrame:
+def overlap_match(preds: DataFrame, truth: DataFrame, share: float = 0.25, tile: int | None = TILE, cell: int = CELL) -> DataFrame:
     """Per prediction the true boxes that cover at least `share` of it: how many, and the best one.
 
-    Both sides are filed by cell; a pair counts only in the cell of its intersection's first corner.
+    Both sides are clipped to the tile and filed by cell; a pair counts only in the cell of its intersection's first corner.
     """
-    p = _by_cell(_prefixed(preds, ["pred", "x0", "y0", "w", "h"], "p_"), *_corners("p_"), cell)
-    t = _by_cell(_prefixed(truth, ["obj", "class", "x0", "y0", "w", "h"], "g_"), *_corners("g_"), cell)
-    px0, py0, px1, py1 = _corners("p_")
-    gx0, gy0, gx1, gy1 = _corners("g_")
+    p = _by_cell(_prefixed(preds, ["pred", "x0", "y0", "w", "h"], "p_"), *_clipped("p_", tile), cell)
+    t = _by_cell(_prefixed(truth, ["obj", "class", "x0", "y0", "w", "h"], "g_"), *_clipped("g_", tile), cell)
+    px0, py0, px1, py1 = _clipped("p_", tile)
+    gx0, gy0, gx1, gy1 = _clipped("g_", tile)
     ix0, iy0 = F.greatest(px0, gx0), F.greatest(py0, gy0)
     iw, ih = F.least(px1, gx1) - ix0, F.least(py1, gy1) - iy0
     covered = (iw * ih) / (F.col("p_w") * F.col("p_h"))
@@ -101,7 +104,7 @@ def overlap_match(preds: DataFrame, truth: DataFrame, share: float = 0.25, cell:
     )
 
 
-def refine_class(base: DataFrame, fine: DataFrame, tile: int | None = None, cell: int = CELL) -> DataFrame:
+def refine_class(base: DataFrame, fine: DataFrame, tile: int | None = TILE, cell: int = CELL) -> DataFrame:
     """Finer class of each base object from the objects whose centre lies in it, itself left out.
 
     None found: class 0. One distinct class: that class. Several: `conflict` and no class.

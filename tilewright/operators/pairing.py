@@ -33,8 +33,13 @@ def paired_labels(labels: DataFrame, tiles: DataFrame, keys: list[str]) -> DataF
 
 
 def inherit_fold(df: DataFrame, slides: DataFrame, key: str = "slide") -> DataFrame:
-    """Rows take the fold of their slide; rows of unknown slides stay behind."""
-    return df.join(slides.select(key, "fold"), key)
+    """Rows take the fold of their slide; rows of unknown slides have none. See `unknown_slides`."""
+    return df.join(slides.select(key, "fold"), key, "left")
+
+
+def unknown_slides(df: DataFrame, slides: DataFrame, key: str = "slide") -> DataFrame:
+    """Rows whose slide is not among the given ones."""
+    return df.join(slides.select(key).distinct(), key, "left_anti")
 
 
 def pair_by_name(labels: DataFrame, slides: DataFrame, expected, stain: str | None = None) -> DataFrame:

@@ -121,8 +121,8 @@ def parts_by_draw(
     `cuts` are functions of (rows of the group, rows of the table, rows of the largest group), in rising
     order. `sizes_as` names two columns for the group's and the largest group's size. Nothing is ranked
     but the hex slots that hold a cut: slot sizes locate it, the rows of that slot give its key, and every
-    row is then compared with the cut keys, so the table itself is never shuffled. `by` must be a
-    handful of groups (classes, a flag): the cut keys are broadcast, one row per group.
+    row is then compared with the cut keys, so the table itself need not be shuffled: the cut keys are one
+    row per group, and the optimiser broadcasts them below its own size limit.
     """
     by = list(by)
     keyed = df.select(*by, drawn.alias("_d"), F.col(tie).alias("_t")).withColumn("_s", slot(F.col("_d")))
@@ -158,9 +158,11 @@ def parts_by_draw(
         if sizes_as:
             totals = spans.groupBy(*by).agg(F.max("_n").alias(sizes_as[0]), F.max("_most").alias(sizes_as[1]))
             keys = totals.join(keys, by, "left")
-        rows = rows.join(F.broadcast(keys), by, "left")
+        rows = rows.join(keys, by, "left")
         limits = [F.col(f"_k{i}") for i in range(len(cuts))]
     else:
-        limits = [keys.select(f"_k{i}").scalar() for i in range(len(cuts))]
+        # One subquery for all cuts.
+        rows = rows.withColumn("_cuts", keys.select(F.struct(*[f"_k{i}" for i in range(len(cuts))])).scalar())
+        limits = [F.col(f"_cuts._k{i}") for i in range(len(cuts))]
     part = sum((F.coalesce(here > k, F.lit(True)).cast("int") for k in limits), F.lit(0))
-    return rows.withColumn(out, part).drop("_d", *[f"_k{i}" for i in range(len(cuts)) if by])
+    return rows.withColumn(out, part).drop("_d", "_cuts", *[f"_k{i}" for i in range(len(cuts)) if by])

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Class names of the score, in the order of their ids.
-SCORE_CLASSES = ["Glomerulus", "Cellular Crescent", "FibrousCrescent"]
-
 
 def class_crosstab(objects: DataFrame, by: list[str], ids: dict[str, int]) -> DataFrame:
     """A row per group, a count per class; classes left out of `ids` (false positives) are not counted.

@@ -123,7 +123,7 @@ def a13_sample(spark, d):
     select tile, t.slide, least(floor(u::double / (h + u) * 4), 3)::int as label from tiles t join n using (slide) where h + u > 0""")
 def a14(spark, d):
     known = bags.slide_labels(v.labels(spark, d))
-    return v.tiles(spark, d).select("tile", "slide").join(known, "slide")
+    return bags.labelled_only(v.tiles(spark, d).select("tile", "slide"), known).join(known, "slide")
 
 
 def made_bags(spark, d):

@@ -221,3 +221,29 @@ def u4(spark, d):
     log = e.select(F.date_format("ts", "dd/MM/yyyy HH:mm:ss").alias("datetime"), "status", F.col("exp").alias("exp_fold"), "value")
     new = e.groupBy(F.col("exp").alias("exp_fold")).agg(F.count("*").alias("epochs")).withColumn("status", F.lit("prepared"))
     return runs.append_run(log, new)
+
+
+@query("j9_unknown_slides", "select tile, slide, sample from tiles where slide % 9 = 0")
+def j9_unknown(spark, d):
+    return pairing.unknown_slides(v.tiles(spark, d), v.slides(spark, d).filter("slide % 9 <> 0"))
+
+
+@query("j13_mixed_bags", """
+    select slide % 24 || '_' || bag_n as bag, min(slide) as first, max(slide) as last from bags group by 1 having min(slide) <> max(slide)""")
+def j13_mixed(spark, d):
+    made = bags.make_bags(v.instances(spark, d)).withColumn("bag", F.concat_ws("_", (F.col("slide") % 24).cast("string"), F.col("bag_n").cast("string")))
+    return pairing.mixed_bags(made)
+
+
+@query("w9_bags_by_sample", """
+    with i as (select *, instance % 3 as sample from instances),
+         r as (select instance, slide, sample, row_number() over (partition by slide, sample order by md5(concat(instance, ':10')), instance) as rank,
+                      count(*) over (partition by slide, sample) as size from i)
+    select slide, sample, instance, (rank - 1) // 9 as bag_n, ((rank - 1) % 9)::int as ord from r
+    union all
+    select slide, sample, instance, size // 9, (size % 9 + x - 1)::int from (
+        select *, row_number() over (partition by slide, sample order by md5(concat(instance, ':10b')), instance) as x
+        from r where size % 9 > 0 and rank <= size - size % 9) where x <= 9 - size % 9""")
+def w9_by_sample(spark, d):
+    i = v.instances(spark, d).withColumn("sample", F.col("instance") % 3)
+    return bags.make_bags(i, by=("slide", "sample")).select("slide", "sample", "instance", "bag_n", "ord")

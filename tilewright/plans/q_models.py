@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tilewright.operators import bags, clinical, pairing, pooling
+from tilewright.operators import bags, clinical, pairing, pooling, sampling
 from tilewright.plans import jobs
 from tilewright.plans import views as v
 from tilewright.plans.q_aggs import CLASS_SQL, COUNT_SQL, NAMED_SQL, QUERY_VECTOR, RUN_STATUS_SQL, SHARE_SQL, SHARED_SQL
-from tilewright.plans.q_sources import SEGMENT_SQL, SEGMENTS, class_text, patients
+from tilewright.plans.q_sources import NAMES, SEGMENT_SQL, SEGMENTS, class_text, patients
 from tilewright.plans.registry import query
 from tilewright.session import checkpointed, fresh_dir
+from tilewright.sources import annotations
 from tilewright.streaming import labels as label_stream
 from tilewright.streaming import runs as run_stream
 
@@ -23,7 +24,36 @@ def m1(spark, d):
 @query("m2_decision_tree")
 def m2(spark, d):
     names = [f"c_mktsegment_{s}" for s in SEGMENTS] + ["c_nationkey", "c_acctbal"]
-    return clinical.fit_tree(patients(spark, d), names, "c_custkey")[1]
+    return clinical.fit_tree(graded(spark, d), names, "c_custkey")[1]
+
+
+def graded(spark, d):
+    """Patients whose label follows from their features: balance above 5000 counts two, two of the segments one."""
+    rich = F.when(F.col("c_acctbal") >= 5000, 2).otherwise(0)
+    segment = F.col("c_mktsegment_BUILDING") + F.col("c_mktsegment_MACHINERY")
+    return patients(spark, d).withColumn("label", (rich + segment).cast("int"))
+
+
+GRADED_SQL = """(select c_custkey as key, case when c_acctbal >= 5000 then 2 else 0 end
+    + case when c_mktsegment in ('BUILDING', 'MACHINERY') then 1 else 0 end as label from customer)"""
+SPLIT_SQL = """
+    with o as (select key, label, row_number() over (partition by label order by md5(concat(key, ':10')), key) as r, count(*) over (partition by label) as n from {rows})
+    select label::int as label, case when r <= round_even(0.3::double * n, 0) then 'test' else 'train' end as fold, count(*) as n from o group by 1, 2"""
+
+
+@query("m2_split_sizes", SPLIT_SQL.format(rows=GRADED_SQL))
+def m2_sizes(spark, d):
+    return split_sizes(graded(spark, d), "c_custkey")
+
+
+def split_sizes(df, key):
+    return sampling.split_stratified(df.select(key, "label"), key, "label", 0.3).groupBy("label", "fold").agg(F.count("*").alias("n"))
+
+
+@query("m3_split_sizes", SPLIT_SQL.format(rows="(select bag as key, label from lbags)"))
+def m3_sizes(spark, d):
+    i = v.instances(spark, d)
+    return split_sizes(pairing.label_bags(bags.bag_key(bags.make_bags(i)), bags.slide_labels(i)), "bag")
 
 
 @query("m3_bag_classifier")
@@ -31,17 +61,29 @@ def m3(spark, d):
     i = v.instances(spark, d)
     made = checkpointed(bags.bag_key(bags.make_bags(i)))
     pooled = pooling.attention(pairing.feature_bags(made.select("bag", "instance"), v.features(spark, d)), QUERY_VECTOR)
-    known = pairing.label_bags(made, bags.slide_labels(i)).select("bag", "label")
-    return clinical.fit_bags(pooled.join(known, "bag"))[1]
+    # The label follows from the pooled vector, so that a classifier that ignores its input fails.
+    known = pairing.label_bags(made, bags.slide_labels(i)).select("bag")
+    label = F.when(F.get("pooled", 0) > 0, 2).otherwise(0) + F.when(F.get("pooled", 1) > 0, 1).otherwise(0)
+    return clinical.fit_bags(pooled.join(known, "bag").withColumn("label", label))[1]
 
 
 @query("t1_run_status_stream", RUN_STATUS_SQL)
 def t1(spark, d):
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in v.table(spark, d, "events").schema)
-    out = run_stream.run_status_table(spark, f"{d}/event[s].parquet", fields, v.shape_runs, late="60 days")
+    out = run_stream.run_status_table(spark, f"{d}/event[s].parquet", fields, v.shape_runs)
     return out.select("exp", "status", F.unix_micros("started").alias("started_us"), F.unix_micros("updated").alias("updated_us"))
 
 
+@query("t1_status_counts", """
+    with m as (select max(ts) as last from events)
+    select epoch_us(date_trunc('day', ts::timestamp)) as start_us, event_type as status, count(*) as n from events cross join m
+    where date_trunc('day', ts::timestamp) + interval 2 day <= last group by 1, 2""")
+def t1_counts(spark, d):
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in v.table(spark, d, "events").schema)
+    out = run_stream.status_count_table(spark, f"{d}/event[s].parquet", fields, v.shape_runs)
+    return out.select(F.unix_micros("start").alias("start_us"), "status", "n")
+
+
 @query("t2_ingest_labels_stream", """
     select doc_id, line, min(pos)::int as pos from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from documents)
     group by doc_id, line""")
@@ -58,7 +100,8 @@ CLEAN_SQL = """
          st as (select *, row_number() over (partition by is_empty order by md5(concat(tile, ':10')), tile) as r from statuses where fold <> 'test'),
          n as (select count(*) as f from st where not is_empty),
          k as (select tile, fold from st cross join n where not is_empty or r <= round_even(f / 0.99::double, 0) - f)
-    select k.tile, k.fold, count({main}) as n_labels, count({fine}) as n_fine from k left join kept using (tile) group by k.tile, k.fold"""
+    select k.tile, k.fold, count({main}) as n_labels, count({fine}) as n_fine from k left join kept using (tile) group by k.tile, k.fold
+    union all select t.tile, t.fold, count(obj), count(obj) from ftiles t left join boxes using (tile) where t.fold = 'test' group by t.tile, t.fold"""
 
 
 def cleaned(spark, d, source, **options):
@@ -121,3 +164,51 @@ def score_crop_names(spark, d):
     names = v.image_names(spark, d).select("tile", F.concat("name", F.lit("_crop0.jpg")).alias("name"))
     crops = v.labels(spark, d).select("tile", "class").join(names, "tile")
     return jobs.score_crops(crops, v.SCORE_IDS)
+
+
+FLOW_STEP = 1024
+
+
+@query("flow_tile_dataset", f"""
+    with b as (select slide, row_number() over (partition by slide order by tile, obj) - 1 as n, class, sx0 as x0, sy0 as y0, w, h from boxes),
+         v as (select slide, n, class, k as ord, x0 + floor(w * fx / 2.0)::bigint as x, y0 + floor(h * fy / 2.0)::bigint as y
+               from b cross join (values (0,0,0),(1,1,0),(2,2,0),(3,2,1),(4,2,2),(5,1,2),(6,0,2),(7,0,1),(8,0,0)) t(k, fx, fy)),
+         c as (select slide, n, class, avg(x) as cx, avg(y) as cy from v group by all),
+         s as (select v.slide, v.n, v.class, r.sample_n, ord, least(greatest(x, x0), x1) - x0 as x, least(greatest(y, y0), y1) - y0 as y
+               from c join rects r on r.slide = c.slide and cx between x0 and x1 and cy between y0 and y1 join v on v.slide = c.slide and v.n = c.n),
+         l as (select *, lead(x) over w as nx, lead(y) over w as ny from s window w as (partition by slide, n, sample_n order by ord)),
+         m as (select slide, n, class, sample_n, least(x, 2047) as x, least(y, 4095) as y from l union all
+               select slide, n, class, sample_n, least(trunc((x + nx) / 2.0)::bigint, 2047), least(trunc((y + ny) / 2.0)::bigint, 4095) from l where nx is not null),
+         w as (select slide || '_sample' || sample_n || '_' || i || '_0' as tile, n, class, min(x) || ' ' || max(x) || ' ' || min(y) || ' ' || max(y) as box
+               from m join range(0, 3) t(i) on y >= i * {FLOW_STEP} and y < i * {FLOW_STEP} + 2048 group by slide, n, class, sample_n, i),
+         a as (select slide || '_sample' || sample_n || '_' || i || '_0' as tile, case when slide % 10 = 0 then 'test' when slide % 10 < 3 then 'val' else 'train' end as fold
+               from rects cross join range(0, 3) t(i)),
+         f as (select a.*, a.tile not in (select tile from w) as is_empty from a),
+         st as (select *, row_number() over (partition by is_empty order by md5(concat(tile, ':10')), tile) as r from f where fold <> 'test'),
+         q as (select count(*) as n_full from st where not is_empty),
+         k as (select tile, fold from st cross join q where not is_empty or r <= round_even(n_full / 0.9::double, 0) - n_full),
+         u as (select tile, class, box, min(n) as n from w group by all)
+    select k.tile, k.fold, count(case when class = 0 then 1 end) as n_labels, count(case when class <> 2 then 1 end) as n_fine
+    from k left join u using (tile) group by k.tile, k.fold
+    union all select f.tile, f.fold, count(n), count(n) from f left join w using (tile) where fold = 'test' group by f.tile, f.fold""")
+def flow_tile_dataset(spark, d):
+    """Annotation documents are written and read, cut into tile labels with classes, and cleaned."""
+    one = annotations.annotation_text(F.col("vertices"), class_text())
+    listed = v.objects(spark, d).groupBy("slide").agg(F.sort_array(F.collect_list(F.struct("tile", "obj", one.alias("feature")))).alias("o"))
+    text = lambda parts: F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(parts, ","), F.lit("]}"))
+    out, areas = fresh_dir(spark, "annotations"), fresh_dir(spark, "areas")
+    annotations.write_annotation_lines(listed.select("slide", text(F.col("o.feature")).alias("text")), out, "slide", "text")
+    corners = v.rects(spark, d).groupBy("slide").agg(F.sort_array(F.collect_list(F.struct("sample_n", "x0", "y0", "x1", "y1"))).alias("r"))
+    rect = F.transform("r", lambda r: annotations.rect_text(r["x0"], r["y0"], r["x1"], r["y1"]))
+    annotations.write_annotation_lines(corners.select("slide", text(rect).alias("text")), areas, "slide", "text")
+
+    objects = annotations.objects_of(annotations.annotation_lines(spark, out), "text", "slide")
+    rects = annotations.rects_of(annotations.annotation_lines(spark, areas), "text").filter("valid")
+    slides = v.slides(spark, d).withColumn("slide", F.col("slide").cast("string"))
+    labels = jobs.build_labels(objects, slides, rects, v.TILE, FLOW_STEP, classes={n: k for k, n in NAMES.items()})
+    folds = slides.select("slide", v.fold_of(F.col("slide").cast("bigint")).alias("fold"))
+    tiles = jobs.tile_table(slides, rects, folds, v.TILE, FLOW_STEP)
+    kept, cleaned_labels = jobs.clean("tcd", tiles.select("tile", "fold"), labels, ["class", "xc", "yc", "w", "h"], (2,), (1,), empty_share=0.1)
+    n = cleaned_labels.groupBy("tile").agg(F.count("class").alias("n_labels"), F.count("class_fine").alias("n_fine"))
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("n_labels", "n_fine")}
+    return kept.join(n, "tile", "left").withColumns(zero).select("tile", "fold", "n_labels", "n_fine")

@@ -13,6 +13,7 @@ from tilewright.operators import labels as lb
 from tilewright.operators import metrics, tiling
 from tilewright.operators.runs import training_status
 from tilewright.plans import views as v
+from tilewright.plans.jobs import unmapped_classes
 from tilewright.plans.registry import query
 
 XYWH = ("x0", "y0", "w", "h")
@@ -317,3 +318,20 @@ def p18(spark, d):
     select vec_id as instance, (list_position(embedding[1:4], list_max(embedding[1:4])) - 1)::int as predicted from embeddings""")
 def p19(spark, d):
     return v.instances(spark, d).select("instance", cl.best_class(F.slice("embedding", 1, 4)).alias("predicted"))
+
+
+@query("p6_unmapped_classes", f"""
+    select case class when 0 then 'Glomerulus' when 1 then 'Cellular Crescent' else 'unheard of' end as class_name, count(*) as n
+    from objs where class > 0 group by 1""")
+def p6_unmapped(spark, d):
+    name = F.when(F.col("class") == 0, "Glomerulus").when(F.col("class") == 1, "Cellular Crescent").otherwise("unheard of")
+    return unmapped_classes(v.labels(spark, d).withColumn("class_name", name), {"Glomerulus": 0})
+
+
+@query("f11_configuration_values", """
+    select o_orderkey, 'task' as "column", case o_orderstatus when 'F' then 'detection' when 'O' then 'sorting' end as value from orders where o_orderstatus <> 'F'""")
+def f11_configuration(spark, d):
+    """A value that is missing is reported too."""
+    task = F.when(F.col("o_orderstatus") == "F", "detection").when(F.col("o_orderstatus") == "O", "sorting")
+    o = v.table(spark, d, "orders").select("o_orderkey", task.alias("task"), F.lit("tcd").alias("datasource"))
+    return lb.not_allowed(o, {k: lb.ALLOWED[k] for k in ("task", "datasource")}).select("o_orderkey", "column", "value")

@@ -22,7 +22,7 @@ def class_text():
 @query("s1_dataset_manifest", """
     select 'tiles' as level, fold, 'images' as kind, name, 'png' as ext, (tile * 37) % 1000000 as size,
            'S' || slide || '_PAS' as slide, sample::int as sample, (tile % 7)::int as tile_i, (tile % 5)::int as tile_j
-    from names where fold <> 'test'""")
+    from names""")
 def s1(spark, d):
     paths = F.concat(F.lit("/data/tiles/"), "fold", F.lit("/images/"), "name", F.lit(".png"))
     listed = v.image_names(spark, d).select(paths.alias("path"), (F.col("tile") * 37 % 1000000).alias("length"))
@@ -82,12 +82,17 @@ def s5(spark, d):
 
 
 @query("s6_training_metrics", """
-    select 'run=' || (exp % 20) as exp, epoch::double as epoch, "precision", recall from epochs""")
+    select 'run=' || (exp % 20) as exp, epoch::double as epoch, "precision", recall,
+           case when exp % 20 % 3 = 2 then epoch * 2.0::double end as extra from epochs""")
 def s6(spark, d):
+    """Experiments whose files differ in the order and the number of their columns."""
     out = fresh_dir(spark, "results")
-    curves = v.epochs(spark, d).withColumn("run", F.col("exp") % 20).drop("exp").hint("rebalance", "run")
-    curves.write.partitionBy("run").csv(out, header=True)
-    return files.training_metrics(spark, out)
+    curves = v.epochs(spark, d).withColumn("run", F.col("exp") % 20).drop("exp")
+    headers = [["epoch", "precision", "recall"], ["recall", " epoch", "precision"], ["precision", "extra", "epoch ", "recall"]]
+    for k, header in enumerate(headers):
+        part = curves.filter(F.col("run") % 3 == k).withColumn("extra", F.col("epoch") * 2.0).hint("rebalance", "run")
+        part.select("run", *[F.col(c.strip()).alias(c) for c in header]).write.mode("append").partitionBy("run").csv(out, header=True)
+    return files.training_metrics(spark, out).select("exp", "epoch", "precision", "recall", "extra")
 
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -136,3 +141,48 @@ def s10(spark, d):
     return back.filter("fold = 'train'").groupBy("class").agg(
         F.count("*").alias("n"), F.count_distinct("slide").alias("n_slides")
     )
+
+
+@query("s1_from_files", """
+    select 'tiles' as level, 'train' as fold, 'labels' as kind, count(*) > 0 as some, min(ok)::int as all_parsed
+    from (select tile, true as ok from ftiles) t""")
+def s1_from_files(spark, d):
+    """A dataset tree on disk, listed: its files' sizes add up to what was written."""
+    out = fresh_dir(spark, "tree")
+    rows = v.folded_tiles(spark, d).select(F.concat_ws(" ", "tile", "slide", "fold").alias("value"))
+    rows.write.text(f"{out}/tiles/train/labels")
+    listed = files.dataset_manifest(spark, out, "*.txt")
+    return listed.groupBy("level", "fold", "kind").agg(
+        (F.sum("size") > 0).alias("some"), F.min((F.col("ext") == "txt").cast("int")).alias("all_parsed")
+    )
+
+
+@query("s2_from_files", """
+    select class, count(*) as n, sum(xc)::double as xc, sum(w)::double as w from (select class, round(xc * 4096)::bigint as xc, round(w * 4096)::bigint as w from nboxes) b group by class""")
+def s2_from_files(spark, d):
+    """Label lines in text files, read back by `label_rows`."""
+    out = fresh_dir(spark, "label-files")
+    b = v.shares(v.boxes(spark, d))
+    lines = b.select(files.label_line(F.col("class"), *[F.col(c) for c in ("xc", "yc", "w", "h")]).alias("value"), (F.col("tile") % 40).alias("part"))
+    lines.hint("rebalance", "part").write.partitionBy("part").text(out)
+    read = files.boxes_of_lines(files.label_rows(spark, out))
+    whole = lambda c: F.round(F.col(c) * 4096).cast("bigint")
+    return read.groupBy("class").agg(F.count("*").alias("n"), F.sum(whole("xc")).cast("double").alias("xc"), F.sum(whole("w")).cast("double").alias("w"))
+
+
+@query("s9_to_s2", """
+    select fold, tile, row_number() over (partition by tile order by obj)::int - 1 as line_n, class, xc, yc, nboxes.w, nboxes.h from nboxes join ftiles using (tile)""")
+def s9_to_s2(spark, d):
+    """Labels as text, many tiles per file, each line with its tile in front; read back as label rows."""
+    out = fresh_dir(spark, "label-text")
+    rows = v.shares(v.boxes(spark, d)).withColumn("fold", v.fold_of(F.col("slide")))
+    files.write_label_text(rows, out, files.label_line(F.col("class"), *[F.col(c) for c in ("xc", "yc", "w", "h")]))
+    return files.boxes_of_lines(files.read_label_text(spark, out)).withColumn("tile", F.col("tile").cast("bigint"))
+
+
+@query("s3_unreadable_files", "select slide, sample_n as n, 'unreadable' as problem from rects where (slide + sample_n) % 5 = 0")
+def s3_unreadable(spark, d):
+    one = annotations.rect_text(*[F.col(c) for c in ("x0", "y0", "x1", "y1")])
+    text = F.concat(F.lit('{"type":"FeatureCollection","features":['), one, F.lit("]}"))
+    cut = F.when((F.col("slide") + F.col("sample_n")) % 5 == 0, F.substr(text, F.lit(1), F.length(text) - 9)).otherwise(text)
+    return annotations.unreadable(v.rects(spark, d).select("slide", F.col("sample_n").alias("n"), cut.alias("text")), "text", "slide", "n")

@@ -39,7 +39,8 @@ VIEWS = {
         from slides cross join (values (0), (1), (2)) t(k)""",
     "vertices": """select tile, slide, obj, class, k as ord, sx0 + cast(floor(w * fx / 2.0) as bigint) as x, sy0 + cast(floor(h * fy / 2.0) as bigint) as y
         from boxes cross join (values (0,0,0),(1,1,0),(2,2,0),(3,2,1),(4,2,2),(5,1,2),(6,0,2),(7,0,1),(8,0,0)) t(k, fx, fy)""",
-    "instances": "select vec_id as instance, vec_id % 25 as slide, label % 3 as class, embedding from embeddings",
+    "instances": """select vec_id as instance, case when vec_id < 200 then 1000 + vec_id // 8 else vec_id % 25 end as slide,
+               label % 3 as class, embedding from embeddings""",
     "elements": """select instance, slide, class, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as dim from instances""",
     "runs": "select user_id as exp, event_id, ts, event_type as status, value from events",
     "epochs": """select exp, row_number() over (partition by exp order by ts, event_id) as epoch, value as "precision",

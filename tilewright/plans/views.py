@@ -128,9 +128,11 @@ def objects(spark: SparkSession, d: str) -> DataFrame:
 
 
 def instances(spark: SparkSession, d: str) -> DataFrame:
+    """25 slides that grow with the table, and up to 25 with eight instances each at every size."""
     e = table(spark, d, "embeddings")
+    slide = F.when(F.col("vec_id") < 200, F.floor(F.col("vec_id") / 8) + 1000).otherwise(F.col("vec_id") % 25)
     return e.select(
-        F.col("vec_id").alias("instance"), (F.col("vec_id") % 25).alias("slide"), (F.col("label") % 3).alias("class"), "embedding"
+        F.col("vec_id").alias("instance"), slide.alias("slide"), (F.col("label") % 3).alias("class"), "embedding"
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -28,18 +30,39 @@ def spark_session(app: str = "tilewright", master: str | None = None, **conf: st
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the cluster names none (tests)."""
+    """The cluster's shared folder. A temporary one, gone at exit, only where a single machine names none (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tilewright-"))
+        if not single_machine(sc.master):
+            raise ValueError("several machines need a shared folder: name it in spark.checkpoint.dir")
+        own = tempfile.mkdtemp(prefix="tilewright-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(own)
     return sc.getCheckpointDir().rstrip("/")
 
 
+def single_machine(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
+_MADE: list[str] = []
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def discard(spark: SparkSession) -> int:
+    """Delete the intermediate tables written so far; call it when no result that reads them is needed any more."""
+    gone = 0
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
 
 
 def checkpointed(df):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tilewright.functions import geometry as g
@@ -11,8 +11,8 @@ from tilewright.functions import names, once
 
 
 def manifest_rows(files: DataFrame, path: str = "path", size: str = "length") -> DataFrame:
-    """Paths of a dataset tree as key columns; the test fold is left out."""
-    rows = files.withColumn("_p", names.parse_path(F.col(path))).filter("_p.fold <> '' and _p.fold <> 'test'")
+    """Paths of a dataset tree as key columns, all folds. A ready inventory table can be given as `files`."""
+    rows = files.withColumn("_p", names.parse_path(F.col(path))).filter("_p.fold <> ''")
     key = names.parse_name(F.col("_p.name"))
     return rows.withColumn("_k", key).select(
         "_p.level", "_p.fold", "_p.kind", "_p.name", "_p.ext", F.col(size).alias("size"),
@@ -56,6 +56,22 @@ def write_labels(df: DataFrame, path: str, line: Column) -> None:
     rows.sortWithinPartitions("fold", "tile", "obj").write.mode("overwrite").partitionBy("fold").parquet(path)
 
 
+def write_label_text(df: DataFrame, path: str, line: Column) -> None:
+    """Label lines as text, `fold=<fold>/` files of lines `<tile> <obj> <label line>`: many tiles share a file."""
+    value = F.concat_ws(" ", F.col("tile").cast("string"), F.col("obj").cast("string"), line)
+    df.select("fold", value.alias("value")).hint("rebalance", "fold").write.partitionBy("fold").text(path)
+
+
+def read_label_text(spark: SparkSession, path: str) -> DataFrame:
+    """(fold, tile, line_n, class, numbers) from such files; line_n counts a tile's lines from 0 in object order."""
+    raw = spark.read.schema("value string, fold string").text(path)
+    tokens = F.split("value", " ")
+    rows = raw.select("fold", F.get(tokens, 0).alias("tile"), F.get(tokens, 1).cast("bigint").alias("_o"), F.array_join(F.slice(tokens, 3, F.size(tokens)), " ").alias("_t"))
+    lines = label_lines(rows, "_t", "fold", "tile", "_o").drop("line_n")
+    in_tile = Window.partitionBy("fold", "tile").orderBy("_o")
+    return lines.withColumn("line_n", F.row_number().over(in_tile) - 1).select("fold", "tile", "line_n", "class", "numbers")
+
+
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema("tile bigint, obj bigint, line string, fold string").parquet(path)
     tokens = F.split("line", " ")
@@ -71,11 +87,21 @@ def write_split_dataset(df: DataFrame, path: str) -> None:
 
 
 def training_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """results.csv of every experiment directory: trimmed header, doubles, `exp` = parent directory."""
-    raw = spark.read.csv(path, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True,
-                         recursiveFileLookup=True, pathGlobFilter="*.csv")
+    """results.csv of every experiment directory: doubles, `exp` = parent directory.
+
+    Every file is read by its own header, trimmed; a column that a file lacks is null. A file holds one
+    experiment's epochs, so it is read whole; the header names collected here are the few metrics there are.
+    """
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.csv")
     exp = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
-    return raw.select(exp.alias("exp"), *[F.col(f"`{c}`").cast("double").alias(c.strip()) for c in raw.columns])
+    cells = lambda line: F.transform(F.split(line, ",", -1), lambda c: F.trim(F.translate(c, "\t\r", "")))
+    lines = raw.select(exp.alias("exp"), F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "").alias("_l")).filter(F.size("_l") > 0)
+    heads = lines.select("exp", cells(F.get("_l", 0)).alias("_h"), "_l")
+    names_ = sorted(r[0] for r in heads.select(F.explode("_h")).distinct().collect())
+    rows = heads.select("exp", "_h", F.explode(F.slice("_l", 2, F.size("_l"))).alias("_v")).withColumn("_v", cells(F.col("_v")))
+    at = lambda c: F.get("_v", (F.array_position("_h", c) - 1).cast("int"))
+    value = lambda c: F.when(F.array_contains("_h", c), at(c).try_cast("double"))
+    return rows.select("exp", *[value(c).alias(c) for c in names_])
 
 
 def clinical_table(spark: SparkSession, path: str) -> DataFrame:

@@ -24,6 +24,8 @@ def ingest(files: DataFrame, text: str, key: str, out: str, state: str) -> None:
     only, so nothing has to be remembered between batches. A repeated batch overwrites its directory.
     """
 
+    first_lines(lines_of(files.sparkSession.createDataFrame([], files.schema), text, key), key).write.mode("overwrite").parquet(f"{out}/batch=-1")
+
     def save(batch: DataFrame, batch_id: int) -> None:
         first_lines(lines_of(batch, text, key), key).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 

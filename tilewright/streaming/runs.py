@@ -12,11 +12,11 @@ def run_log(spark: SparkSession, path: str, schema: str, files_per_batch: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def status_updates(runs: DataFrame, late: str = "1 day") -> DataFrame:
-    """Current status per experiment, in update mode. State is one row per experiment."""
+def status_updates(runs: DataFrame) -> DataFrame:
+    """Current status per experiment, in update mode. State is one row per experiment; no entry is too late."""
     last = F.max_by(F.struct("status", "ts", "event_id"), F.struct("ts", "event_id"))
     return (
-        runs.withWatermark("ts", late).groupBy("exp").agg(last.alias("_l"), F.min("ts").alias("started"))
+        runs.groupBy("exp").agg(last.alias("_l"), F.min("ts").alias("started"))
         .select("exp", "_l.status", F.col("_l.ts").alias("updated"), F.col("_l.event_id").alias("event_id"), "started")
     )
 
@@ -29,23 +29,32 @@ def status_counts(runs: DataFrame, late: str = "1 day", width: str = "1 day") ->
     )
 
 
-def run_status_table(spark: SparkSession, path: str, schema: str, shape, late: str = "1 day") -> DataFrame:
-    """Drain what has arrived under `path` and return the status table.
-
-    Every micro-batch writes its updates to its own directory, so a batch that is run again overwrites
-    itself; the newest update per experiment is the status.
-    """
-    out, state = fresh_dir(spark, "run-status"), fresh_dir(spark, "run-status-state")
-    updates = status_updates(shape(run_log(spark, path, schema)), late)
+def _drain(stream: DataFrame, mode: str, out: str, state: str) -> DataFrame:
+    """Run what has arrived through `stream`; every micro-batch has a directory of its own, b = -1 is empty."""
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).withColumn("batch", F.lit(-1)).write.mode("overwrite").parquet(f"{out}/b=-1")
 
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/b={batch_id}")
 
-    query = (
-        updates.writeStream.outputMode("update").foreachBatch(save)
-        .option("checkpointLocation", state).trigger(availableNow=True).start()
-    )
+    query = stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
-    rows = spark.read.option("basePath", out).parquet(f"{out}/b=*")
+    return spark.read.option("basePath", out).parquet(f"{out}/b=*")
+
+
+def status_count_table(spark: SparkSession, path: str, schema: str, shape, late: str = "1 day", width: str = "1 day") -> DataFrame:
+    """Drain what has arrived under `path`: counts of the windows that are closed for late rows."""
+    counts = status_counts(shape(run_log(spark, path, schema)), late, width)
+    return _drain(counts, "append", fresh_dir(spark, "run-counts"), fresh_dir(spark, "run-counts-state")).select("start", "status", "n")
+
+
+def run_status_table(spark: SparkSession, path: str, schema: str, shape) -> DataFrame:
+    """Drain what has arrived under `path` and return the status table; nothing arrived gives no rows.
+
+    Every micro-batch writes its updates to its own directory, so a batch that is run again overwrites
+    itself; the newest update per experiment is the status.
+    """
+    updates = status_updates(shape(run_log(spark, path, schema)))
+    rows = _drain(updates, "update", fresh_dir(spark, "run-status"), fresh_dir(spark, "run-status-state"))
     last = rows.groupBy("exp").agg(F.max_by(F.struct("status", "started", "updated"), "batch").alias("_l"))
     return last.select("exp", "_l.status", "_l.started", "_l.updated")
