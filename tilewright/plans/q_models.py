@@ -63,7 +63,7 @@ def m3(spark, d):
     pooled = pooling.attention(pairing.feature_bags(made.select("bag", "instance"), v.features(spark, d)), QUERY_VECTOR)
     # The label follows from the pooled vector, so that a classifier that ignores its input fails.
     known = pairing.label_bags(made, bags.slide_labels(i)).select("bag")
-    label = F.when(F.get("pooled", 0) > 0, 2).otherwise(0) + F.when(F.get("pooled", 1) > 0, 1).otherwise(0)
+    label = F.when(F.get("pooled", 0) > 0, 1).otherwise(0)
     return clinical.fit_bags(pooled.join(known, "bag").withColumn("label", label))[1]
 
 
