@@ -202,34 +202,20 @@ def connect(sets: list[np.ndarray], percent: int = PERCENT, pivots: int = PIVOTS
     return links.roots()
 
 
-def _groups(docs: DataFrame, members: DataFrame, words: int, key: str, text: str) -> DataFrame:
-    """(task, leader, cell, doc, set): each member's set, once for each group or pair of blocks it belongs to."""
+def _groups(docs: DataFrame, members: DataFrame, key: str, text: str) -> DataFrame:
+    """(task, leader, cell, doc, text): each member, once for each group or pair of blocks it belongs to.
+
+    Texts are moved, not sets: a shuffle packs them to a fraction of the hashes' size.
+    """
     # Leaders per document are bounded by its keys.
     wanted = members.groupBy("doc").agg(F.collect_list(F.struct("leader", "task", "blocks")).alias("at"))
     texts = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).join(wanted, "doc")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, places = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for at, raw, starts in tx.slices(batch.column(1)):
-                h, n = slice_sets(raw, starts, words)
-                begin = np.cumsum(n) - n
-                out = []
-                for r in range(len(n)):
-                    own = h[begin[r] : begin[r] + n[r]].tobytes()
-                    for p in places[at + r]:
-                        blocks = p["blocks"]
-                        mine = int(tx.mix(np.array([doc[at + r]], np.int64))[0] % np.uint64(blocks))
-                        for other in range(blocks):
-                            if blocks == 1 or other != mine:
-                                pair = (min(mine, other), max(mine, other))
-                                out.append((p["task"] + pair[0] * blocks + pair[1], p["leader"], pair[0] * blocks + pair[1], doc[at + r], own))
-                if out:
-                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                    columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds)]
-                    yield pa.RecordBatch.from_arrays(columns, ["task", "leader", "cell", "doc", "set"])
-
-    return texts.select("doc", "text", "at").mapInArrow(sets, "task long, leader long, cell long, doc long, set binary")
+    placed = texts.select("doc", "text", F.explode("at").alias("p")).select("doc", "text", "p.*")
+    mine = F.pmod(F.xxhash64(F.lit("block"), "doc"), F.col("blocks"))
+    others = F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda o: (F.col("blocks") == 1) | (o != F.col("mine")))
+    paired = placed.withColumn("mine", mine).withColumn("other", F.explode(others))
+    cell = F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")
+    return paired.withColumn("cell", cell).select((F.col("task") + F.col("cell")).alias("task"), "leader", "cell", "doc", "text")
 
 
 def jaccard_links(docs: DataFrame, known: DataFrame, words: int, percent: int, key: str, text: str) -> DataFrame:
@@ -248,20 +234,26 @@ def jaccard_links(docs: DataFrame, known: DataFrame, words: int, percent: int, k
     size = kept.groupBy("leader").agg(F.count("*").alias("g")).filter("g > 1")
     tasks = max(1, kept.count() // GROUPS_PER_TASK)
     blocks = F.when(F.col("g") > BLOCK, F.ceil(2 * F.col("g") / BLOCK)).otherwise(1).cast("bigint")
-    task = F.when(F.col("g") > BLOCK, F.xxhash64(F.lit("cells"), "leader")).otherwise(F.pmod(F.xxhash64("leader"), F.lit(tasks)))
+    task = F.when(F.col("g") > BLOCK, F.shiftright(F.xxhash64(F.lit("cells"), "leader"), 1)).otherwise(F.pmod(F.xxhash64("leader"), F.lit(tasks)))
     members = kept.join(size.select("leader", blocks.alias("blocks"), task.alias("task")), "leader")
 
     def search(part: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, group in part.groupby(["leader", "cell"], sort=False):
+        found = [slice_sets(raw, starts, words) for _, raw, starts in tx.slices(pa.array(part["text"], pa.string()))]
+        h, n = (np.concatenate(x) for x in zip(*found))
+        sets = np.split(h, np.cumsum(n)[:-1])
+        leader, cell, doc = (part[c].to_numpy() for c in ("leader", "cell", "doc"))
+        order = np.lexsort((doc, cell, leader))
+        new = (np.diff(leader[order]) != 0) | (np.diff(cell[order]) != 0)
+        out = [np.zeros((2, 0), np.int64)]
+        for group in np.split(order, np.flatnonzero(new) + 1):
             if len(group) > 1:
-                doc = group["doc"].to_numpy()
-                root = connect([np.frombuffer(s, np.uint64) for s in group["set"]], percent)
+                root = connect([sets[x] for x in group], percent)
                 apart = root != np.arange(len(root))
-                out.append(pd.DataFrame({"a": doc[apart], "b": doc[root[apart]]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+                out.append(np.stack([doc[group][apart], doc[group][root[apart]]]))
+        a, b = np.concatenate(out, axis=1)
+        return pd.DataFrame({"a": a, "b": b})
 
-    return _groups(docs, members, words, key, text).groupBy("task").applyInPandas(search, "a long, b long")
+    return _groups(docs, members, key, text).groupBy("task").applyInPandas(search, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
