@@ -183,7 +183,8 @@ def common_prefixes(t: np.ndarray, order: np.ndarray, ends: np.ndarray) -> tuple
         shared[live] += same
         done += 8
         live = live[(differ == 0) & (live + done < limit[live])]
-    shared = np.minimum(shared, np.maximum(0, limit - index))
+    # Neither suffix goes beyond its end, where the padding might seem to agree.
+    shared = np.minimum(shared, np.maximum(0, np.minimum(limit - index, n - np.maximum(neighbour, 0))))
     start = np.zeros(n, np.int64)
     start[fresh] = fresh
     start = np.maximum.accumulate(start)
