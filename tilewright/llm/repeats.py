@@ -4,7 +4,9 @@ A window is `size` consecutive symbols (words or bytes) of one text. Its anchor
 smallest hash in it, so equal windows have equal anchors, at the same place inside. Successive windows with one
 anchor form a segment (anchor, content, place). Segments are dealt by anchor and sorted, so a stream sees
 which anchors occur once - most of them; those windows cannot repeat - and which segments repeat an earlier
-one word for word. A group of copies, however large, is thus reduced to its first before texts are moved.
+one word for word. A task that holds several copies of a segment deals only the first of them by its anchor and
+spreads the others, which are known to repeat, so an anchor with a third of all rows does not fill one task.
+A group of copies, however large, is thus reduced to its first before texts are moved.
 The different segments of an anchor then meet in one shard, whose index (a suffix array, an FM-index) tells
 which of their windows are equal. An anchor with more than `crowd` different segments is refined: its windows
 become segments of their own, with the whole window as anchor.
@@ -26,6 +28,9 @@ from tilewright.llm.store import written
 SHARD_BYTES = 2 << 20
 CROWD = 50_000
 FIELDS = "anchor long, mark long, doc long, at long, n long"
+ALONE, HAS_COPIES, COPY = 0, 1, 2
+DEALT = f"deal long, {FIELDS}, copies long"
+DEALT_NAMES = ["deal", "anchor", "mark", "doc", "at", "n", "copies"]
 
 
 def _symbols(raw: np.ndarray, starts: np.ndarray, words: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -58,61 +63,81 @@ def slice_segments(raw: np.ndarray, starts: np.ndarray, words: bool, size: int,
     return [row[first], tx.signed(grams[own[first]]), tx.signed(mark), begin - before[row[first]], n]
 
 
+def _pre_sorted(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """(deal, anchor, mark, doc, at, n, copies): the rows of one slice, copies of each other told apart.
+
+    A row that repeats a place belongs to a row that repeats a key, and is passed over.
+    """
+    anchor, mark, doc, at, n = columns
+    by = np.lexsort((at, doc, mark, anchor))
+    anchor, mark, doc, at, n = (c[by] for c in columns)
+    same = np.append(False, (anchor[1:] == anchor[:-1]) & (mark[1:] == mark[:-1]))
+    again = same & np.append(False, (doc[1:] == doc[:-1]) & (at[1:] == at[:-1]))
+    anchor, mark, doc, at, n, same = (c[~again] for c in (anchor, mark, doc, at, n, same))
+    copies = np.where(same, COPY, np.where(np.append(same[1:], False), HAS_COPIES, ALONE))
+    spread_ = tx.signed(tx.mix((doc.astype(np.uint64) << np.uint64(24)) ^ at.astype(np.uint64)))
+    return [np.where(same, spread_, anchor), anchor, mark, doc, at, n, copies.astype(np.int64)]
+
+
 def segments(docs: DataFrame, words: bool, size: int, gram: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids = batch.column(0).to_numpy()
             for at, raw, starts in tx.slices(batch.column(1), tx.SLICE_BYTES):
-                row, *rest = slice_segments(raw, starts, words, size, gram)
+                row, anchor, mark, place, n = slice_segments(raw, starts, words, size, gram)
                 if len(row):
-                    columns = [*map(pa.array, rest)]
-                    columns.insert(2, batch.column(0).take(pa.array(at + row)))
-                    yield pa.RecordBatch.from_arrays(columns, ["anchor", "mark", "doc", "at", "n"])
+                    columns = _pre_sorted([anchor, mark, ids[at + row], place, n])
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], DEALT_NAMES)
 
-    return docs.filter("doc is not null").select("doc", "text").mapInArrow(cut, FIELDS)
+    return docs.filter("doc is not null").select("doc", "text").mapInArrow(cut, DEALT)
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From segments sorted by all fields: those whose anchor occurs again, with their role.
 
     0: the only one of its content; 1: the first of several; 2: a repetition of an earlier one. A stream that
-    holds two rows back. A row that repeats a place belongs to a row that repeats a key, and is passed over.
+    holds two rows back; known copies pass.
     """
     names = ["anchor", "mark", "doc", "at", "n"]
-    held = [np.zeros(0, np.int64)] * 5
+    held = [np.zeros(0, np.int64)] * 6
     told = 0  # how many of the held rows are out already
 
-    def judge(rows: list[np.ndarray], lo: int, hi: int) -> pa.RecordBatch | None:
-        anchor, mark = rows[0], rows[1]
+    def out(rows: list[np.ndarray], role: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (*rows, role.astype(np.int32))], [*names, "role"])
+
+    def judge(rows: list[np.ndarray], lo: int, hi: int) -> Iterator[pa.RecordBatch]:
+        anchor, mark, copies = rows[0], rows[1], rows[5]
         same_anchor = np.append(False, anchor[1:] == anchor[:-1])
         same = same_anchor & np.append(False, mark[1:] == mark[:-1])
         next_anchor, next_same = np.append(same_anchor[1:], False), np.append(same[1:], False)
-        role = np.where(same, 2, np.where(next_same, 1, 0)).astype(np.int32)
-        use = np.flatnonzero((same_anchor | next_anchor)[lo:hi]) + lo
-        if not len(use):
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c[use])) for c in (*rows, role)], [*names, "role"])
+        role = np.where(same, 2, np.where(next_same | (copies == HAS_COPIES), 1, 0))
+        use = np.flatnonzero((same_anchor | next_anchor | (copies == HAS_COPIES))[lo:hi]) + lo
+        if len(use):
+            yield out([c[use] for c in rows[:5]], role[use])
 
     for batch in batches:
-        rows = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns)]
+        new = [c.to_numpy() for c in batch.columns[1:]]
+        copy = new[5] == COPY
+        if copy.any():
+            yield out([c[copy] for c in new[:5]], np.full(int(copy.sum()), 2))
+        rows = [np.concatenate([h, c[~copy]]) for h, c in zip(held, new)]
         again = np.append(False, np.logical_and.reduce([c[1:] == c[:-1] for c in rows[:4]])) if len(rows[0]) else np.zeros(0, bool)
+        # The earlier of two rows of one place stays; it has copies if either has.
+        rows[5] = np.maximum(rows[5], np.append(np.where(again[1:], rows[5][1:], 0), 0)) if len(rows[0]) else rows[5]
         rows = [c[~again] for c in rows]
         count = len(rows[0])
         if count - 1 > told:
-            out = judge(rows, told, count - 1)
-            if out is not None:
-                yield out
+            yield from judge(rows, told, count - 1)
         keep = max(0, count - 2)
         told = max(told, count - 1) - keep
         held = [c[keep:] for c in rows]
     if len(held[0]) > told:
-        out = judge(held, told, len(held[0]))
-        if out is not None:
-            yield out
+        yield from judge(held, told, len(held[0]))
 
 
 def met(posts: DataFrame) -> DataFrame:
     sort = ["anchor", "mark", "doc", "at"]
-    return posts.repartition("anchor").sortWithinPartitions(*sort).mapInArrow(_met, FIELDS + ", role int")
+    return posts.repartition("deal").sortWithinPartitions(*sort).mapInArrow(_met, FIELDS + ", role int")
 
 
 def word_spans(body: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -126,24 +151,37 @@ def _contents(docs: DataFrame, firsts: DataFrame, words: bool, size: int, shards
     wanted = firsts.groupBy("doc").agg(F.collect_list(F.struct("anchor", "at", "n", "role")).alias("parts"))
     texts = docs.join(wanted, "doc").select("doc", "text", "parts")
 
+    names = ["shard", "doc", "at", "n", "role", "body"]
+
+    def batch_of(rows: list[tuple], bodies: list[bytes]) -> pa.RecordBatch:
+        columns = [pa.array(np.concatenate(c)) for c in zip(*rows)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(bodies, pa.binary())], names)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, bodies, held = [], [], 0
         for batch in batches:
+            docs_, texts_, lists = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
+            edge, flat = lists.offsets.to_numpy(), lists.values
+            anchors, ats, ns, roles = (flat.field(k).to_numpy() for k in range(4))
+            shards_ = (tx.mix(anchors.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
             for i in range(len(batch)):
-                parts = batch.column(2)[i].values
-                anchor, at, n, role = (parts.field(k).to_numpy() for k in range(4))
-                body = (batch.column(1)[i].as_py() or "").encode()
-                stop = at + n - 1 + size
+                own = slice(edge[i] - lists.values.offset, edge[i + 1] - lists.values.offset)
+                shard, at, n, role = shards_[own], ats[own], ns[own], roles[own]
+                body = (texts_[i].as_py() or "").encode()
+                begin, stop = at, at + n - 1 + size
                 if words:
                     first, end = word_spans(body)
                     fits = stop <= len(first)  # not so in another row with the same key
-                    anchor, at, n, role, stop = (x[fits] for x in (anchor, at, n, role, stop))
+                    shard, at, n, role, stop = (x[fits] for x in (shard, at, n, role, stop))
                     begin, stop = first[at], end[stop - 1]
-                else:
-                    begin = at
-                bodies = [body[a:b] for a, b in zip(begin.tolist(), stop.tolist())]
-                shard = (tx.mix(anchor.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
-                columns = [pa.array(shard), pa.array(np.full(len(at), batch.column(0)[i].as_py(), np.int64)), pa.array(at), pa.array(n), pa.array(role), pa.array(bodies, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["shard", "doc", "at", "n", "role", "body"])
+                rows.append((shard, np.full(len(at), docs_[i]), at, n, role))
+                bodies += [body[a:b] for a, b in zip(begin.tolist(), stop.tolist())]
+                held += int((stop - begin).sum())
+                if held > 4 << 20:
+                    yield batch_of(rows, bodies)
+                    rows, bodies, held = [], [], 0
+        if rows:
+            yield batch_of(rows, bodies)
 
     return texts.mapInArrow(cut, "shard long, doc long, at long, n long, role int, body binary")
 
@@ -163,10 +201,11 @@ def _refined(docs: DataFrame, crowded: DataFrame, words: bool, size: int) -> Dat
                 windows = np.unique(tx.spread(at, n))
                 windows = windows[windows + size <= len(codes)]
                 whole = tx.Rolling(codes)(windows, windows + size)
-                columns = [tx.signed(whole), tx.signed(tx.mix(whole)), np.full(len(windows), batch.column(0)[i].as_py(), np.int64), windows, np.ones(len(windows), np.int64)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["anchor", "mark", "doc", "at", "n"])
+                doc = np.full(len(windows), batch.column(0)[i].as_py(), np.int64)
+                columns = _pre_sorted([tx.signed(whole), tx.signed(tx.mix(whole)), doc, windows, np.ones(len(windows), np.int64)])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], DEALT_NAMES)
 
-    return texts.mapInArrow(cut, FIELDS)
+    return texts.mapInArrow(cut, DEALT)
 
 
 def repeated_windows(
