@@ -22,8 +22,9 @@ def test_manifest(spark, tmp_path):
         put(f"{tmp_path}/tiles/{fold}/labels/S1_PAS_sample0_3_4.txt", "0 1 1 1 1")
     put(f"{tmp_path}/wsi/val/images/S2_PAS.tif", "1")
     got = {(r.level, r.fold, r.kind, r.ext, r.size, r.slide, r.tile_i, r.tile_j) for r in files.dataset_manifest(spark, str(tmp_path)).collect()}
-    assert got == {("tiles", "train", "images", "png", 5, "S1_PAS", 3, 4), ("tiles", "train", "labels", "txt", 9, "S1_PAS", 3, 4),
-                   ("wsi", "val", "images", "tif", 1, "S2_PAS", None, None)}
+    # All folds are listed; leaving the test fold out is `not_test`'s business.
+    tile = [("tiles", fold, *rest) for fold in ("train", "test") for rest in (("images", "png", 5, "S1_PAS", 3, 4), ("labels", "txt", 9, "S1_PAS", 3, 4))]
+    assert got == {*tile, ("wsi", "val", "images", "tif", 1, "S2_PAS", None, None)}
     plan = files.dataset_manifest(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan
 
