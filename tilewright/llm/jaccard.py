@@ -32,7 +32,7 @@ from tilewright.llm.store import written
 WORDS = 5
 PERCENT = 75
 BLOCK = 2000
-GROUPS_PER_TASK = 1000  # sets that a task of ordinary groups gets, about
+GROUPS_PER_TASK = 500  # sets that a task of ordinary groups gets, about
 PIVOTS = 6
 
 

@@ -37,7 +37,7 @@ ROWS = 3
 PERCENT = 75
 LEAST = 20
 BLOCK = 2000
-GROUPS_PER_TASK = 4000
+GROUPS_PER_TASK = 2000
 LINE_BITS = 24
 
 
@@ -218,6 +218,7 @@ def line_links(docs: DataFrame, table: DataFrame, percent: int, shingle: int, ke
             apart = np.flatnonzero(root != np.arange(len(group)))
             a.append(node[group[apart]])
             b.append(node[group[root[apart]]])
+        tx.give_back()
         return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     return _line_groups(docs, members, key, text).groupBy("task").applyInPandas(verify, "a long, b long")

@@ -5,12 +5,15 @@ A word is a run of bytes other than 0x20 and 0x09-0x0D, so it is the same in UTF
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -66,6 +69,13 @@ class Rolling:
         return mix(raw + np.uint64(k))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a task's worker lives on, and others need the room meanwhile."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, starts) of successive rows holding about `limit` bytes; null texts are empty.
 
@@ -88,6 +98,7 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.
         last = min(max(last, row + 1), len(texts))
         yield row, raw[offsets[row] : offsets[last]], offsets[row : last + 1] - offsets[row]
         row = last
+    give_back()
 
 
 def words(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
