@@ -182,12 +182,40 @@ def _sets(lines: list[bytes], k: int) -> list[np.ndarray]:
     edge = np.append(0, np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines))))
     points, before = _characters(raw)
     h, count = _shingles(points, before[edge[:-1]], before[edge[1:]], k)
-    row = np.repeat(np.arange(len(lines)), count)
-    order = np.argsort(h, kind="stable")
-    order = order[np.argsort(row[order].astype(np.int32), kind="stable")]
-    h, row = h[order], row[order]
-    new = np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1]))
-    return np.split(h[new], np.cumsum(np.bincount(row[new], minlength=len(lines)))[:-1])
+    return [np.unique(x) for x in np.split(h, np.cumsum(count)[:-1])]
+
+
+def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Exact Jaccard test of two sorted sets."""
+    both = np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a)
+    return bool(100 * both >= percent * (len(a) + len(b) - both))
+
+
+def group_links(group: np.ndarray, own: np.ndarray, texts: list[bytes], percent: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(x, y): linked members. `group` numbers the groups, members of one standing together; own is each one's text."""
+    first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    start = np.repeat(first, np.diff(np.append(first, len(group))))
+    # Most groups are one text: its members are linked at once. Only the other groups' texts get sets.
+    mixed = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
+    plain = np.repeat(~mixed, np.diff(np.append(first, len(group)))) & (start != np.arange(len(group)))
+    a, b = [np.flatnonzero(plain)], [start[plain]]
+    edge = np.append(first, len(group))
+    places = [np.arange(edge[g], edge[g + 1]) for g in np.flatnonzero(mixed)]
+    if places:
+        needed = np.unique(own[np.concatenate(places)])
+        sets = dict(zip(needed.tolist(), _sets([texts[x] for x in needed], k)))
+        for at in places:
+            if len(at) == 2:
+                if _alike(sets[own[at[0]]], sets[own[at[1]]], percent):
+                    a.append(at[1:])
+                    b.append(at[:1])
+                continue
+            distinct, lead, which = np.unique(own[at], return_index=True, return_inverse=True)
+            root = lead[connect([sets[x] for x in distinct.tolist()], percent)][which]
+            apart = np.flatnonzero(root != np.arange(len(at)))
+            a.append(at[apart])
+            b.append(at[root[apart]])
+    return np.concatenate(a), np.concatenate(b)
 
 
 def line_links(docs: DataFrame, table: DataFrame, percent: int, shingle: int, key: str, text: str) -> DataFrame:
@@ -208,18 +236,9 @@ def line_links(docs: DataFrame, table: DataFrame, percent: int, shingle: int, ke
         new = (np.diff(leader[order]) != 0) | (np.diff(cell[order]) != 0)
         text_of: dict[bytes, int] = {}
         own = np.array([text_of.setdefault(x, len(text_of)) for x in part["line"]], np.int64)
-        sets = _sets(list(text_of), shingle)
-        a, b = [], []
-        for group in np.split(order, np.flatnonzero(new) + 1):
-            # Equal lines are one set; its first line stands for it.
-            texts, first, which = np.unique(own[group], return_index=True, return_inverse=True)
-            start = first[connect([sets[x] for x in texts], percent)] if len(texts) > 1 else first
-            root = start[which]
-            apart = np.flatnonzero(root != np.arange(len(group)))
-            a.append(node[group[apart]])
-            b.append(node[group[root[apart]]])
+        x, y = group_links(np.append(0, np.cumsum(new)), own[order], list(text_of), percent, shingle)
         tx.give_back()
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+        return pd.DataFrame({"a": node[order[x]], "b": node[order[y]]})
 
     return _line_groups(docs, members, key, text).groupBy("task").applyInPandas(verify, "a long, b long")
 
