@@ -1,6 +1,7 @@
 import random
 import re
 from collections import defaultdict
+from itertools import permutations
 
 import numpy as np
 import pytest
@@ -104,6 +105,28 @@ def test_search_in_a_group_without_pivots():
         assert (jaccard.connect(sets, 75, pivots) == want.roots()).all()
 
 
+def chain(name):
+    """A text and its successive truncations to 80, 64 and 51 %: only neighbours link."""
+    return [" ".join(f"{name}{i}" for i in range(n + 4)) for n in (100, 80, 64, 51)]
+
+
+@pytest.mark.parametrize("others", [0, 1, 2, 3])
+def test_small_group_keeps_links_between_closed_sets(others):
+    steps = [np.arange(n, dtype=np.uint64) for n in (100, 80, 64, 51)]
+    alone = [np.arange(1000 * k, 1000 * k + 90, dtype=np.uint64) for k in range(1, 1 + others)]
+    for order in permutations(range(4)):
+        root = jaccard.connect([*[steps[x] for x in order], *alone])
+        assert root.tolist() == [0, 0, 0, 0, *range(4, 4 + others)], order
+
+
+def test_chain_of_four_documents(make_docs):
+    rows = []
+    for k, order in enumerate(permutations(range(4))):
+        rows += [(10 * k + i, chain(f"c{k}x")[x]) for i, x in enumerate(order)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(make_docs(rows, 4)).collect()}
+    assert got == {d: d // 10 * 10 for d, _ in rows}
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(i, i + 1) for i in range(1000, 1040)] + [(5, k) for k in range(50, 90)] + [(rng.randrange(300, 600), rng.randrange(300, 600)) for _ in range(200)]

@@ -162,7 +162,7 @@ def connect(sets: list[np.ndarray], percent: int = PERCENT, pivots: int = PIVOTS
     size = np.array([len(s) for s in sets])
     flat, offsets = np.concatenate(sets), np.append(0, np.cumsum(size))
     links = Links(len(sets))
-    open_ = np.ones(len(sets), bool)
+    open_, rest = np.ones(len(sets), bool), np.ones(len(sets), bool)
     for _ in range(pivots):
         at = np.flatnonzero(open_)
         if not len(at):
@@ -171,16 +171,19 @@ def connect(sets: list[np.ndarray], percent: int = PERCENT, pivots: int = PIVOTS
         for x in np.flatnonzero(near):
             links.join(int(at[0]), int(x))
         open_ &= ~near
+        rest[at[0]] = False
     root = links.roots()
-    if len(sets) <= pivots or (root == root[0]).all():
+    # Pivots have met every set. Sets that pivots closed have not met each other: two of different components may link.
+    rest = np.flatnonzero(rest)
+    if not len(rest) or (root[rest] == root[rest[0]]).all():
         return root
     # Inverted lists: the sets that hold each shingle, rising.
     holder = np.repeat(np.arange(len(sets)), size)
     order = np.argsort(flat, kind="stable")
     shingle, first = np.unique(flat[order], return_index=True)
     lists, edges = holder[order], np.append(first, len(flat))
-    largest = np.bincount(root).argmax()
-    for x in np.flatnonzero(root != largest):  # a pair of different components has an end outside the largest
+    largest = np.bincount(root[rest]).argmax()
+    for x in rest[root[rest] != largest]:  # a pair of different components has an end outside the largest
         at = np.searchsorted(shingle, sets[x])
         length = edges[at + 1] - edges[at]
         need = -(-int(size[x]) * percent // 100)
