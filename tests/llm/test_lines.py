@@ -89,6 +89,28 @@ def test_recall_with_production_bands(make_docs, sf_texts):
     assert found <= want and len(found) >= 0.98 * len(want) and want
 
 
+def test_short_lines(make_docs):
+    rng = random.Random(5)
+    short = ["Read more", "Share this page", "}", "é", "ab", "seven77", "eight888", "a" * 8, "a" * 12, "a" * 19, "nineteen characters", "x y"]
+    near = ["page 12 of 34 in all", "page 12 of 34 in al", "sixteen letters.", "sixteen letters!"]
+    rows = []
+    for d in range(60):
+        own = [f"{d}", f"line {d}", "".join(rng.choice("bcdfghjk") for _ in range(rng.randint(1, 19)))]
+        rows.append((d, "\n".join(rng.sample([*own, *rng.sample(short, 3), rng.choice(near), "Read more" if d % 3 else " "], 8))))
+    got = {r["doc_id"]: [tuple(x) for x in r["removed"] or []] for r in lines.dedup_lines(make_docs(rows, 7)).collect()}
+    _, gone = brute(rows, least=0)
+    assert got == {d: gone[d] for d, _ in rows}
+    assert sum(map(len, got.values())) > 200
+
+
+def test_short_lines_of_given_documents(make_docs, sf_texts):
+    got = {(r["doc_id"], x["line"]) for r in lines.dedup_lines(make_docs(sf_texts)).collect() for x in r["removed"] or []}
+    _, gone = brute(sf_texts, least=0)
+    text = dict(sf_texts)
+    want = {(d, x[0]) for d, at in gone.items() for x in at if len(text[d].split("\n")[x[0]].strip(SPACE)) < 20}
+    assert want and len(want & got) >= 0.98 * len(want)
+
+
 def test_cut_text(make_docs):
     a, b = "a line that is long enough", "another line that is long enough"
     docs = make_docs([f"{a}\n{b}\n\nx", f"{b}\r\n  {a}\ny", None, a])

@@ -1,9 +1,9 @@
 """Fuzzy line dedup over a corpus by MinHash: one line is kept of each group of near-equal lines.
 
-1. Every line (without the white space around it) of `least` characters or more is cut into character shingles.
-   One hash per shingle goes into one of `bands * rows` bins; the bins' minima are the signature, empty bins
-   borrow from the next one (one-permutation hashing). `rows` minima make a band key. Lines that a task has
-   seen before only point at their first occurrence.
+1. Every line with a word (without the white space around it) is cut into character shingles; one shorter than a
+   shingle is one shingle, so it is matched exactly. One hash per shingle goes into one of `bands * rows` bins;
+   the bins' minima are the signature, empty bins borrow from the next one (one-permutation hashing). `rows`
+   minima make a band key. Lines that a task has seen before only point at their first occurrence.
 2. Lines with a band key in common form a group led by the smallest; two lines of similarity s share a key with
    probability 1 - (1 - s**rows) ** bands, 0.9985 at s = 0.75 with the defaults, and more above.
 3. Each group's lines are compared exactly: their shingle sets, by T-occurrence search in one task per group; a
@@ -35,7 +35,7 @@ SHINGLE = 8
 BANDS = 12
 ROWS = 3
 PERCENT = 75
-LEAST = 20
+LEAST = 1  # every line with a word
 BLOCK = 2000
 GROUPS_PER_TASK = 2000
 LINE_BITS = 24
@@ -250,7 +250,7 @@ def dedup_lines(
     """(key, n_lines, n_removed, removed): for each document its lines with a word, and those that go.
 
     removed: (line, kept_doc, kept_line), line numbers from 0 at each line feed, in rising order; null where no line
-    goes. Lines of fewer than `least` characters are left alone. A null or empty text has no lines. Nothing is
+    goes. With `least`, lines of fewer characters are left alone. A null or empty text has no lines. Nothing is
     removed from rows with a null key; rows that repeat a key are one document. The key must be an integer.
     Other columns are ignored; an empty table gives no rows.
     """
