@@ -111,6 +111,15 @@ def test_short_lines_of_given_documents(make_docs, sf_texts):
     assert want and len(want & got) >= 0.98 * len(want)
 
 
+@pytest.mark.parametrize("length,at,linked", [(62, 30, False), (63, 30, True), (13, -1, False), (14, -1, True)])
+def test_shortest_line_with_one_edit_found(length, at, linked):
+    a = [chr(0x4E00 + i) for i in range(length)]
+    b = list(a)
+    b[at] = "x"
+    one, other = lines._sets(["".join(x).encode() for x in (a, b)], lines.SHINGLE)
+    assert lines._alike(one, other, lines.PERCENT) == linked
+
+
 def test_cut_text(make_docs):
     a, b = "a line that is long enough", "another line that is long enough"
     docs = make_docs([f"{a}\n{b}\n\nx", f"{b}\r\n  {a}\ny", None, a])

@@ -11,6 +11,10 @@
 4. Verified links go to a distributed union-find; of each component the first line (smallest key, then line
    number) stays.
 
+With 8-character shingles that do not repeat and 75 percent, lines with one replaced inner character reach the
+similarity only from 63 characters on, (L - 15) / (L + 1) >= 0.75; with a replaced last character from 14 on,
+(L - 8) / (L - 6) >= 0.75. Shorter lines with such a difference are not linked.
+
 A line is numbered key * 2**24 + line, so keys below 2**39 and 16 million lines per text are the limits; a
 larger one raises an error.
 """
