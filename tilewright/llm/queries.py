@@ -177,3 +177,17 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tilewright.llm.words_dedup import dedup_words
 
     return dedup_words(table(spark, sf_dir, "documents"), size=20).drop("kept")
+
+
+@query("op11_benchmark_decontamination")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tilewright.llm.contamination import contamination
+
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10, texts=False)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        "longest", "over_limit",
+    )
