@@ -224,3 +224,33 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("1000 * best.length div best.period").alias("exponent_milli"), digest(listed).alias("runs_sha256"), digest(F.col("collapsed")).alias("collapsed_sha256"),
         "n_words",
     )
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with planted faults, by the hash of conversation and turn; what is null reads as one space."""
+    from pyspark.sql import functions as F
+
+    named = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    read = conversations.select(
+        "conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"), (F.crc32(named.cast("binary")) % 20).alias("d")
+    )
+    text = F.when(F.col("d") == 1, "").when(F.col("d") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    changed = read.filter("d <> 0").withColumns({"text": text, "role": F.when(F.col("d") == 4, "user").otherwise(F.col("role"))})
+    return changed.withColumn("copy", F.explode(F.when(F.col("d") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("d", "copy")
+
+
+@query("op13_conversation_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tilewright.llm.conversations import digests, repair_parts
+
+    given = table(spark, sf_dir, "conversations")
+    found = digests(*repair_parts(damaged(given)))
+    every = given.select("conv_id").distinct()
+    count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
+    gaps = F.coalesce(F.expr("turn_most - turn_least + 1 - turns_distinct"), F.lit(0)).cast("bigint").alias("gaps")
+    return every.join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left").select(
+        "conv_id", gaps, *map(count, ["blank", "duplicate", "truncated", "illegal", "cost"]), F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
