@@ -117,3 +117,35 @@ def test_late_rows_do_not_reach_closed_windows(spark, tmp_path):
         q.trigger(availableNow=True).start().awaitTermination()
     got = {(str(r.start)[:10], r.n) for r in spark.read.parquet(out).collect()}
     assert got == {("2024-01-01", 1), ("2024-01-05", 1)}
+
+
+def test_late_entries_are_counted_however_files_arrive(spark, tmp_path):
+    """300 files, the newest first and a hundred a batch: what came too late is told apart, and nothing is lost."""
+    src = f"{tmp_path}/in"
+    at = lambda k: f"2024-01-{1 + k // 10:02d} {k % 10 * 2:02d}:30:00"
+    rows = [(k % 5, k, at(k), "ab"[k % 2]) for k in range(300)]
+    log(spark, rows).repartitionByRange(300, "event_id").write.parquet(f"{tmp_path}/made")
+    put(f"{src}/_ignored", "")
+    made = sorted(f for f in os.listdir(f"{tmp_path}/made") if f.startswith("part"))
+    assert len(made) == 300
+    for k, f in enumerate(made):
+        os.rename(f"{tmp_path}/made/{f}", f"{src}/{f}")
+        os.utime(f"{src}/{f}", (1_700_000_000 - k, 1_700_000_000 - k))
+    got = {(str(r.start)[:10], r.status): (r.n, r.n_late) for r in run_stream.status_count_table(spark, src, LOG, lambda df: df).collect()}
+    # Batches of a hundred files, ten days each: the first is on time, all of the others came after their windows closed.
+    days = {f"2024-01-{d:02d}" for d in range(1, 31)}
+    closed = {d for d in days if d <= "2024-01-28"}
+    assert got == {(d, s): ((5, 0) if d > "2024-01-20" else (0, 5)) for d in closed for s in "ab"}
+
+
+def test_a_ledger_of_nothing_and_of_entries_without_a_time(spark, tmp_path):
+    src, out, state = f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state"
+    log(spark, []).write.parquet(src)
+    count = lambda: run_stream.count_arrivals(run_stream.run_log(spark, src, LOG), out, state)
+    count()
+    assert run_stream.arrival_counts(spark, out).count() == 0
+    for rows in ([(1, 1, None, "a"), (1, 2, "2024-01-09 00:00:00", "a")], [(1, 3, None, "a"), (1, 4, "2024-01-01 00:00:00", "a")]):
+        log(spark, rows).coalesce(1).write.mode("append").parquet(src)
+        count()
+    got = {(r.start and str(r.start)[:10], r.n, r.n_late, r.closed) for r in run_stream.arrival_counts(spark, out).collect()}
+    assert got == {(None, 2, 0, False), ("2024-01-09", 1, 0, False), ("2024-01-01", 0, 1, True)}

@@ -79,9 +79,34 @@ def t1(spark, d):
     select epoch_us(date_trunc('day', ts::timestamp)) as start_us, event_type as status, count(*) as n from events cross join m
     where date_trunc('day', ts::timestamp) + interval 2 day <= last group by 1, 2""")
 def t1_counts(spark, d):
+    """All entries of closed windows, however many files bring them in whatever order."""
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in v.table(spark, d, "events").schema)
     out = run_stream.status_count_table(spark, f"{d}/event[s].parquet", fields, v.shape_runs)
-    return out.select(F.unix_micros("start").alias("start_us"), "status", "n")
+    return out.select(F.unix_micros("start").alias("start_us"), "status", (F.col("n") + F.col("n_late")).alias("n"))
+
+
+@query("t1_late_entries", """
+    with m as (select max(ts) as last from events),
+         a as (select *, least(2, (epoch_us(last) - epoch_us(ts)) // 864000000000) as third from events cross join m),
+         e as (select date_trunc('day', ts) as start, ts, event_type as status,
+                      case when third = 2 then 2 when third = 1 and event_id % 7 <> 0 then 0 else 1 end as delivery from a),
+         k as (select max(ts) filter (delivery = 0) as m0, max(ts) filter (delivery < 2) as m1, max(ts) as m2 from e),
+         f as (select *, coalesce((delivery = 1 and start + interval 2 day <= m0) or (delivery = 2 and start + interval 2 day <= m1), false) as is_late from e cross join k)
+    select epoch_us(start::timestamp) as start_us, status, count(*) filter (not is_late) as n, count(*) filter (is_late) as n_late,
+           bool_or(start + interval 2 day <= m2) as closed from f group by 1, 2""")
+def t1_late(spark, d):
+    """Entries that come in three deliveries, the oldest third last and some a delivery after their neighbours."""
+    src, out, state = (fresh_dir(spark, f"log-{k}") for k in ("files", "ledger", "state"))
+    entries = v.shape_runs(v.table(spark, d, "events"))
+    last = entries.agg(F.max("ts").alias("last")).scalar()
+    third = F.least(F.lit(2), F.floor((F.unix_micros(last) - F.unix_micros("ts")) / (10 * 86_400_000_000)))
+    delivery = F.when(third == 2, 2).when((third == 1) & (F.col("event_id") % 7 != 0), 0).otherwise(1)
+    dealt = entries.withColumn("delivery", delivery)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in entries.schema)
+    for k in range(3):
+        dealt.filter(F.col("delivery") == k).drop("delivery").write.mode("append").parquet(src)
+        run_stream.count_arrivals(run_stream.run_log(spark, src, schema, files_per_batch=1_000_000), out, state)
+    return run_stream.arrival_counts(spark, out).select(F.unix_micros("start").alias("start_us"), "status", "n", "n_late", "closed")
 
 
 @query("t2_ingest_labels_stream", """
