@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import geometry as g
 from tilewright.functions import let
+from tilewright.operators.spatial import points_in_boxes
 
 
 def rects_from_features(df: DataFrame, features: str = "features") -> DataFrame:
@@ -62,21 +63,24 @@ def sample_count(rects: DataFrame) -> DataFrame:
 def samples_of_objects(objects: DataFrame, rects: DataFrame, clip: bool = True) -> DataFrame:
     """Objects go to every rectangle of their slide that holds their centroid, in its coordinates.
 
-    A slide has at most ten rectangles, so the join never multiplies a slide's objects by more than
-    that; a slide with most of the objects is split by the adaptive skew join.
+    The join is spatial: a slide may have any number of rectangles and any share of the objects.
     """
     named = objects.filter(F.coalesce(F.col("class_name"), F.lit("Glo-NA")) != "Tissue")
     centre = named.withColumns({
         "class_name": F.coalesce("class_name", F.lit("Glo-NA")), "_c": g.centroid(F.col("vertices")),
     })
-    inside = g.holds(*[F.col(c) for c in ("x0", "y0", "x1", "y1")], F.col("_c.x"), F.col("_c.y"))
     box = rects.select("slide", "sample_n", "x0", "y0", "x1", "y1")
     moved = g.clip_shift(F.col("vertices"), *[F.col(c) for c in ("x0", "y0", "x1", "y1")], clip=clip)
     size = {"region_w": F.col("x1") - F.col("x0"), "region_h": F.col("y1") - F.col("y0")}
-    found = centre.join(box, "slide").filter(inside).withColumns({"vertices": moved, **size})
+    found = points_in_boxes(centre, box, "slide", F.col("_c.x"), F.col("_c.y")).withColumns({"vertices": moved, **size})
     return found.drop("_c", "x0", "y0", "x1", "y1")
 
 
+def crowded_slides(rects: DataFrame, most: int = 10) -> DataFrame:
+    """(slide, n): slides with more rectangles than tile names can tell apart, which hold one digit for the sample."""
+    return rects.groupBy("slide").agg(F.count("*").alias("n")).filter(F.col("n") > most)
+
+
 def tile_boxes(df: DataFrame, tile: int, step: int, width: Column, height: Column) -> DataFrame:
     """Boxes (x0, y0, w, h in region pixels) clipped to every window they reach, as shares of the tile."""
     x0, y0 = F.col("x0").cast("double"), F.col("y0").cast("double")

@@ -47,6 +47,34 @@ def j3(spark, d):
     return rows.select("tile", "slide", "obj", "sample_n", "class_name", g.vertex_text(F.col("vertices")).alias("ring"))
 
 
+# Every fiftieth slide has 500 rectangles of many sizes, the others three.
+MANY_SQL = """(select slide, k::int as sample_n, k % 25 * 240 as x0, k // 25 * 200 as y0, k % 25 * 240 + 60 * (1 << (k % 7)::int) as x1, k // 25 * 200 + 50 * (1 << (k % 5)::int) as y1
+        from slides cross join range(0, 500) t(k) where slide % 50 = 0 union all select slide, sample_n::int, x0, y0, x1, y1 from rects where slide % 50 <> 0)"""
+
+
+def many_rects(spark, d):
+    k = F.col("sample_n")
+    grid = v.slides(spark, d).filter("slide % 50 = 0").select("slide", F.explode(F.sequence(F.lit(0), F.lit(499))).alias("sample_n"))
+    x0, y0 = k % 25 * 240, F.floor(k / 25).cast("int") * 200
+    sizes = F.array(*[F.lit(60 << i) for i in range(7)]), F.array(*[F.lit(50 << i) for i in range(5)])
+    made = grid.withColumns({"x0": x0, "y0": y0, "x1": x0 + F.get(sizes[0], k % 7), "y1": y0 + F.get(sizes[1], k % 5)})
+    return made.unionByName(v.rects(spark, d).filter("slide % 50 <> 0"))
+
+
+@query("j3_many_rectangles", f"""
+    with c as (select tile, slide, obj, avg(x) as cx, avg(y) as cy from vertices group by tile, slide, obj)
+    select c.tile, c.slide, c.obj, r.sample_n, x1 - x0 as region_w, y1 - y0 as region_h
+    from c join {MANY_SQL} r on r.slide = c.slide and cx between x0 and x1 and cy between y0 and y1""")
+def j3_many(spark, d):
+    objects = v.objects(spark, d).select("tile", "slide", "obj", "vertices", F.lit("Glomerulus").alias("class_name"))
+    return tiling.samples_of_objects(objects, many_rects(spark, d)).select("tile", "slide", "obj", "sample_n", "region_w", "region_h")
+
+
+@query("j3_crowded_slides", f"select slide, count(*) as n from {MANY_SQL} group by slide having count(*) > 10")
+def j3_crowded(spark, d):
+    return tiling.crowded_slides(many_rects(spark, d))
+
+
 @query("j4_tile_boxes", """
     with b as (select slide, tile, obj, class, sx0 as x0, sy0 as y0, sx0 + w as x1, sy0 + h as y1 from boxes),
          t as (select b.*, i, j, greatest(x0, j * 1024) - j * 1024 as a0, least(x1, j * 1024 + 2048) - j * 1024 as a1,
