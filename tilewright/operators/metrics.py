@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.functions.draws import SEED, draw, slot
+from tilewright.operators.quantiles import exact_quantiles
 from tilewright.operators.ranks import split_rank
 
 
@@ -48,12 +49,11 @@ def batch_mean_accuracy(df: DataFrame, key: str, batch: int, seed: int = SEED) -
 
 
 def crop_size(preds: DataFrame, percentile: float = 90.0) -> DataFrame:
-    """One row: the given percentile (linear) of w and of h, and the larger as crop size.
-
-    Sizes are pixels or shares of a tile, and are first rounded to 1/2048, so that only so many counters are kept.
-    """
-    at = lambda c: F.percentile(F.round(F.col(c) * 2048) / 2048, percentile / 100)
-    return preds.agg(at("w").alias("w_size"), at("h").alias("h_size")).withColumn("size", F.greatest("w_size", "h_size"))
+    """One row: the given percentile (linear) of w and of h, and the larger as crop size. Sizes are of any unit, and not rounded."""
+    found = exact_quantiles(preds, ["w", "h"], [percentile / 100])
+    (w,), (h,) = found["w"], found["h"]
+    sizes = preds.sparkSession.createDataFrame([(w, h)], "w_size double, h_size double")
+    return sizes.withColumn("size", F.greatest("w_size", "h_size"))
 
 
 def croppable(preds: DataFrame, size: DataFrame, min_w_h: float = 0.0) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.operators.pairing import empty_tiles
+from tilewright.operators.quantiles import exact_quantiles
 
 
 def unique_classes(df: DataFrame) -> DataFrame:
@@ -38,18 +39,12 @@ def tiles_table(tiles: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def size_summary(df: DataFrame, columns: list[str]) -> DataFrame:
-    """count, mean, std, min, quartiles and max of each column, one row per column.
-
-    The quartiles are exact. They keep one counter per distinct value, which is bounded for sizes
-    rounded to 4 digits (10,001 values), as in the instances table.
-    """
-    stats = {
-        "n": F.count, "mean": F.mean, "std": F.stddev_samp, "min": F.min,
-        "q1": lambda c: F.percentile(c, 0.25), "median": lambda c: F.percentile(c, 0.5),
-        "q3": lambda c: F.percentile(c, 0.75), "max": F.max,
-    }
+    """count, mean, std, min, quartiles and max of each column, one row per column. The quartiles are exact."""
+    stats = {"n": F.count, "mean": F.mean, "std": F.stddev_samp, "min": F.min, "max": F.max}
     one = df.agg(*[f(F.col(c)).alias(f"{c}_{s}") for c in columns for s, f in stats.items()])
-    rows = [F.struct(F.lit(c).alias("column"), *[F.col(f"{c}_{s}").alias(s) for s in stats]) for c in columns]
+    quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
+    at = lambda c: [F.lit(q).cast("double").alias(name) for name, q in zip(("q1", "median", "q3"), quartiles[c])]
+    rows = [F.struct(F.lit(c).alias("column"), *[F.col(f"{c}_{s}").alias(s) for s in stats], *at(c)) for c in columns]
     return one.select(F.inline(F.array(*rows)))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import geometry as g
 from tilewright.operators import bags, folds, labels, matching, metrics, pairing, pooling, profile, runs, scoring, tiling
+from tilewright.operators.quantiles import exact_quantiles
 from tilewright.plans import views as v
 from tilewright.plans.q_joins import polygons
 from tilewright.plans.registry import query
@@ -51,6 +52,23 @@ def a5(spark, d):
     return out.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
 
 
+# Sizes in micrometres: no two scales are equal, so hardly any values are.
+MICRONS_SQL = "(select tile, w::double / (2048 + tile % 977 / 7.0::double) as width, h::double * (0.2425::double + tile % 31 / 1000.0::double) as height from boxes)"
+
+
+def microns(df):
+    t = F.col("tile")
+    return df.select("tile", (F.col("w") / (2048 + t % 977 / 7.0)).alias("width"), (F.col("h") * (0.2425 + t % 31 / 1000.0)).alias("height"))
+
+
+@query("a5_unrounded_sizes", f"with s as {MICRONS_SQL} " + " union all ".join(f"""
+    select '{c}' as "column", count(*) as n, round(avg({c}), 6) as mean, round(stddev_samp({c}), 6) as std, round(min({c}), 9) as "min", round(quantile_cont({c}, 0.25), 9) as q1,
+           round(quantile_cont({c}, 0.5), 9) as median, round(quantile_cont({c}, 0.75), 9) as q3, round(max({c}), 9) as "max" from s""" for c in ("width", "height")))
+def a5_unrounded(spark, d):
+    out = profile.size_summary(microns(v.boxes(spark, d)), ["width", "height"])
+    return out.withColumns({c: F.round(c, 6 if c in ("mean", "std") else 9) for c in ("mean", "std", "min", "q1", "median", "q3", "max")})
+
+
 @query("a6_size_histogram", """
     select fold, floor(w * h / 0.002::double)::bigint as bin, count(*) as n from nboxes join (select tile, fold from ftiles) using (tile) group by all""")
 def a6(spark, d):
@@ -84,6 +102,15 @@ def a10(spark, d):
     return metrics.croppable(p, size, 0.05).withColumn("size", size.select("size").scalar())
 
 
+@query("a10_unrounded_shares", f"with s as {MICRONS_SQL.replace('from boxes', 'from preds')} " + " union all ".join(f"""
+    select {p} as percentile, round(quantile_cont(width, {p / 100}), 9) as w_size, round(quantile_cont(height, {p / 100}), 9) as h_size from s""" for p in (50, 90, 99)))
+def a10_unrounded(spark, d):
+    sizes = microns(v.preds(spark, d)).select(F.col("width").alias("w"), F.col("height").alias("h"))
+    found = exact_quantiles(sizes, ["w", "h"], [0.5, 0.9, 0.99])
+    rows = spark.createDataFrame(list(zip((50, 90, 99), found["w"], found["h"])), "percentile int, w_size double, h_size double")
+    return rows.select("percentile", F.round("w_size", 9).alias("w_size"), F.round("h_size", 9).alias("h_size"))
+
+
 COUNT_SQL = """select {by}, count(*) filter (class = 0) as a, count(*) filter (class = 1) as b, count(*) filter (class = 2) as c from objs group by {by}"""
 SHARE_SQL = """(select *, round_even(a::double / (a + b + c), 4) as sa, round_even(b::double / (a + b + c), 4) as sb, round_even(c::double / (a + b + c), 4) as sc from ({0}))"""
 CLASS_SQL = """case when sa > 0.5 then 'Focal' when sb > 0.5 then 'Crescentic' when sc > 0.5 then 'Sclerotic' when {0} > 0.5 then 'Sclerotic' else 'Mixed' end"""

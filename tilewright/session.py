@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -65,6 +65,13 @@ def discard(spark: SparkSession) -> int:
     return gone
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` as Parquet in the shared folder and read it back: later passes read only the columns they need."""
+    path = fresh_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpointed(df):
     """Materialise `df` in the shared folder and cut its lineage."""
     spark = df.sparkSession
