@@ -9,6 +9,8 @@ from tilewright.functions import names as nm
 from tilewright.operators import bags, folds, matching, merging, pairing, runs, tiling
 from tilewright.plans import views as v
 from tilewright.plans.registry import query
+from tilewright.session import fresh_dir
+from tilewright.sources import layout
 
 
 @query("j1_full_tiles", "select tile, slide, sample, fold from statuses where not is_empty")
@@ -33,6 +35,32 @@ def j2_paired(spark, d):
     return pairing.paired_labels(v.boxes(spark, d).select("tile", "slide", "obj", "class"), thinned, ["tile"])
 
 
+def stored(spark, df, key):
+    """`df` in buckets by `key`; two tables get the same layout whatever their sizes."""
+    return layout.write_bucketed(df, fresh_dir(spark, "stored"), [key], max(8, layout.buckets_for(df.count())))
+
+
+@query("j1_stored_tables", "select tile, slide, sample, fold, is_empty from statuses")
+def j1_stored(spark, d):
+    """J1 on stored tables: one pass over the buckets, no shuffle."""
+    tiles, labels = stored(spark, v.folded_tiles(spark, d), "tile"), stored(spark, v.labels(spark, d), "tile")
+    return pairing.flag_empty(tiles, labels, ["tile"])
+
+
+@query("j2_stored_tables", "select tile, slide, obj, class, tile % 7 <> 0 as paired from boxes")
+def j2_stored(spark, d):
+    labels = stored(spark, v.boxes(spark, d).select("tile", "slide", "obj", "class"), "tile")
+    thinned = stored(spark, v.tiles(spark, d).filter("tile % 7 <> 0"), "tile")
+    paired = pairing.paired_labels(labels, thinned, ["tile"]).withColumn("paired", F.lit(True))
+    return paired.unionByName(pairing.unpaired_labels(labels, thinned, ["tile"]).withColumn("paired", F.lit(False)))
+
+
+@query("j9_stored_tables", "select tile, slide, sample, fold from ftiles")
+def j9_stored(spark, d):
+    slides = stored(spark, v.slides(spark, d).select("slide", v.fold_of(F.col("slide")).alias("fold")), "slide")
+    return pairing.inherit_fold(stored(spark, v.tiles(spark, d), "slide"), slides).select("tile", "slide", "sample", "fold")
+
+
 @query("j3_assign_objects_to_samples", """
     with c as (select tile, slide, obj, class, avg(x) as cx, avg(y) as cy from vertices group by tile, slide, obj, class)
     select c.tile, c.slide, c.obj, r.sample_n, case c.class when 0 then 'Glomerulus' else 'Glo-NA' end as class_name,

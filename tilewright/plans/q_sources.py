@@ -9,7 +9,7 @@ from tilewright.operators import clinical, tiling
 from tilewright.plans import views as v
 from tilewright.plans.registry import query
 from tilewright.session import fresh_dir
-from tilewright.sources import annotations, files
+from tilewright.sources import annotations, files, layout
 
 NAMES = {0: "Glomerulus", 1: "Cellular Crescent", 2: "FibrousCrescent"}
 NAME_SQL = "case class when 0 then 'Glomerulus' when 1 then 'Cellular Crescent' else 'FibrousCrescent' end"
@@ -143,6 +143,16 @@ def s10(spark, d):
     )
 
 
+@query("s10_bucketed", """
+    select fold, class, count(*) as n, count(distinct slide) as n_slides, sum(tile) as tiles from objs join (select tile as t, fold from ftiles) on t = tile group by fold, class""")
+def s10_bucketed(spark, d):
+    """A split dataset in buckets, opened again by its layout."""
+    out = fresh_dir(spark, "split")
+    files.write_split_dataset(v.labels(spark, d).withColumn("fold", v.fold_of(F.col("slide"))), out, buckets=8)
+    back = layout.open_bucketed(spark, out)
+    return back.groupBy("fold", "class").agg(F.count("*").alias("n"), F.count_distinct("slide").alias("n_slides"), F.sum("tile").alias("tiles"))
+
+
 @query("s1_from_files", """
     select 'tiles' as level, 'train' as fold, 'labels' as kind, count(*) > 0 as some, min(ok)::int as all_parsed
     from (select tile, true as ok from ftiles) t""")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tilewright.functions import geometry as g
 from tilewright.functions import let
 from tilewright.functions import names, once
+from tilewright.sources.layout import write_bucketed
 
 
 def manifest_rows(files: DataFrame, path: str = "path", size: str = "length") -> DataFrame:
@@ -46,14 +47,18 @@ def label_line(cid: Column, *numbers: Column) -> Column:
     return F.concat_ws(" ", cid.cast("string"), *[n.cast("string") for n in numbers])
 
 
-def write_labels(df: DataFrame, path: str, line: Column) -> None:
+def write_labels(df: DataFrame, path: str, line: Column, buckets: int | None = None) -> None:
     """Label lines as a table (fold, tile, obj, line), one directory per fold.
 
     Lines stay rows: a text file per tile would be millions of tiny files. The rebalance hint gives
-    evenly sized files and splits a fold that is much larger than the others.
+    evenly sized files and splits a fold that is much larger than the others. With `buckets` the lines are
+    hashed by tile instead (`layout`), for joins with tiles that are stored alike.
     """
-    rows = df.select("fold", "tile", "obj", line.alias("line")).hint("rebalance", "fold")
-    rows.sortWithinPartitions("fold", "tile", "obj").write.mode("overwrite").partitionBy("fold").parquet(path)
+    rows = df.select("fold", "tile", "obj", line.alias("line"))
+    if buckets is not None:
+        write_bucketed(rows, path, ["tile"], buckets, ["fold"])
+        return
+    rows.hint("rebalance", "fold").sortWithinPartitions("fold", "tile", "obj").write.mode("overwrite").partitionBy("fold").parquet(path)
 
 
 def write_label_text(df: DataFrame, path: str, line: Column) -> None:
@@ -81,8 +86,14 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def write_split_dataset(df: DataFrame, path: str) -> None:
-    """A dataset by fold and class; later reads of one fold or class open only its directories."""
+def write_split_dataset(df: DataFrame, path: str, buckets: int | None = None, key: str = "tile") -> None:
+    """A dataset by fold and class; later reads of one fold or class open only its directories.
+
+    With `buckets` the rows of a directory are hashed by `key`, so that joins on it need no shuffle (`layout`).
+    """
+    if buckets is not None:
+        write_bucketed(df, path, [key], buckets, ["fold", "class"])
+        return
     df.hint("rebalance", "fold", "class").write.mode("overwrite").partitionBy("fold", "class").parquet(path)
 
 
