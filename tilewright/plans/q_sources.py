@@ -9,7 +9,7 @@ from tilewright.operators import clinical, tiling
 from tilewright.plans import views as v
 from tilewright.plans.registry import query
 from tilewright.session import fresh_dir
-from tilewright.sources import annotations, files, layout
+from tilewright.sources import annotations, files, layout, splits
 
 NAMES = {0: "Glomerulus", 1: "Cellular Crescent", 2: "FibrousCrescent"}
 NAME_SQL = "case class when 0 then 'Glomerulus' when 1 then 'Cellular Crescent' else 'FibrousCrescent' end"
@@ -196,3 +196,26 @@ def s3_unreadable(spark, d):
     text = F.concat(F.lit('{"type":"FeatureCollection","features":['), one, F.lit("]}"))
     cut = F.when((F.col("slide") + F.col("sample_n")) % 5 == 0, F.substr(text, F.lit(1), F.length(text) - 9)).otherwise(text)
     return annotations.unreadable(v.rects(spark, d).select("slide", F.col("sample_n").alias("n"), cut.alias("text")), "text", "slide", "n")
+
+
+@query("s3_split_files", f"""
+    select part, row_number() over (partition by part order by tile, obj)::int - 1 as obj, class_name, n, first_x, last_y
+    from (select tile % 4 as part, tile, obj, {NAME_SQL} as class_name, count(*)::int as n, min(x) filter (ord = 0)::double as first_x, min(y) filter (ord = 7)::double as last_y
+          from vertices group by tile, obj, class)""")
+def s3_split_files(spark, d):
+    """Four collections that hold all objects, read by as many tasks as they have splits."""
+    out = fresh_dir(spark, "collections")
+    text = annotations.annotation_text(F.col("vertices"), class_text())
+    rows = v.objects(spark, d).select((F.col("tile") % 4).alias("part"), "tile", "obj", text.alias("text"))
+    key = F.struct("tile", "obj")
+    ends = rows.groupBy("part").agg(F.min(key).alias("first"), F.max(key).alias("last"))
+    lead = F.when(key == F.col("first"), F.lit('{"type":"FeatureCollection","features":[\n')).otherwise(",")
+    tail = F.when(key == F.col("last"), F.lit("\n]}")).otherwise("")
+    lines = rows.join(ends, "part").select("part", "tile", "obj", F.concat(lead, "text", tail).alias("value"))
+    lines.repartition("part").sortWithinPartitions("part", "tile", "obj").select("part", "value").write.partitionBy("part").text(out)
+    found = splits.listed_objects(spark, out, "*.txt")
+    part = F.regexp_extract("path", r"part=(\d+)", 1).cast("bigint").alias("part")
+    one = annotations.object_features(F.concat(F.lit("["), F.col("text"), F.lit("]")))
+    read = found.select(part, F.col("n").cast("int").alias("obj"), F.get(one, 0).alias("f"))
+    at = lambda k: F.element_at("f.vertices", k)
+    return read.select("part", "obj", "f.class_name", F.size("f.vertices").alias("n"), at(1)["x"].alias("first_x"), at(8)["y"].alias("last_y"))
