@@ -5,7 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from tilewright.sources import annotations, files
+from tilewright.sources import annotations, files, listing
 from tilewright.streaming import labels as label_stream
 from tilewright.streaming import runs as run_stream
 
@@ -149,3 +149,29 @@ def test_a_ledger_of_nothing_and_of_entries_without_a_time(spark, tmp_path):
         count()
     got = {(r.start and str(r.start)[:10], r.n, r.n_late, r.closed) for r in run_stream.arrival_counts(spark, out).collect()}
     assert got == {(None, 2, 0, False), ("2024-01-09", 1, 0, False), ("2024-01-01", 0, 1, True)}
+
+
+def test_listing_is_dealt_to_tasks(spark, tmp_path):
+    for level in ("wsi", "tiles"):
+        for fold in ("train", "val", "test"):
+            for k in range(4):
+                put(f"{tmp_path}/{level}/{fold}/images/deep{k % 2}/S{k}_PAS.a b%20é.tif", "x" * (k + 1))
+                put(f"{tmp_path}/{level}/{fold}/labels/S{k}.txt", "y" * 10 * k)
+    put(f"{tmp_path}/wsi/train/labels/_SUCCESS", "no")
+    put(f"{tmp_path}/wsi/train/labels/.hidden.txt", "no")
+    put(f"{tmp_path}/top.txt", "12")
+    found = listing.tree_files(spark, str(tmp_path))
+    want = {(str(f.relative_to(tmp_path)), f.stat().st_size) for f in tmp_path.rglob("*") if f.is_file() and f.name[0] not in "._"}
+    got = found.collect()
+    assert {(r.path.split(f"{tmp_path}/")[1], r.length) for r in got} == want and len(got) == len(want) == 49
+    assert found.rdd.getNumPartitions() >= 12
+    rows = files.dataset_manifest(spark, str(tmp_path), "S?.t*t").groupBy("level", "fold", "kind").agg(F.sum("size").alias("n")).collect()
+    assert {(r.level, r.fold, r.kind, r.n) for r in rows} == {(a, b, "labels", 60) for a in ("wsi", "tiles") for b in ("train", "val", "test")}
+    assert listing.tree_files(spark, f"{tmp_path}/nothing").count() == 0
+
+
+def test_listing_where_only_hadoop_knows_the_scheme(spark, tmp_path):
+    put(f"{tmp_path}/tiles/train/labels/S1.txt", "12345")
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.trees.link./in", f"file://{tmp_path}")
+    assert not listing.listed_by_tasks("viewfs://trees/in")
+    assert [(r.fold, r.size) for r in files.dataset_manifest(spark, "viewfs://trees/in").collect()] == [("train", 5)]

@@ -154,17 +154,21 @@ def s10_bucketed(spark, d):
 
 
 @query("s1_from_files", """
-    select 'tiles' as level, 'train' as fold, 'labels' as kind, count(*) > 0 as some, min(ok)::int as all_parsed
-    from (select tile, true as ok from ftiles) t""")
+    select 'tiles' as level, fold, 'labels' as kind, 'txt' as ext, sum(octet_length(encode(tile || ' ' || slide || ' ' || fold)) + 1)::bigint as bytes from ftiles group by fold
+    union all
+    select 'wsi', fold, 'images', 'txt', sum(octet_length(encode(slide || ' ' || fold)) + 1)::bigint
+    from (select distinct slide, fold from ftiles) group by fold""")
 def s1_from_files(spark, d):
-    """A dataset tree on disk, listed: its files' sizes add up to what was written."""
+    """A dataset tree on disk, listed: the files of every level and fold have the bytes that were written there."""
     out = fresh_dir(spark, "tree")
-    rows = v.folded_tiles(spark, d).select(F.concat_ws(" ", "tile", "slide", "fold").alias("value"))
-    rows.write.text(f"{out}/tiles/train/labels")
+    tiles = v.folded_tiles(spark, d)
+    kinds = {"tiles": ("labels", tiles.select("fold", F.concat_ws(" ", "tile", "slide", "fold").alias("value")))}
+    kinds["wsi"] = ("images", tiles.select("slide", "fold").distinct().select("fold", F.concat_ws(" ", "slide", "fold").alias("value")))
+    for level, (kind, rows) in kinds.items():
+        for fold in ("train", "val", "test"):
+            rows.filter(F.col("fold") == fold).select("value").write.text(f"{out}/{level}/{fold}/{kind}")
     listed = files.dataset_manifest(spark, out, "*.txt")
-    return listed.groupBy("level", "fold", "kind").agg(
-        (F.sum("size") > 0).alias("some"), F.min((F.col("ext") == "txt").cast("int")).alias("all_parsed")
-    )
+    return listed.groupBy("level", "fold", "kind", "ext").agg(F.sum("size").alias("bytes"))
 
 
 @query("s2_from_files", """

@@ -9,6 +9,7 @@ from tilewright.functions import geometry as g
 from tilewright.functions import let
 from tilewright.functions import names, once
 from tilewright.sources.layout import write_bucketed
+from tilewright.sources.listing import tree_files
 
 
 def manifest_rows(files: DataFrame, path: str = "path", size: str = "length") -> DataFrame:
@@ -22,11 +23,10 @@ def manifest_rows(files: DataFrame, path: str = "path", size: str = "length") ->
 
 
 def dataset_manifest(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """Every file below `root/{wsi,tiles}/{fold}/{images,labels}`. File contents are not read."""
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    )
-    return manifest_rows(files.select("path", "length"))
+    """Every file below `root/{wsi,tiles}/{fold}/{images,labels}` whose name fits `glob`. Tasks list one directory each, and open no file."""
+    pattern = "".join({"*": ".*", "?": "."}.get(c, "\\" + c if not c.isalnum() else c) for c in glob)
+    name = F.element_at(F.split("path", "/"), -1)
+    return manifest_rows(tree_files(spark, root).filter(name.rlike(f"^{pattern}$")))
 
 
 def label_lines(df: DataFrame, text: str, *keys: str) -> DataFrame:
