@@ -175,3 +175,30 @@ def test_listing_where_only_hadoop_knows_the_scheme(spark, tmp_path):
     spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.trees.link./in", f"file://{tmp_path}")
     assert not listing.listed_by_tasks("viewfs://trees/in")
     assert [(r.fold, r.size) for r in files.dataset_manifest(spark, "viewfs://trees/in").collect()] == [("train", 5)]
+
+
+def test_labels_delivered_again(spark, tmp_path):
+    """Under another path, in one batch with the first delivery, with lines added, and after a restart."""
+    src, out, state = f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state"
+    ingest = lambda: label_stream.ingest(label_stream.label_files(spark, src), "value", "name", out, state)
+    put(f"{src}/one/a.txt", "x\ny\nx")
+    put(f"{src}/two/a.txt", "x\ny\nx")
+    ingest()
+    put(f"{src}/three/a.txt", "x\ny\nx\nz\nz")
+    put(f"{src}/three/b.txt", "y\n\ny")
+    ingest()
+    ingest()
+    put(f"{src}/four/b.txt", "y\n\ny")
+    ingest()
+    got = sorted((r.name, r.line, r.pos) for r in label_stream.ingested(spark, out).collect())
+    assert got == [("a", "x", 0), ("a", "y", 1), ("a", "z", 3), ("b", "", 1), ("b", "y", 0)]
+    assert spark.conf.get(label_stream.STORE, None) != label_stream.ROCKSDB
+    assert any("rocksdb" in n or n.endswith(".zip") for _, _, names in os.walk(f"{state}/state") for n in names)
+
+
+def test_state_is_kept_for_a_time_only(spark, tmp_path):
+    src, out, state = f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state"
+    for k in range(3):
+        put(f"{src}/{k}/a.txt", "x\ny")
+        label_stream.ingest(label_stream.label_files(spark, src), "value", "name", out, state, within="0 seconds")
+    assert label_stream.ingested(spark, out).count() == 6

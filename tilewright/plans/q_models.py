@@ -109,9 +109,23 @@ def t1_late(spark, d):
     return run_stream.arrival_counts(spark, out).select(F.unix_micros("start").alias("start_us"), "status", "n", "n_late", "closed")
 
 
-@query("t2_ingest_labels_stream", """
+LINES_SQL = """
     select doc_id, line, min(pos)::int as pos from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from documents)
-    group by doc_id, line""")
+    group by doc_id, line"""
+
+
+@query("t2_redelivered_labels", LINES_SQL)
+def t2_again(spark, d):
+    """Two thirds of the files come first, half of those again with the rest, and all of them once more under other paths."""
+    src, out, state = (fresh_dir(spark, f"files-{k}") for k in ("in", "out", "state"))
+    docs = v.table(spark, d, "documents").select("doc_id", "text")
+    for k, share in enumerate(("doc_id % 3 <> 0", "doc_id % 3 <> 1", "true")):
+        docs.filter(share).write.parquet(f"{src}/delivery{k}")
+        label_stream.ingest(spark.readStream.schema(docs.schema).parquet(f"{src}/*"), "text", "doc_id", out, state)
+    return label_stream.ingested(spark, out)
+
+
+@query("t2_ingest_labels_stream", LINES_SQL)
 def t2(spark, d):
     out, state = fresh_dir(spark, "ingested"), fresh_dir(spark, "ingest-state")
     # A glob, so that the table may be one file or a directory.
