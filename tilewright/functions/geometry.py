@@ -114,8 +114,8 @@ def _total(values: Column) -> Column:
 
 
 def centroid(v: Column) -> Column:
-    """Mean of all listed vertices (a repeated closing vertex counts twice)."""
-    mean = lambda c: _total(c) / F.size(c)
+    """Mean of all listed vertices (a repeated closing vertex counts twice); none has no mean."""
+    mean = lambda c: F.try_divide(_total(c), F.size(c))
     return let(v, lambda u: F.struct(mean(u["x"]).alias("x"), mean(u["y"]).alias("y")))
 
 

@@ -10,7 +10,7 @@ from tilewright.functions import geometry as g
 from tilewright.functions import names as nm
 from tilewright.functions import text as tx
 from tilewright.operators import labels as lb
-from tilewright.operators import metrics, tiling
+from tilewright.operators import metrics, raster, tiling
 from tilewright.operators.runs import training_status
 from tilewright.plans import views as v
 from tilewright.plans.jobs import unmapped_classes
@@ -314,6 +314,24 @@ def p18(spark, d):
     return marks.select("tile", "obj", "class", *[F.get("hot", k).alias(f"is_{k}") for k in range(3)])
 
 
+@query("p18_class_at_mean", """
+    with p as (select tile, pred, trunc(x0 + w / 2.0)::bigint as px, trunc(y0 + h / 2.0)::bigint as py from preds),
+         m as (select p.tile, p.pred, arg_max(b.class, b.obj) as class from p join boxes b on b.tile = p.tile
+               and px // 64 between b.x0 // 64 and (b.x0 + b.w) // 64 and py // 64 between b.y0 // 64 and (b.y0 + b.h) // 64 group by all)
+    select p.tile, p.pred, m.class::int as class, m.class is null as background from p left join m on m.tile = p.tile and m.pred = p.pred""")
+def p18_at_mean(spark, d):
+    """Predictions as outlines on a mask of painted boxes: the class is that of the colour at the vertices' mean."""
+    cells = tiling.rasterise(v.boxes(spark, d).select("tile", "obj", "class", "x0", "y0", "w", "h"), 64, v.TILE)
+    part = lambda k: F.when(F.col("class_mark") == k + 1, 255).otherwise(0)
+    mask = raster.run_rows(cells.select("tile", "cell_x", "cell_y", part(1).alias("r"), part(0).alias("g"), part(2).alias("b")), ["r", "g", "b"])
+    x1, y1 = F.col("x0") + F.col("w"), F.col("y0") + F.col("h")
+    corner = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    outline = F.array(corner(F.col("x0"), F.col("y0")), corner(x1, F.col("y0")), corner(x1, y1), corner(F.col("x0"), y1))
+    marked = raster.marks_at_mean(v.preds(spark, d).select("tile", "pred", outline.alias("vertices")), mask, ["r", "g", "b"], cell=64)
+    known = marked.select("tile", "pred", cl.colour_class(*cols("r", "g", "b")).alias("class"))
+    return known.withColumn("background", F.col("class").isNull())
+
+
 @query("p19_argmax_class", """
     select vec_id as instance, (list_position(embedding[1:4], list_max(embedding[1:4])) - 1)::int as predicted from embeddings""")
 def p19(spark, d):

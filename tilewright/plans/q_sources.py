@@ -9,7 +9,7 @@ from tilewright.operators import clinical, tiling
 from tilewright.plans import views as v
 from tilewright.plans.registry import query
 from tilewright.session import fresh_dir
-from tilewright.sources import annotations, files, layout, splits
+from tilewright.sources import annotations, features, files, layout, listing, splits
 
 NAMES = {0: "Glomerulus", 1: "Cellular Crescent", 2: "FibrousCrescent"}
 NAME_SQL = "case class when 0 then 'Glomerulus' when 1 then 'Cellular Crescent' else 'FibrousCrescent' end"
@@ -122,6 +122,19 @@ def s8(spark, d):
     return f.select("instance", F.size("embedding").alias("n"), at(1).alias("first"), at(-1).alias("last"))
 
 
+@query("s8_feature_files", """
+    select vec_id as instance, len(embedding)::int as n, embedding[1]::double as first, embedding[-1]::double as last,
+           round(list_sum(list_transform(embedding, lambda x: x::double)), 6) as total from embeddings""")
+def s8_files(spark, d):
+    """A saved array for each vector, read back."""
+    out = fresh_dir(spark, "feats")
+    features.write_feature_files(v.table(spark, d, "embeddings"), listing.qualified(spark, out), "vec_id", "embedding")
+    at = lambda k: F.element_at("embedding", k).cast("double")
+    total = F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 6)
+    read = features.feature_files(spark, out)
+    return read.select(F.col("instance").cast("bigint").alias("instance"), F.size("embedding").alias("n"), at(1).alias("first"), at(-1).alias("last"), total.alias("total"))
+
+
 @query("s9_write_labels", """
     select fold, tile, obj, class, xc, yc, nboxes.w, nboxes.h from nboxes join ftiles using (tile)""")
 def s9(spark, d):

@@ -95,14 +95,19 @@ def listed_by_tasks(root: str) -> bool:
     return True
 
 
+def qualified(spark: SparkSession, root: str) -> str:
+    """`root` with its scheme, as Arrow writes it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def tree_files(spark: SparkSession, root: str, depth: int = 3) -> DataFrame:
     """(path, length) of every file below `root`; a root that is not there has none.
 
     Where only Hadoop knows the scheme of `root`, the listing is that of Spark's file source.
     """
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    uri = "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri
+    uri = qualified(spark, root)
     if listed_by_tasks(uri):
         spark.dataSource.register(TreeListing)
         return spark.read.format("tilewright_tree").option("depth", depth).load(uri)
