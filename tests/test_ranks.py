@@ -115,3 +115,39 @@ def test_best_so_far_over_slices(spark, width):
     curve = spark.createDataFrame([("a", e, v) for e, v in enumerate([1.0, 1.0, 3.0, 2.0, 4.0, 4.0, 5.0], 1)], "exp string, epoch int, value double")
     assert sorted(r.epoch for r in runs.best_so_far(curve, slice_epochs=width).collect()) == [1, 3, 5, 7]
     assert runs.best_epoch(curve).first().epoch == 7
+
+
+@pytest.mark.parametrize("by", [["g"], ["g", "h"], []])
+def test_range_rank(skewed, by):
+    df = skewed.withColumns({"h": F.col("id") % 2 == 0, "g": F.when(F.col("g") != 7, F.col("g"))})
+    got = ranks.range_rank(df, by, ["d", "id"])
+    want = df.withColumn("want", F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("d", "id")))
+    assert got.columns == [*df.columns, "rank"] and got.count() == 3000
+    assert got.join(want.select("id", "want"), "id").filter("rank <> want").isEmpty()
+
+
+def test_a_log_of_one_minute_is_spread(spark, monkeypatch):
+    """All entries of an experiment in one minute: many tasks number them, with the ranks of one window."""
+    log = spark.range(20_000).selectExpr(
+        "case when id % 20 = 0 then id % 7 else 99 end as exp", "20000 - id as event_id", "timestamp_micros(1700000000000000 + (id * 7919) % 59000000) as ts", "id % 13 / 13.0D as precision"
+    )
+    parts = []
+    real = ranks.stored
+    monkeypatch.setattr(ranks, "stored", lambda df, name: (parts.append(real(df, name)), parts[-1])[1])
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = ranks.group_rank(log, ["exp"], None, ["ts", "event_id"], "epoch", rows=5_000)
+        want = log.withColumn("epoch", F.row_number().over(Window.partitionBy("exp").orderBy("ts", "event_id")).cast("bigint"))
+        assert got.exceptAll(want.select(got.columns)).isEmpty() and got.count() == 20_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    sizes = [r["count"] for r in parts[0].groupBy(F.shiftright("_at", 33)).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 5_000
+    best = runs.best_epoch(got, "precision").filter("exp = 99").first()
+    assert best.epoch == want.filter("exp = 99 and precision = 12 / 13.0D").agg(F.min("epoch")).first()[0]
+
+
+def test_epochs_of_hot_experiments_get_the_same_numbers(spark, sf):
+    plain, cut = views.epochs(spark, sf), views.epochs(spark, sf, hot_rows=20)
+    assert plain.exceptAll(cut).isEmpty() and plain.count() == cut.count()

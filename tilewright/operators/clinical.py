@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions.draws import SEED
@@ -30,6 +30,29 @@ def fit_tree(df: DataFrame, features: list[str], key: str, label: str = "label",
     return model, _accuracy(model.transform(held), train)
 
 
+def tree_column(model, features: list[str]) -> Column:
+    """The fitted tree as an expression over its feature columns: what it predicts, without the model and its vectors.
+
+    A tree of depth d has at most 2**d leaves, which are read on the driver. Rows may have NaN (it goes right, as in
+    the model); a null feature gives null.
+    """
+    def walk(node) -> Column:
+        if node.subtreeDepth() == 0:
+            return F.lit(int(node.prediction()))
+        split = node.split()
+        value = F.col(features[split.featureIndex()]).cast("double")
+        if split.getClass().getSimpleName() == "ContinuousSplit":
+            left = value <= F.lit(split.threshold())
+        else:
+            left = value.isin(*list(split.leftCategories()))
+        return F.when(left, walk(node.leftChild())).otherwise(walk(node.rightChild()))
+
+    known = F.lit(True)
+    for c in features:
+        known = known & F.col(c).isNotNull()
+    return F.when(known, walk(model.stages[-1]._java_obj.rootNode()))
+
+
 def fit_bags(df: DataFrame, key: str = "bag", vector: str = "pooled", label: str = "label", test: float = 0.3, seed: int = SEED):
     """Multinomial logistic regression of the bag label on the pooled vector.
 

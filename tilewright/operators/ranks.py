@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.functions.draws import slot
-from tilewright.session import checkpointed
+from tilewright.session import checkpointed, stored
 
 # A group above this many rows is numbered slice by slice; below it one task sorts it.
 HOT_ROWS = 2_000_000
@@ -43,6 +43,25 @@ def split_rank(df: DataFrame, by: list[str], slices: list[Column], order: list,
     )
 
 
+def range_rank(df: DataFrame, by: list[str], order: list[str], out: str = "rank") -> DataFrame:
+    """Row number in each group, whatever the values of `order`: slices are cut where the data have their quantiles.
+
+    Rows are dealt by range of (by, order), so a group lies in successive partitions and no border is fixed beforehand.
+    They are written with their place, and the sizes of a group's earlier partitions are added: a row for each
+    group and partition. Rows with equal order are numbered in any order and stay in one partition.
+    """
+    dealt = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    placed = stored(dealt.withColumn("_at", F.monotonically_increasing_id()), "ranked").withColumn("_p", F.shiftright("_at", 33))
+    sizes = placed.groupBy(*by, "_p").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    running = Window.partitionBy(*_groups(by)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*by, "_p", "_first", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_before"))
+    same = F.col("a._p") == F.col("b._p")
+    for c in by:
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    ranked = placed.alias("a").join(before.alias("b"), same)
+    return ranked.select(*[F.col(f"a.{c}") for c in df.columns], (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias(out))
+
+
 def hot_keys(df: DataFrame, by: list[str], rows: int) -> DataFrame:
     """Groups above `rows` rows: at most (table rows / rows) of them, so the result is small enough to broadcast."""
     return df.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > rows).select(*by)
@@ -70,12 +89,14 @@ def hot_cold(df: DataFrame, by: list[str], rows: int = HOT_ROWS) -> tuple[DataFr
 
 
 def group_rank(
-    df: DataFrame, by: list[str], slices: list[Column], order: list, out: str = "rank", rows: int = HOT_ROWS
+    df: DataFrame, by: list[str], slices: list[Column] | None, order: list, out: str = "rank", rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Row number in each group: one window for ordinary groups, `split_rank` for hot ones."""
+    """Row number in each group: one window for ordinary groups, `split_rank` for hot ones, `range_rank` without slices."""
     hot, cold = hot_cold(df, by, rows)
     plain = cold.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("bigint"))
-    return plain if hot is None else plain.unionByName(split_rank(hot, by, slices, order, out))
+    if hot is None:
+        return plain
+    return plain.unionByName(range_rank(hot, by, order, out) if slices is None else split_rank(hot, by, slices, order, out))
 
 
 def first_n(df: DataFrame, by: list[str], drawn: str, tie: str, n: int, out: str = "rank") -> DataFrame:

@@ -41,6 +41,15 @@ SPLIT_SQL = """
     select label::int as label, case when r <= round_even(0.3::double * n, 0) then 'test' else 'train' end as fold, count(*) as n from o group by 1, 2"""
 
 
+@query("m2_compiled_tree", f"select key as id, label::int as label, label::int as predicted from {GRADED_SQL}")
+def m2_compiled(spark, d):
+    """The tree as an expression, on every patient. The label follows from three features of two values each, so the tree is exact."""
+    known = graded(spark, d).withColumn("rich", (F.col("c_acctbal") >= 5000).cast("int"))
+    names = [f"c_mktsegment_{s}" for s in SEGMENTS] + ["rich"]
+    model, _ = clinical.fit_tree(checkpointed(known), names, "c_custkey")
+    return known.select(F.col("c_custkey").alias("id"), "label", clinical.tree_column(model, names).alias("predicted"))
+
+
 @query("m2_split_sizes", SPLIT_SQL.format(rows=GRADED_SQL))
 def m2_sizes(spark, d):
     return split_sizes(graded(spark, d), "c_custkey")

@@ -151,9 +151,9 @@ def shape_runs(events: DataFrame) -> DataFrame:
     )
 
 
-def epochs(spark: SparkSession, d: str) -> DataFrame:
-    """(exp, epoch, precision, recall): an experiment's events in time order, minutes being the slices of a long one."""
-    ranked = group_rank(runs(spark, d), ["exp"], [F.date_trunc("minute", "ts")], ["ts", "event_id"], "epoch")
+def epochs(spark: SparkSession, d: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(exp, epoch, precision, recall): an experiment's events in time order. A long one is cut where its own times lie."""
+    ranked = group_rank(runs(spark, d), ["exp"], None, ["ts", "event_id"], "epoch", hot_rows)
     return ranked.select("exp", "epoch", F.col("value").alias("precision"), (F.col("event_id") % 100 / 100.0).alias("recall"))
 
 
