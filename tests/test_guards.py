@@ -84,7 +84,7 @@ def test_matching_groups_in_the_partitions_of_its_join(spark, sf):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         preds, boxes = (f(spark, sf) for f in (v.preds, v.boxes))
-        plan = matching.match_predictions(preds, boxes)._jdf.queryExecution().executedPlan().toString()
+        plan = matching.match_predictions(preds, boxes, v.TILE)._jdf.queryExecution().executedPlan().toString()
         assert "pred" not in "".join(x for x in plan.split("\n") if "Exchange hashpartitioning" in x)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
@@ -93,9 +93,9 @@ def test_matching_groups_in_the_partitions_of_its_join(spark, sf):
 def test_boxes_are_clipped_to_the_tile(spark):
     box = lambda rows: spark.createDataFrame(rows, "tile int, obj int, pred int, class int, x0 double, y0 double, w double, h double")
     truth = box([(1, 1, 1, 0, -1e9, -1e9, 2e9, 2e9), (1, 2, 2, 1, 10.0, 10.0, 5.0, 5.0)])
-    rows = matching.match_predictions(box([(1, 0, 7, 0, 10.0, 10.0, 4.0, 4.0)]), truth).collect()
+    rows = matching.match_predictions(box([(1, 0, 7, 0, 10.0, 10.0, 4.0, 4.0)]), truth, 2048).collect()
     assert [(r["n_matches"], r["class"]) for r in rows] == [(2, 1)]
-    assert matching.overlap_match(box([(1, 0, 7, 0, 10.0, 10.0, 4.0, 4.0)]), truth).collect()[0]["n_matches"] == 2
+    assert matching.overlap_match(box([(1, 0, 7, 0, 10.0, 10.0, 4.0, 4.0)]), truth, 2048).collect()[0]["n_matches"] == 2
 
 
 def test_main_flow_as_the_readme_shows_it(spark, tmp_path):
@@ -120,3 +120,21 @@ def test_main_flow_as_the_readme_shows_it(spark, tmp_path):
 
 def test_l7_has_work_at_every_size(spark):
     assert QUERIES["l7_pad_small_slides"](spark, "/root/testdata/sf0.1").count() > 0
+
+
+def test_boxes_beyond_a_usual_tile(spark):
+    """At 4096 pixels a box at (3000, 3000) matches; with a tile of 2048 it is listed as outside."""
+    box = lambda rows: spark.createDataFrame(rows, "tile int, obj int, pred int, class int, x0 double, y0 double, w double, h double")
+    truth, preds = box([(1, 1, 1, 2, 3000.0, 3000.0, 50.0, 50.0)]), box([(1, 0, 7, 0, 3005.0, 3005.0, 40.0, 40.0)])
+    one = lambda df: df.select("n_matches", "class").collect()
+    assert one(matching.match_predictions(preds, truth, 4096)) == [(1, 2)]
+    assert one(matching.overlap_match(preds, truth, 4096)) == [(1, 2)]
+    fine = box([(1, 5, 5, 1, 3010.0, 3010.0, 4.0, 4.0)])
+    assert [(r["refined"], r["n_found"]) for r in matching.refine_class(truth, fine, 4096).collect()] == [(1, 1)]
+    crops = jobs.label_crops(preds.select("tile", "pred", "x0", "y0", "w", "h"), truth, 4096).collect()
+    assert {r["class"] for r in crops} == {2}
+    assert matching.outside_tile(truth, 4096).isEmpty() and matching.outside_tile(truth, 2048).count() == 1
+    odd = box([(1, 1, 1, 0, None, 1.0, 1.0, 1.0), (1, 2, 1, 0, -9.0, 0.0, 8.0, 8.0), (1, 3, 1, 0, -9.0, 0.0, 9.0, 8.0), (1, 4, 1, 0, 5.0, 5.0, -1.0, 2.0)])
+    assert sorted(r["obj"] for r in matching.outside_tile(odd, 2048).collect()) == [1, 2, 4]
+    with pytest.raises(TypeError):
+        matching.match_predictions(preds, truth)

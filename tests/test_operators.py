@@ -26,7 +26,7 @@ def test_matching(spark, cell):
         (1, 4, 300.0, 300.0, 10.0, 10.0),  # nowhere
         (2, 5, 0.0, 0.0, 10.0, 10.0),      # tile without truth
     ])
-    got = {r.pred: (r.obj, r["class"], r.n_matches) for r in matching.match_predictions(p, t, cell=cell).collect()}
+    got = {r.pred: (r.obj, r["class"], r.n_matches) for r in matching.match_predictions(p, t, 2048, cell=cell).collect()}
     assert got == {1: (1, 0, 2), 2: (1, 0, 2), 3: (2, 1, 1), 4: (None, None, 0), 5: (None, None, 0)}
 
 
@@ -34,7 +34,7 @@ def test_matching(spark, cell):
 def test_overlap_needs_a_quarter_of_the_prediction(spark, cell):
     t = truth(spark, [(1, 1, 0, 0.0, 0.0, 50.0, 100.0), (1, 2, 1, 60.0, 0.0, 40.0, 100.0)])
     p = preds(spark, [(1, 1, 0.0, 0.0, 100.0, 100.0), (1, 2, 40.0, 0.0, 60.0, 100.0), (1, 3, 0.0, 76.0, 40.0, 96.0)])
-    got = {r.pred: (r.n_matches, r.obj) for r in matching.overlap_match(p, t, cell=cell).collect()}
+    got = {r.pred: (r.n_matches, r.obj) for r in matching.overlap_match(p, t, 2048, cell=cell).collect()}
     assert got == {1: (2, 1), 2: (1, 2), 3: (1, 1)}
 
 
@@ -42,7 +42,7 @@ def test_refined_classes(spark):
     base = truth(spark, [(1, 1, 0, 0.0, 0.0, 100.0, 100.0), (1, 2, 0, 500.0, 500.0, 50.0, 50.0), (1, 3, 0, 800.0, 0.0, 90.0, 90.0)])
     fine = base.union(truth(spark, [(1, 4, 1, 10.0, 10.0, 20.0, 20.0), (1, 5, 1, 40.0, 40.0, 20.0, 20.0),
                                     (1, 6, 1, 810.0, 10.0, 10.0, 10.0), (1, 7, 2, 830.0, 10.0, 10.0, 10.0)]))
-    got = {r.obj: (r.n_found, r.refined, r.conflict) for r in matching.refine_class(base, fine).collect()}
+    got = {r.obj: (r.n_found, r.refined, r.conflict) for r in matching.refine_class(base, fine, 2048).collect()}
     assert got == {1: (2, 1, False), 2: (0, 0, False), 3: (2, None, True)}
 
 
@@ -159,6 +159,6 @@ def test_labelled_crops_with_finer_classes(spark):
     t = truth(spark, [(k, 1, 0, 0.0, 0.0, 100.0, 100.0) for k in range(30)])
     fine = t.union(truth(spark, [(k, 2, 1, 10.0, 10.0, 20.0, 20.0) for k in range(0, 30, 3)]))
     p = preds(spark, [(k, 1, 5.0, 5.0, 90.0, 90.0) for k in range(30)] + [(k, 2, 700.0, 700.0, 90.0, 90.0) for k in range(5)])
-    out = jobs.label_crops(p, t, fine)
+    out = jobs.label_crops(p, t, 2048, fine)
     assert {(r["class"], r["count"]) for r in out.groupBy("class").count().collect()} == {(0, 20), (1, 20), (3, 20)}
     assert {r["count"] for r in out.filter("fold = 'test'").groupBy("class").count().collect()} == {4}

@@ -3,7 +3,8 @@
 Boxes (pixels: x0, y0, w, h) are filed under every grid cell they cover and points under their one cell,
 and the join runs on (tile, cell). A crowded tile is thus spread over its cells, and boxes far from a
 point are never compared with it. Matches are folded into one row per prediction by map-side
-aggregation; pairs are not kept.
+aggregation; pairs are not kept. Boxes are clipped to the tile, so that one in other coordinates is not filed
+under millions of cells; those outside of it match nothing, and `outside_tile` lists them.
 """
 
 from __future__ import annotations
@@ -15,8 +16,6 @@ from tilewright.functions import geometry as g
 
 # Pixels. Smaller cells compare fewer pairs in crowded tiles, larger ones file a box under fewer cells.
 CELL = 256
-# Boxes are clipped to the tile, so that one in other coordinates is not filed under millions of cells.
-TILE = 2048
 
 
 def _cell(x: Column, cell: int) -> Column:
@@ -33,10 +32,8 @@ def _corners(p: str = "") -> tuple[Column, Column, Column, Column]:
     return x0, y0, x0 + F.col(p + "w"), y0 + F.col(p + "h")
 
 
-def _clipped(p: str, tile: int | None) -> tuple[Column, Column, Column, Column]:
+def _clipped(p: str, tile: int) -> tuple[Column, Column, Column, Column]:
     x0, y0, x1, y1 = _corners(p)
-    if tile is None:
-        return x0, y0, x1, y1
     return F.greatest(x0, F.lit(0)), F.greatest(y0, F.lit(0)), F.least(x1, F.lit(tile)), F.least(y1, F.lit(tile))
 
 
@@ -44,7 +41,14 @@ def _prefixed(df: DataFrame, columns: list[str], p: str) -> DataFrame:
     return df.select("tile", *[F.col(c).alias(p + c) for c in columns])
 
 
-def match_predictions(preds: DataFrame, truth: DataFrame, tile: int | None = TILE, cell: int = CELL) -> DataFrame:
+def outside_tile(boxes: DataFrame, tile: int) -> DataFrame:
+    """Boxes with no point on a tile of `tile` pixels, of negative size or without a number: they can match nothing. None should be left."""
+    x0, y0, x1, y1 = _clipped("", tile)
+    whole = sum((F.col(c) for c in ("x0", "y0", "w", "h")), F.lit(0)).isNotNull()
+    return boxes.filter(~F.coalesce(whole & (x1 >= x0) & (y1 >= y0), F.lit(False)))
+
+
+def match_predictions(preds: DataFrame, truth: DataFrame, tile: int, cell: int = CELL) -> DataFrame:
     """Each prediction with the class of the nearest true box that holds its centre; null = false positive.
 
     Ties in distance go to the smaller object number.
@@ -77,7 +81,7 @@ def match_predictions(preds: DataFrame, truth: DataFrame, tile: int | None = TIL
     )
 
 
-def overlap_match(preds: DataFrame, truth: DataFrame, share: float = 0.25, tile: int | None = TILE, cell: int = CELL) -> DataFrame:
+def overlap_match(preds: DataFrame, truth: DataFrame, tile: int, share: float = 0.25, cell: int = CELL) -> DataFrame:
     """Per prediction the true boxes that cover at least `share` of it: how many, and the best one.
 
     Both sides are clipped to the tile and filed by cell; a pair counts only in the cell of its intersection's first corner.
@@ -104,7 +108,7 @@ def overlap_match(preds: DataFrame, truth: DataFrame, share: float = 0.25, tile:
     )
 
 
-def refine_class(base: DataFrame, fine: DataFrame, tile: int | None = TILE, cell: int = CELL) -> DataFrame:
+def refine_class(base: DataFrame, fine: DataFrame, tile: int, cell: int = CELL) -> DataFrame:
     """Finer class of each base object from the objects whose centre lies in it, itself left out.
 
     None found: class 0. One distinct class: that class. Several: `conflict` and no class.

@@ -240,7 +240,7 @@ def a21(spark, d):
 
 def verdicts(spark, d):
     """Matched class against a predicted one; 3 stands for false positives."""
-    m = matching.match_predictions(v.preds(spark, d).select("tile", "pred", "x0", "y0", "w", "h"), v.boxes(spark, d))
+    m = matching.match_predictions(v.preds(spark, d).select("tile", "pred", "x0", "y0", "w", "h"), v.boxes(spark, d), v.TILE)
     guess = ((F.col("tile") * 5 + F.col("pred") * 3) % 4).cast("int")
     return m.select("tile", "pred", F.coalesce("class", F.lit(3)).alias("truth"), guess.alias("predicted"))
 

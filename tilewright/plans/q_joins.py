@@ -137,20 +137,47 @@ def j5(spark, d):
 @query("j6_match_predictions", """
     select tile, pred, obj, class, coalesce(n_matches, 0) as n_matches, class is null as false_positive from matches""")
 def j6(spark, d):
-    m = matching.match_predictions(v.preds(spark, d), v.boxes(spark, d))
+    m = matching.match_predictions(v.preds(spark, d), v.boxes(spark, d), v.TILE)
     return m.select("tile", "pred", "obj", "class", "n_matches", F.col("class").isNull().alias("false_positive"))
 
 
+# Twice as large: boxes in the coordinates of tiles of 4096 pixels.
+WIDE_SQL = "(select tile, {key}, x0 * 2 as x0, y0 * 2 as y0, w * 2 as w, h * 2 as h{more} from {rows})"
+
+
+def wide(df):
+    return df.withColumns({c: F.col(c) * 2 for c in ("x0", "y0", "w", "h")})
+
+
+@query("j6_tiles_of_4096", f"""
+    with p as {WIDE_SQL.format(key='pred', more='', rows='preds')}, b as {WIDE_SQL.format(key='obj', more=', class', rows='boxes')},
+         m as (select p.tile, p.pred, b.obj, b.class, row_number() over (partition by p.tile, p.pred order by
+               power(p.x0 + p.w / 2.0 - (b.x0 + b.w / 2.0), 2) + power(p.y0 + p.h / 2.0 - (b.y0 + b.h / 2.0), 2), b.obj) as r, count(*) over (partition by p.tile, p.pred) as n
+               from p join b on b.tile = p.tile and p.x0 + p.w / 2.0 between b.x0 and b.x0 + b.w and p.y0 + p.h / 2.0 between b.y0 and b.y0 + b.h)
+    select p.tile, p.pred, obj, class, coalesce(n, 0) as n_matches from p left join (select * from m where r = 1) m on m.tile = p.tile and m.pred = p.pred""")
+def j6_wide(spark, d):
+    m = matching.match_predictions(wide(v.preds(spark, d)), wide(v.boxes(spark, d)), 2 * v.TILE)
+    return m.select("tile", "pred", "obj", "class", "n_matches")
+
+
+@query("j6_outside_boxes", f"""
+    select tile, obj, class from {WIDE_SQL.format(key='obj', more=', class', rows='boxes')} where x0 > 2048 or y0 > 2048""")
+def j6_outside(spark, d):
+    """Boxes that a wrong tile size would leave out."""
+    return matching.outside_tile(wide(v.boxes(spark, d)), v.TILE).select("tile", "obj", "class")
+
+
+# Both sides are written out with the columns that are needed, and a prediction keeps one row before it meets the others.
 @query("j7_overlap_match", """
-    with m as (select p.tile, p.pred, b.obj, b.class,
-                      ((least(p.x0 + p.w, b.x0 + b.w) - greatest(p.x0, b.x0)) * (least(p.y0 + p.h, b.y0 + b.h) - greatest(p.y0, b.y0)))::double / (p.w * p.h)::double as covered
-               from preds p join boxes b on b.tile = p.tile and p.x0 < b.x0 + b.w and b.x0 < p.x0 + p.w and p.y0 < b.y0 + b.h and b.y0 < p.y0 + p.h),
-         r as (select *, row_number() over (partition by tile, pred order by covered desc, obj) as rn, count(*) over (partition by tile, pred) as n
-               from m where covered >= 0.25)
-    select p.tile, p.pred, coalesce(n, 0) as n_matches, obj, class, covered from preds p
-    left join (select * from r where rn = 1) r on r.tile = p.tile and r.pred = p.pred""")
+    with q as materialized (select tile, pred, x0, y0, x0 + w as x1, y0 + h as y1, (w * h)::double as area from preds),
+         g as materialized (select tile, obj, class, x0, y0, x0 + w as x1, y0 + h as y1 from boxes),
+         m as (select q.tile, q.pred, g.obj, g.class, ((least(q.x1, g.x1) - greatest(q.x0, g.x0)) * (least(q.y1, g.y1) - greatest(q.y0, g.y0)))::double / area as covered
+               from q join g on g.tile = q.tile where q.x0 < g.x1 and g.x0 < q.x1 and q.y0 < g.y1 and g.y0 < q.y1),
+         r as materialized (select tile, pred, count(*) as n, arg_max({'obj': obj, 'class': class, 'covered': covered}, {'c': covered, 'o': -obj}) as best
+                            from m where covered >= 0.25 group by tile, pred)
+    select tile, pred, coalesce(n, 0) as n_matches, best.obj as obj, best.class as class, best.covered as covered from q left join r using (tile, pred)""")
 def j7(spark, d):
-    return matching.overlap_match(v.preds(spark, d), v.boxes(spark, d))
+    return matching.overlap_match(v.preds(spark, d), v.boxes(spark, d), v.TILE)
 
 
 @query("j8_refine_class", """
@@ -161,7 +188,7 @@ def j7(spark, d):
     from boxes a left join f on f.tile = a.tile and f.obj = a.obj where a.class = 0""")
 def j8(spark, d):
     b = v.boxes(spark, d)
-    return matching.refine_class(b.filter("class = 0"), b)
+    return matching.refine_class(b.filter("class = 0"), b, v.TILE)
 
 
 @query("j9_inherit_fold", "select tile, slide, sample, fold from ftiles")

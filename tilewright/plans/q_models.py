@@ -203,7 +203,7 @@ def build_tile_labels(spark, d):
     select tile, pred, class, name, case when o <= round_even(0.2::double * n, 0) then 'test' else 'train' end as fold from o""")
 def label_crops(spark, d):
     p = v.preds(spark, d).select("tile", "pred", "x0", "y0", "w", "h")
-    return jobs.label_crops(p, v.boxes(spark, d)).select("tile", "pred", "class", "name", "fold")
+    return jobs.label_crops(p, v.boxes(spark, d), v.TILE).select("tile", "pred", "class", "name", "fold")
 
 
 @query("score_crop_names", f"""
