@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tilewright.functions.draws import SEED, draw, slot
 from tilewright.operators.quantiles import exact_quantiles
 from tilewright.operators.ranks import split_rank
+from tilewright.session import stored
 
 
 def confusion_matrix(df: DataFrame, n_classes: int) -> DataFrame:
@@ -41,10 +42,11 @@ def macro_metrics(df: DataFrame) -> DataFrame:
 
 def batch_mean_accuracy(df: DataFrame, key: str, batch: int, seed: int = SEED) -> DataFrame:
     """Mean of the accuracies of batches of `batch` rows in random order; a short last batch weighs the same."""
-    drawn = df.withColumn("_d", draw(key, seed=seed))
-    ranked = split_rank(drawn, [], [slot(F.col("_d"))], ["_d", key], "_r")
     hit = (F.col("truth") == F.col("predicted")).cast("int")
-    per_batch = ranked.groupBy(F.floor((F.col("_r") - 1) / batch).alias("_b")).agg(F.avg(hit).alias("acc"))
+    # Slot sizes and ranks are two passes over what may be a join.
+    drawn = stored(df.select(draw(key, seed=seed).alias("_d"), key, hit.alias("_hit")), "verdicts")
+    ranked = split_rank(drawn, [], [slot(F.col("_d"))], ["_d", key], "_r")
+    per_batch = ranked.groupBy(F.floor((F.col("_r") - 1) / batch).alias("_b")).agg(F.avg("_hit").alias("acc"))
     return per_batch.agg(F.count("*").alias("n_batches"), F.avg("acc").alias("accuracy"))
 
 

@@ -148,16 +148,12 @@ def parts_by_draw(
     by = list(by)
     keyed = df.select(*by, drawn.alias("_d"), F.col(tie).alias("_t")).withColumn("_s", slot(F.col("_d")))
     sizes = keyed.groupBy(*by, "_s").agg(F.count("*").alias("_c"))
-    group = Window.partitionBy(*_groups(by))
-    running = group.orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)
+    running = Window.partitionBy(*_groups(by)).orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)
     table = Window.partitionBy(F.lit(0))
-    spans = sizes.select(
-        *by, "_s",
-        (F.sum("_c").over(running) - F.col("_c")).alias("_lo"),
-        F.sum("_c").over(running).alias("_hi"),
-        F.sum("_c").over(group).alias("_n"),
-        F.sum("_c").over(table).alias("_all"),
-    ).withColumn("_most", F.max("_n").over(table))
+    totals = sizes.groupBy(*by).agg(F.sum("_c").alias("_n"))  # a row for each group
+    totals = totals.withColumns({"_all": F.sum("_n").over(table), "_most": F.max("_n").over(table)})
+    summed = sizes.select(*by, "_s", (F.sum("_c").over(running) - F.col("_c")).alias("_lo"), F.sum("_c").over(running).alias("_hi"))
+    spans = summed.join(totals, by) if by else summed.crossJoin(totals)  # one row
     given = [F.col("_n"), F.col("_all"), F.col("_most")]
     at = [F.least(F.greatest(c(*given).cast("bigint"), F.lit(0)), F.col("_n")) for c in cuts]
     wanted = (
@@ -167,7 +163,7 @@ def parts_by_draw(
     )
     within = Window.partitionBy(*by, "_s", "_i").orderBy("_d", "_t")
     keys = (
-        keyed.join(F.broadcast(wanted), [*by, "_s"])  # one row per group and cut
+        keyed.join(wanted, [*by, "_s"])
         .withColumn("_r", F.col("_lo") + F.row_number().over(within))
         .filter(F.col("_r") == F.col("_cut"))
         .groupBy(*by)
@@ -177,8 +173,7 @@ def parts_by_draw(
     rows = df.withColumn("_d", drawn)
     if by:
         if sizes_as:
-            totals = spans.groupBy(*by).agg(F.max("_n").alias(sizes_as[0]), F.max("_most").alias(sizes_as[1]))
-            keys = totals.join(keys, by, "left")
+            keys = totals.select(*by, F.col("_n").alias(sizes_as[0]), F.col("_most").alias(sizes_as[1])).join(keys, by, "left")
         rows = rows.join(keys, by, "left")
         limits = [F.col(f"_k{i}") for i in range(len(cuts))]
     else:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions.draws import SEED, draw
 from tilewright.operators.ranks import parts_by_draw
+from tilewright.session import stored
 
 
 def _named(df: DataFrame, names: list[str], out: str = "fold") -> DataFrame:
@@ -30,8 +31,9 @@ def split_random(df: DataFrame, key: str, ratio: list[float], seed: int = SEED,
 def split_with_empties(tiles: DataFrame, key: str, ratio: list[float], empty_share: float, seed: int = SEED) -> DataFrame:
     """Full tiles are split three ways; train then takes int(p·int(train·(1+p))) empty tiles, the others drop out.
 
-    `tiles` carries `is_empty`.
+    `tiles` carries `is_empty`. Cuts take several passes, so the tiles are written once, with their draw.
     """
+    tiles = _drawn(tiles, key, seed)
 
     def train_size(full):
         return full - F.bround(F.lit(float(ratio[1])) * full) - F.bround(F.lit(float(ratio[2])) * full)
@@ -43,19 +45,24 @@ def split_with_empties(tiles: DataFrame, key: str, ratio: list[float], empty_sha
     val = lambda n: F.bround(F.lit(float(ratio[1])) * n)
     test = lambda n: F.bround(F.lit(float(ratio[2])) * n)
     full = _named(
-        parts_by_draw(tiles.filter("not is_empty"), draw(key, seed=seed), key,
+        parts_by_draw(tiles.filter("not is_empty"), F.col("_draw"), key,
                       [lambda n, *_: val(n), lambda n, *_: val(n) + test(n)]),
         ["val", "test", "train"],
     )
     # The cut for the empty tiles depends on the number of full ones, so both are counted together.
-    spare = parts_by_draw(tiles, draw(key, seed=seed), key, [extra], by=["is_empty"])
+    spare = parts_by_draw(tiles, F.col("_draw"), key, [extra], by=["is_empty"])
     taken = spare.filter("is_empty and part = 0").withColumn("fold", F.lit("train")).drop("part")
-    return full.unionByName(taken)
+    return full.unionByName(taken).drop("_draw")
+
+
+def _drawn(tiles: DataFrame, key: str, seed: int) -> DataFrame:
+    return stored(tiles.withColumn("_draw", draw(key, seed=seed)), "drawn")
 
 
 def _keep_empties(tiles: DataFrame, key: str, wished, seed: int) -> DataFrame:
-    kept = parts_by_draw(tiles, draw(key, seed=seed), key, [wished], by=["is_empty"])
-    return kept.filter(~F.col("is_empty") | (F.col("part") == 0)).drop("part")
+    """`tiles` are written once, with their draw: flags come from a join, and three passes follow."""
+    kept = parts_by_draw(_drawn(tiles, key, seed), F.col("_draw"), key, [wished], by=["is_empty"])
+    return kept.filter(~F.col("is_empty") | (F.col("part") == 0)).drop("part", "_draw")
 
 
 def downsample_empty(tiles: DataFrame, key: str, share: float = 0.1, seed: int = SEED) -> DataFrame:
@@ -71,6 +78,7 @@ def downsample_empty_train(tiles: DataFrame, key: str, share: float = 0.1, seed:
         full = everything - n
         return F.when(n / everything <= share, n).otherwise(F.floor(full * (1 + share)) - full)
 
+    tiles = stored(tiles, "tiles")
     train = _keep_empties(tiles.filter("fold = 'train'"), key, wished, seed)
     return tiles.filter("fold <> 'train'").unionByName(train)
 
