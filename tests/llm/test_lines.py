@@ -2,6 +2,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from tilewright.llm import jaccard, lines
@@ -129,3 +130,28 @@ def test_cut_text(make_docs):
 
 def test_no_rows(make_docs):
     assert lines.dedup_lines(make_docs([])).count() == 0
+
+
+def test_first_occurrences_over_many_calls():
+    rng = np.random.default_rng(5)
+    seen, known = lines.Seen(), {}
+    for k in range(40):
+        hashes = rng.integers(0, 400 * (k % 5 + 1), rng.integers(0, 300)).astype(np.uint64)
+        node = np.arange(len(hashes)) + 1000 * k
+        assert seen.first(hashes, node).tolist() == [known.setdefault(h, n) for h, n in zip(hashes.tolist(), node.tolist())]
+    assert sum(len(h) for h, _ in seen.runs) == len(known) and len(seen.runs) <= 12
+
+
+def test_a_text_longer_than_a_slice(spark, make_docs):
+    """Lines of a text of a megabyte, its near-equal lines in another text, and batches of seven rows."""
+    unique = [" ".join(f"w{i}x{(i * 7919 + j * 104729) % 99991}" for j in range(9)) for i in range(12_000)]
+    assert len("\n".join(unique)) > 512 << 10
+    texts = ["\n".join(unique), "\n".join(u + "." for u in unique[::100]), unique[5] + "\n\n" + unique[5], None]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        rows = {r["doc_id"]: r for r in lines.dedup_lines(make_docs(texts)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert (rows[0]["n_lines"], rows[0]["n_removed"]) == (12_000, 0)
+    assert [tuple(x) for x in rows[1]["removed"]] == [(k, 0, 100 * k) for k in range(120)]
+    assert [tuple(x) for x in rows[2]["removed"]] == [(0, 0, 5), (2, 0, 5)]

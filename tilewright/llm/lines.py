@@ -21,7 +21,6 @@ larger one raises an error.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,13 +100,38 @@ def band_keys(hashes: np.ndarray, counts: np.ndarray, bands: int = BANDS, rows:
     return tx.mix(key + np.arange(bands, dtype=np.uint64))
 
 
+class Seen:
+    """The first occurrence of every hash met so far: sorted runs of 16 bytes a hash, merged as they grow."""
+
+    def __init__(self):
+        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def first(self, hashes: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """The first node of each hash, here or in an earlier call."""
+        own, at, back = np.unique(hashes, return_index=True, return_inverse=True)
+        lead = node[at]
+        fresh = np.ones(len(own), bool)
+        for known, nodes in self.runs:
+            place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            met = known[place] == own
+            lead[met] = nodes[place[met]]
+            fresh &= ~met
+        if fresh.any():
+            self.runs.append((own[fresh], lead[fresh]))
+        while len(self.runs) > 1 and len(self.runs[-2][0]) < 2 * len(self.runs[-1][0]):
+            (a, x), (b, y) = self.runs.pop(), self.runs.pop()
+            order = np.argsort(both := np.concatenate([a, b]))
+            self.runs.append((both[order], np.concatenate([x, y])[order]))
+        return lead[back]
+
+
 def line_table(docs: DataFrame, least: int, shingle: int, bands: int, rows: int, key: str, text: str) -> DataFrame:
     """A row per document (line -1, with n_lines) and per line of `least` characters: its number, the number of
     its first occurrence in the partition, and there its band keys."""
     names = ["doc", "line", "node", "first", "n_lines", "keys"]
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
+        seen = Seen()
         for batch in batches:
             ids = np.array([x if x is not None else 0 for x in batch.column(0).to_pylist()], np.int64)
             valid = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
@@ -123,11 +147,8 @@ def line_table(docs: DataFrame, least: int, shingle: int, bands: int, rows: int,
                 if (number >= 1 << LINE_BITS).any():
                     raise ValueError("a text has too many lines")
                 node = (ids[at + row] << LINE_BITS) | number
-                data = raw.tobytes()
-                first, fresh = np.empty(len(node), np.int64), np.zeros(len(node), bool)
-                for i, (a, b, own) in enumerate(zip(begin.tolist(), end.tolist(), node.tolist())):
-                    first[i] = known.setdefault(hashlib.blake2b(data[a:b], digest_size=16).digest(), own)
-                    fresh[i] = first[i] == own
+                first = seen.first(tx.Rolling(tx.byte_codes(raw))(begin, end), node)
+                fresh = first == node
                 h, count = _shingles(points, before[begin[fresh]], before[end[fresh]], shingle)
                 keys = tx.signed(band_keys(h, count, bands, rows).ravel())
                 m = len(node)
@@ -152,32 +173,41 @@ def _line_groups(docs: DataFrame, members: DataFrame, key: str, text: str) -> Da
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for body, places in zip(batch.column(0), batch.column(1).to_pylist()):
-                lines = (body.as_py() or "").encode().split(b"\n")
-                for p in places:
-                    number = p["node"] & ((1 << LINE_BITS) - 1)
-                    if number >= len(lines):  # another row with the same key
-                        continue
-                    blocks, line = p["blocks"], lines[number].strip(b" \t\n\r\x0b\x0c")
-                    mine = int(tx.mix(np.array([p["node"]], np.int64))[0] % np.uint64(blocks)) if blocks > 1 else 0
-                    for other in range(blocks):
-                        if blocks == 1 or other != mine:
-                            cell = min(mine, other) * blocks + max(mine, other)
-                            out.append((p["task"] + cell, p["leader"], cell, p["node"], line))
-                if len(out) > 20_000:
-                    yield _grouped(out)
-                    out = []
-            if out:
-                yield _grouped(out)
+            lists = batch.column(1)
+            edge, flat = lists.offsets.to_numpy(), lists.values
+            for at, raw, starts in tx.slices(batch.column(0)):
+                row, number, begin, end = _trimmed(raw, starts)
+                places = flat.slice(edge[at], edge[at + len(starts) - 1] - edge[at])
+                node, leader, task, blocks = (places.field(k).to_numpy() for k in range(4))
+                owner = np.repeat(np.arange(len(starts) - 1), np.diff(edge[at : at + len(starts)]))
+                want = (owner << LINE_BITS) | (node & ((1 << LINE_BITS) - 1))
+                known = (row << LINE_BITS) | number
+                place = np.searchsorted(known, want)
+                # A line that is not there stands in another row with the same key.
+                use = np.flatnonzero(np.append(known, -1)[place] == want)
+                mine = np.where(blocks > 1, (tx.mix(node.view(np.uint64)) % np.maximum(blocks, 1).astype(np.uint64)).astype(np.int64), 0)
+                copies = np.maximum(1, blocks[use] - 1)
+                one = np.repeat(use, copies)
+                other = tx.spread(np.zeros(len(use), np.int64), copies)
+                other = np.where(blocks[one] > 1, other + (other >= mine[one]), 0)
+                cell = np.minimum(mine[one], other) * blocks[one] + np.maximum(mine[one], other)
+                lo, hi = begin[place[one]], end[place[one]]
+                yield from _grouped(raw, lo, hi - lo, [task[one] + cell, leader[one], cell, node[one]])
 
     return texts.select("text", "at").mapInArrow(cut, "task long, leader long, cell long, node long, line binary")
 
 
-def _grouped(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
-    return pa.RecordBatch.from_arrays(columns, ["task", "leader", "cell", "node", "line"])
+def _grouped(raw: np.ndarray, start: np.ndarray, length: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The columns and the lines, in batches of about a slice."""
+    total = np.append(0, np.cumsum(length))
+    lo = 0
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + tx.SLICE_BYTES, "right")) - 1)
+        body = raw[tx.spread(start[lo:hi], length[lo:hi])]
+        offsets = (total[lo : hi + 1] - total[lo]).astype(np.int32)
+        lines = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(offsets), pa.py_buffer(body)])
+        yield pa.RecordBatch.from_arrays([*[pa.array(c[lo:hi]) for c in columns], lines], ["task", "leader", "cell", "node", "line"])
+        lo = hi
 
 
 def _sets(lines: list[bytes], k: int) -> list[np.ndarray]:
@@ -234,17 +264,16 @@ def line_links(docs: DataFrame, table: DataFrame, percent: int, shingle: int, ke
     task = F.when(F.col("g") > BLOCK, F.shiftright(F.xxhash64(F.lit("cells"), "leader"), 1)).otherwise(F.pmod(F.xxhash64("leader"), F.lit(tasks)))
     members = led.join(size.select("leader", blocks.alias("blocks"), task.alias("task")), "leader")
 
-    def verify(part: pd.DataFrame) -> pd.DataFrame:
-        leader, cell, node = (part[c].to_numpy() for c in ("leader", "cell", "node"))
+    def verify(part: pa.Table) -> pa.Table:
+        leader, cell, node = (part.column(c).to_numpy() for c in ("leader", "cell", "node"))
         order = np.lexsort((node, cell, leader))
         new = (np.diff(leader[order]) != 0) | (np.diff(cell[order]) != 0)
-        text_of: dict[bytes, int] = {}
-        own = np.array([text_of.setdefault(x, len(text_of)) for x in part["line"]], np.int64)
-        x, y = group_links(np.append(0, np.cumsum(new)), own[order], list(text_of), percent, shingle)
+        text = part.column("line").combine_chunks().dictionary_encode()
+        x, y = group_links(np.append(0, np.cumsum(new)), text.indices.to_numpy()[order].astype(np.int64), text.dictionary.to_pylist(), percent, shingle)
         tx.give_back()
-        return pd.DataFrame({"a": node[order[x]], "b": node[order[y]]})
+        return pa.table({"a": node[order[x]], "b": node[order[y]]})
 
-    return _line_groups(docs, members, key, text).groupBy("task").applyInPandas(verify, "a long, b long")
+    return _line_groups(docs, members, key, text).groupBy("task").applyInArrow(verify, "a long, b long")
 
 
 def dedup_lines(
