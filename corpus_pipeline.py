@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tilewright.llm import classifier, jaccard, lines, mixing, packing, queries
+from tilewright.llm.components import components
 from tilewright.llm.store import written
 
+LOST = 0.15
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -31,11 +33,22 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near-duplicates; of rows that repeat an id, one stays."""
-    found = jaccard.near_duplicates(docs)
-    kept = found.filter("component_id = doc_id").select("doc_id").distinct()
+    """One document, that of the smallest id, of each group of near-duplicates; of rows that repeat an id, one stays.
+
+    A near copy that has lost its repeated lines is like nothing any more, but must not stay as a fragment. So
+    documents are compared as they are and, where they have lost more than `LOST` of their characters, also as they
+    stand in `documents`; two documents are of one group if any of their texts link.
+    """
+    own = docs.filter("doc_id is not null").select("doc_id", "text")
+    whole = queries.table(spark, sf_dir, "documents").select("doc_id", "text")
+    sized = lambda df, name: df.groupBy("doc_id").agg(F.max(F.length("text")).alias(name))
+    cut = sized(own, "_is").join(sized(whole, "_was"), "doc_id").filter(F.col("_is") < (1 - LOST) * F.col("_was")).select("doc_id")
+    texts = own.withColumn("doc_id", 2 * F.col("doc_id")).unionByName(whole.join(cut, "doc_id", "left_semi").withColumn("doc_id", 2 * F.col("doc_id") + 1))
+    found = jaccard.near_duplicates(texts)
+    groups = components(found.select(F.shiftright("doc_id", 1).alias("a"), F.shiftright("component_id", 1).alias("b")))
+    gone = groups.filter("node <> component").select(F.col("node").alias("doc_id"))
     one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    stays = docs.join(kept, "doc_id", "left_semi").withColumn("_r", F.row_number().over(one)).filter("_r = 1")
+    stays = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").withColumn("_r", F.row_number().over(one)).filter("_r = 1")
     return stays.select(COLUMNS).unionByName(docs.filter("doc_id is null").select(COLUMNS))
 
 
