@@ -78,3 +78,19 @@ def test_drawn_documents_repeat(spark):
     rows = [(1, "a b", "en", "s", 0, 0), (2, "c d", "en", "s", 0, 0)]
     out = mixing.drawn_documents(mixing.mix(docs(spark, rows), levels(), share=2.0, max_epochs=2), ["doc_id", "text"])
     assert sorted(r["doc_id"] for r in out.collect()) == [1, 1, 2, 2]
+
+
+def test_many_leaves_are_joined_in_parts(spark, monkeypatch):
+    """Beyond the size for a broadcast the leaves are salted: same rows."""
+    rows = [(k, "w " * (1 + k % 17), f"l{k % 3}", f"s{k % 5 if k % 2 else 0}", 0, 0) for k in range(400)] + [(None, "a b", None, None, 0, 0)]
+    run = lambda: sorted(map(repr, mixing.mix(docs(spark, rows), levels(), share=0.6).collect()))
+    few = run()
+    monkeypatch.setattr(mixing, "LEAVES", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert run() == few
+        plan = mixing.mix(docs(spark, rows), levels(), share=0.6)._jdf.queryExecution().executedPlan().toString()
+        assert "mix_salt" in plan and "BroadcastHashJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -1,5 +1,6 @@
 """Every stage of the pipeline against a plain version, on the stage's own input."""
 
+import random
 import re
 
 import pyarrow.parquet as pq
@@ -65,13 +66,62 @@ def test_lines(stages):
     assert sorted(map(tuple, after), key=repr) == sorted(want, key=repr)
 
 
-def test_near_duplicates(stages):
+def near_groups(rows, originals):
+    """Smallest id of each document's group: links between texts as they are and, where much is gone, as they stood in `originals`."""
+    was, now = {}, {}
+    for held, own in ((was, originals), (now, rows)):
+        for d, t in own:
+            held[d] = max(held.get(d, -1), -1 if t is None else len(t))
+    cut = {d for d in now if d in was and 0 <= now[d] < (1 - cp.LOST) * was[d]}
+    forms = [(2 * d, t) for d, t in rows if d is not None] + [(2 * d + 1, t) for d, t in originals if d in cut]
+    up = {d: d for d, _ in rows if d is not None}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for d, _, c in jaccard_groups(forms):
+        x, y = root(int(d) >> 1), root(c >> 1)
+        up[max(x, y)] = min(x, y)
+    return {d: root(d) for d in up}
+
+
+def test_near_duplicates(spark, stages):
     before, after = stages["ngram_jaccard"]
-    kept = {d for d, _, c in jaccard_groups([(r["doc_id"], r["text"]) for r in before]) if d == str(c)}
-    want = {tuple(r) for r in before if r["doc_id"] is None or str(r["doc_id"]) in kept}
+    originals = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    groups = near_groups([(r["doc_id"], r["text"]) for r in before], originals)
+    want = {tuple(r) for r in before if r["doc_id"] is None or groups[r["doc_id"]] == r["doc_id"]}
     assert sorted(map(tuple, after), key=repr) == sorted(want, key=repr)
 
 
+def test_near_copies_leave_no_fragments(spark, tmp_path):
+    """Copies with a word replaced in some lines: line dedup takes the other lines, and the next stage what is left."""
+    draw = random.Random(12)
+    word = lambda: "".join(draw.choice("abcdefghijklmnop") for _ in range(draw.randrange(3, 9)))
+    line = lambda: [word() for _ in range(draw.randrange(8, 16))]
+    rows, near = [], set()
+    for k in range(60):
+        body = [line() for _ in range(draw.randrange(6, 14))]
+        rows.append((k, body))
+        if k < 40:
+            for j in draw.sample(range(len(body)), 1 + len(body) // 5):
+                body = [*body[:j], [*body[j][:4], word(), *body[j][5:]], *body[j + 1 :]]
+            rows.append((1000 + k, body))
+            near.add(1000 + k)
+    rows = [(d, "\n".join(" ".join(w) for w in body), "en", "s", 0) for d, body in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").repartition(5)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    cut = [tuple(r) for r in cp.line_dedup(spark, docs, str(tmp_path)).collect()]
+    kept = cp.near_duplicates(spark, spark.createDataFrame(cut, docs.schema), str(tmp_path)).collect()
+    left = {r["doc_id"] for r in kept}
+    linked = {d for d, r in near_groups([(r[0], r[1]) for r in rows], [(r[0], r[1]) for r in rows]).items() if d != r}
+    fragments = {r[0] for r in cut} & linked
+    assert len(linked) >= 36 and fragments and not left & linked
+    assert left == set(range(60)) | (near - linked)
+    assert {r["doc_id"]: r["text"] for r in kept if r["doc_id"] < 60} == {d: t for d, t, *_ in rows if d < 60}
+
+
 def test_mixing(stages):
     before, after = stages["mixing"]
     words = lambda rows: sum(len(WORD.findall(r["text"] or "")) for r in rows)

@@ -21,6 +21,8 @@ from tilewright.llm.store import written
 
 WORD = r"[^\x20\x09-\x0D]+"
 OWN = "mix_"  # prefix of all columns made here
+LEAVES = 50_000
+SALTS = 32
 
 
 def word_count(text: Column) -> Column:
@@ -74,6 +76,15 @@ def _drawn(key: Column, epoch: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), epoch.cast("string"), F.lit(":"), F.coalesce(key.cast("string"), F.lit(""))))
 
 
+def _with_leaf(rows: DataFrame, leaves: DataFrame, names: list[str], key: str, few: bool) -> DataFrame:
+    """`rows` with the columns of their leaf, of which `leaves` has one row each."""
+    if few:
+        return rows.join(F.broadcast(leaves), names)
+    salted = rows.withColumn("mix_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
+    every = leaves.withColumn("mix_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    return salted.join(every, [*names, "mix_salt"]).drop("mix_salt")
+
+
 def mix(
     docs: DataFrame, levels: dict[str, Column], weights: dict[str, Column] | None = None, budget: float | None = None, share: float = 1.0,
     max_epochs: int = 1, seed: int = 1, tokens: Column | None = None, key: str = "doc_id",
@@ -86,8 +97,8 @@ def mix(
     Rows that repeat a key are drawn together; if the cut falls on them, each is cut in proportion. All input
     columns are kept (names beginning with mix_ are reserved); an empty table gives no rows.
 
-    The leaves' table is joined as the optimiser sees fit: it broadcasts it only below its own size limit, and
-    splits skewed leaves otherwise.
+    The leaves' table is broadcast where it has been counted to have at most `LEAVES` rows. A larger one is joined
+    with every leaf split into `SALTS` parts, so that a leaf with a third of all rows is not one task's.
     """
     names = [OWN + n for n in levels]
     weights = {OWN + n: w for n, w in (weights or {}).items()}
@@ -102,14 +113,16 @@ def mix(
     spent = spent.withColumn("mix_left", F.col("mix_budget") - F.col("mix_epochs") * F.col("mix_tokens"))
     spent = written(spent.select(*names, "mix_epochs", "mix_left"), "mix-leaves")
 
+    few = spent.count() <= LEAVES
     drawn = _drawn(F.col("mix_key"), F.col("mix_epochs"), seed)
-    placed = counted.join(spent, names).filter((F.col("mix_left") > 0) & (F.col("mix_tokens") > 0)).withColumn("mix_draw", drawn)
+    placed = _with_leaf(counted, spent, names, "mix_key", few).filter((F.col("mix_left") > 0) & (F.col("mix_tokens") > 0)).withColumn("mix_draw", drawn)
     placed = placed.withColumn("mix_slot", F.substring("mix_draw", 1, 4))
     slots = placed.groupBy(*names, "mix_slot").agg(F.sum("mix_tokens").alias("mix_n"), F.max("mix_left").alias("mix_left"))
     ends = F.sum("mix_n").over(Window.partitionBy(*names).orderBy("mix_slot"))
     at = slots.withColumn("mix_end", ends).filter((F.col("mix_end") >= F.col("mix_left")) & (F.col("mix_end") - F.col("mix_n") < F.col("mix_left")))
     last = at.select(*names, "mix_slot", (F.col("mix_end") - F.col("mix_n")).alias("mix_from"))
-    units = placed.join(last, [*names, "mix_slot"]).groupBy(*names, "mix_draw", "mix_from", "mix_left").agg(F.sum("mix_tokens").alias("mix_unit"))
+    # At most one slot a leaf.
+    units = placed.join(F.broadcast(last) if few else last, [*names, "mix_slot"]).groupBy(*names, "mix_draw", "mix_from", "mix_left").agg(F.sum("mix_tokens").alias("mix_unit"))
     stop = F.col("mix_from") + F.sum("mix_unit").over(Window.partitionBy(*names).orderBy("mix_draw"))
     cuts = units.withColumn("mix_stop", stop).filter((F.col("mix_stop") >= F.col("mix_left")) & (F.col("mix_stop") - F.col("mix_unit") < F.col("mix_left")))
     cuts = cuts.select(*names, F.col("mix_draw").alias("mix_cut"), (F.col("mix_left") - F.col("mix_stop") + F.col("mix_unit")).alias("mix_taken"), "mix_unit")
@@ -120,7 +133,7 @@ def mix(
     copies = F.col("mix_epochs") + F.when(inside, 1).otherwise(0)
     part = F.when(cut, F.floor(F.col("mix_taken") * F.col("mix_tokens") / F.col("mix_unit"))).otherwise(0).cast("bigint")
     # A cut that takes all of a document is one more whole copy.
-    out = rows.join(every, names).withColumns({"mix_copies": copies, "mix_part": part})
+    out = _with_leaf(rows, every, names, key, few).withColumns({"mix_copies": copies, "mix_part": part})
     gone, filled = F.col("mix_tokens") == 0, F.col("mix_part") == F.col("mix_tokens")
     return out.withColumns({
         "mix_copies": F.when(gone, 0).when(filled, F.col("mix_copies") + 1).otherwise(F.col("mix_copies")).cast("bigint"),
