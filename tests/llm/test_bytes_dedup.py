@@ -75,3 +75,18 @@ def test_suffix_arrays_and_prefixes():
             while i + n < limit[i] and j + n < len(t) and body[i + n] == body[j + n]:
                 n += 1
             assert (shared[i], before[i]) == (n, j)
+
+
+def test_suffixes_of_long_repetitions():
+    n = 300_000
+    assert suffix.suffix_array(np.frombuffer(b"a" * n, np.uint8)).tolist() == list(range(n - 1, -1, -1))
+    got = suffix.suffix_array(np.frombuffer(b"ab" * (n // 2), np.uint8))
+    assert got.tolist() == [*range(n - 2, -1, -2), *range(n - 1, 0, -2)]
+    for few in (0, 64):
+        rng = random.Random(few)
+        for _ in range(300):
+            body = b"\xff".join([bytes(rng.choices(b"abc", k=rng.randint(1, 9))) * rng.randint(1, 30)] * rng.randint(1, 5))
+            before, suffix.FEW = suffix.FEW, few
+            order = suffix.suffix_array(np.frombuffer(body, np.uint8))
+            suffix.FEW = before
+            assert order.tolist() == sorted(range(len(body)), key=lambda i: body[i:])

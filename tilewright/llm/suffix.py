@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+FEW = 64  # runs of one symbol that are followed together
+
 
 def _smaller(t: np.ndarray) -> np.ndarray:
     """Which suffixes are smaller than the one after them; the last one is not (an end smaller than all follows)."""
@@ -41,9 +43,12 @@ def _ranked(typed: np.ndarray, at: np.ndarray, length: np.ndarray, tail: np.ndar
     """Ranks (equal ones alike, without gaps) of the stretches typed[at : at + length], then of `tail`.
 
     `typed` holds numbers above 0 and 0 follows its end. No stretch is the beginning of another but one that
-    reaches the end. Each round packs as many symbols into one key as fit, for the stretches still tied.
+    reaches the end. The first round packs as many symbols into one key as fit. Later ones do so for the stretches
+    still tied or, where a stretch begins at every place, use the rank of the place they have come to, which doubles
+    what is compared.
     """
     n = len(at)
+    everywhere = n == len(typed)
     bits, room = max(1, int(typed.max()).bit_length()), max(1, n.bit_length())
     take = max(1, (63 - room) // bits)
     padded = np.append(typed, 0).astype(np.uint64)
@@ -51,13 +56,17 @@ def _ranked(typed: np.ndarray, at: np.ndarray, length: np.ndarray, tail: np.ndar
     rank, live, done = np.zeros(n, np.int64), np.arange(n), 0
     tied = []
     while len(live):
-        key = np.zeros(len(live), np.uint64)
-        for k in range(done, done + take):
-            inside = (length[live] > k) | to_end[live]
-            key = (key << np.uint64(bits)) | np.where(inside, padded[np.minimum(at[live] + k, len(typed))], np.uint64(0))
-        still = _split(rank, live, key, bits * take)
-        done += take
-        more = (length[still] > done) | (to_end[still] & (at[still] + done < len(typed)))
+        if everywhere and done:
+            still = _split(rank, live, np.append(rank + 1, 0)[live + done].astype(np.uint64), room)
+            done *= 2
+        else:
+            key = np.zeros(len(live), np.uint64)
+            for k in range(done, done + take):
+                inside = (length[live] > k) | to_end[live]
+                key = (key << np.uint64(bits)) | np.where(inside, padded[np.minimum(at[live] + k, len(typed))], np.uint64(0))
+            still = _split(rank, live, key, bits * take)
+            done += take
+        more = (length[still] > done) | (to_end[still] & (at[still] + done <= len(typed)))  # the end is a symbol, too
         tied.append(still[~more])
         live = still[more]
     if tail is not None and sum(map(len, tied)):
@@ -123,28 +132,34 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
         back = found[found > 0] - 1
         return back[smaller[back] == kind]
 
+    run_start = np.append(True, t[1:] != t[:-1])
+    run_start = np.maximum.accumulate(np.where(run_start, np.arange(n, dtype=np.int32), np.int32(0)))
+
+    def in_bucket(now: np.ndarray, kind: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """(suffixes, what they induce elsewhere), both in order: within runs of its symbol a bucket induces itself."""
+        own, out = [], []
+        while len(now) > FEW:
+            own.append(now)
+            go_on = run_start[now] < now
+            out.append(before(now[~go_on], kind))
+            now = now[go_on] - 1
+        if len(now):  # a few runs that may be long: all their steps at once, in the order of the steps
+            steps = now - run_start[now] + 1
+            step = np.arange(int(steps.sum())) - np.repeat(np.cumsum(steps) - steps, steps)
+            own.append((np.repeat(now, steps) - step)[np.argsort(step, kind="stable")].astype(np.int32))
+            out.append(before(run_start[now[np.argsort(steps, kind="stable")]], kind))
+        return own, out
+
     larger: list[np.ndarray] = []
     deal(np.array([n - 1], np.int32), larger_parts)
     for c in range(256):
-        now, own, out = joined(larger_parts[c]), [], []
-        while len(now):  # runs of c induce each other
-            own.append(now)
-            back = before(now, False)
-            stay = t[back] == c
-            out.append(back[~stay])
-            now = back[stay]
+        own, out = in_bucket(joined(larger_parts[c]), False)
         larger.append(joined(own))
         out.append(before(seeds[c], False))
         deal(joined(out), larger_parts)
     result: list[np.ndarray] = [np.zeros(0, np.int32)] * 512
     for c in range(255, -1, -1):
-        now, own, out = joined(smaller_parts[c]), [], []
-        while len(now):
-            own.append(now)
-            back = before(now, True)
-            stay = t[back] == c
-            out.append(back[~stay])
-            now = back[stay]
+        own, out = in_bucket(joined(smaller_parts[c]), True)
         out.append(before(larger[c][::-1], True))
         deal(joined(out), smaller_parts)
         result[2 * c], result[2 * c + 1] = larger[c], joined(own)[::-1]
