@@ -1,4 +1,6 @@
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -40,3 +42,60 @@ def test_sparse_scores_equal_the_trainer_features(spark, make_docs, sf_texts):
     got = {r["doc_id"]: r["p"] for r in classifier.with_score(make_docs(texts), w, "p").collect()}
     alone = {i: r["p"] for i, t in enumerate(texts[:5]) for r in classifier.with_score(make_docs([t]), w, "p").collect()}
     assert all(abs(got[i] - alone[i]) < 1e-6 for i in alone)
+
+
+def plain_ftrl(rows, labels, l1_of, epochs=6, alpha=0.5, beta=1.0, l2=0.01):
+    """The textbook update, one number at a time: {feature: weight}."""
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= l1_of(i):
+            return 0.0
+        return -(z[i] - math.copysign(l1_of(i), z[i])) / ((beta + math.sqrt(n.get(i, 0.0))) / alpha + l2)
+
+    for _ in range(epochs):
+        for row, y in zip(rows, labels):
+            w = {i: weight(i) for i in row}
+            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(w[i] * v for i, v in row.items())))))
+            for i, v in row.items():
+                g = (p - y) * v
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / alpha
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z}
+
+
+def row_of(features):
+    count = Counter(features)
+    return {0: 1.0} | {i: classifier.SCALE * c / max(1, len(features)) for i, c in count.items()}
+
+
+def test_training_equals_plain_updates(sf_texts, odd_texts):
+    texts = [t or "" for t in odd_texts] + [t or "" for _, t in sf_texts[:30]]
+    y = np.arange(len(texts)) % 2
+    rows = []
+    for t in texts:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        rows.append(row_of(classifier.slice_features(raw, np.array([0, len(raw)]))[1].tolist()))
+    want = plain_ftrl(rows, y, lambda i: 0.0 if i == 0 else 0.002)
+    got = classifier.train(texts, y)
+    assert set(np.flatnonzero(got)) == {i for i, w in want.items() if w}
+    assert all(abs(got[i] - w) < 1e-9 for i, w in want.items())
+
+
+def test_plain_ngrams_alone(spark):
+    """Words and word pairs without shapes and repeats, hashed and trained the plain way: what the method gives by itself."""
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
+    rows = docs.select("doc_id", "text", "quality").filter("text is not null").orderBy("doc_id").collect()
+    held = [zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 for r in rows]
+
+    def features(t):
+        w = t.split()
+        return [zlib.crc32(" ".join(g).encode()) % (classifier.DIMS - 1) + 1 for g in [*zip(w), *zip(w, w[1:])]]
+
+    sparse = [row_of(features(r["text"])) for r in rows]
+    learned = [(s, r["quality"]) for s, r, h in zip(sparse, rows, held) if not h]
+    w = plain_ftrl([s for s, _ in learned], [y for _, y in learned], lambda i: 0.0 if i == 0 else 0.002)
+    right = [(sum(w.get(i, 0.0) * v for i, v in s.items()) >= 0) == bool(r["quality"]) for s, r, h in zip(sparse, rows, held) if h]
+    assert len(right) > 80 and sum(right) / len(right) > 0.85  # 0.90 was measured
