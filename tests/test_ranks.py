@@ -151,3 +151,18 @@ def test_a_log_of_one_minute_is_spread(spark, monkeypatch):
 def test_epochs_of_hot_experiments_get_the_same_numbers(spark, sf):
     plain, cut = views.epochs(spark, sf), views.epochs(spark, sf, hot_rows=20)
     assert plain.exceptAll(cut).isEmpty() and plain.count() == cut.count()
+
+
+def test_cuts_do_not_bring_a_group_to_one_task(spark):
+    """Nothing is dealt by the group alone, even where the optimiser broadcasts nothing by itself."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(2_000).selectExpr("id as key", "if(id < 1500, 0, 1) as class")
+        split = sampling.split_stratified(df, "key", "class")
+        plan = split._jdf.queryExecution().executedPlan().toString()
+        # What is left of the plan's joins of the whole table are broadcast joins.
+        assert plan.count("SortMergeJoin") <= 1 and "LeftOuter, BuildRight" in plan
+        assert sorted((r["class"], r["fold"], r["count"]) for r in split.groupBy("class", "fold").count().collect()) == [(0, "test", 300), (0, "train", 1200), (1, "test", 100), (1, "train", 400)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
