@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.errors import PySparkException
 
+from tilewright.plans import q_sources
 from tilewright.sources import annotations, splits
 
 
@@ -104,3 +105,18 @@ def test_a_large_collection_is_read_by_several_tasks(spark, tmp_path):
         assert found.selectExpr("count(*)", "count(distinct n)", "max(n)", "count(distinct text)").first() == (30_000, 30_000, 29_999, 1)
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_collections_of_the_query_are_one_file_each(spark, sf):
+    """A join on the collection that turns out to be a broadcast join, whose shuffle is then read by mapper, leaves one file each."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, value in conf.items():
+            spark.conf.set(k, value)
+        found = q_sources.s3_split_files(spark, sf)
+        assert found.groupBy("part").count().count() == 4
+        assert found.count() == spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    finally:
+        for k, value in before.items():
+            spark.conf.unset(k) if value is None else spark.conf.set(k, value)
