@@ -1,5 +1,7 @@
 """Outlines and windows on hand-made rows."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from tilewright.functions import geometry as g
@@ -104,3 +106,28 @@ def test_names(spark):
     a = got["a"]
     assert (a.slide, a.sample, a.tile_i, a.tile_j, a.crop, a.copy, a.tile) == ("BH13_PAS", 0, 11, 5, 2, 3, "BH13_PAS_sample0_11_5")
     assert got["b"].slide == "I_4_S_5_" and got["c"].slide == "X_PAS" and got["c"].sample is None
+
+
+def test_painting_in_small_batches_and_of_hot_tiles(spark):
+    """A tile over many batches, tiles above `hot_rows`, objects without a number or class: all as if painted one by one."""
+    draw = random.Random(9)
+    rows = [(draw.choice([1, 1, 1, 2, 3, None]), draw.choice([None, *range(400)]) if k % 9 == 0 else 1000 + k, draw.choice([0, 1, None]), draw.randint(-40, 120), draw.randint(-40, 120), draw.randint(-5, 60), draw.randint(0, 60)) for k in range(500)]
+    rows = [r for k, r in enumerate(rows) if r[1] is None or r[1] >= 1000 or r[1] not in {q[1] for q in rows[:k]}]
+    want = {}
+    for tile, obj, cid, x0, y0, w, h in sorted(rows, key=lambda r: -1 if r[1] is None else r[1]):
+        if x0 + w >= 0 and y0 + h >= 0 and x0 < 100 and y0 < 100:
+            span = lambda a, b: range(min(max(min(a, b) // 10, 0), 9), min(max(max(a, b) // 10, 0), 9) + 1)
+            for x in span(x0, x0 + w):
+                for y in span(y0, y0 + h):
+                    want[tile, x, y] = (obj, None if obj is None or cid is None else cid + 1)
+    df = spark.createDataFrame(rows, "tile bigint, obj bigint, class int, x0 int, y0 int, w int, h int")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for hot in (100, 10_000):
+            got = [tuple(r) for r in tiling.rasterise(df, 10, 100, hot).collect()]
+            assert len(got) == len(want) and {r[:3]: r[3:] for r in got} == want
+        plan = tiling.rasterise(df, 10, 100)._jdf.queryExecution().executedPlan().toString()
+        assert "Aggregate" not in plan and "cell_x" not in "".join(x for x in plan.split("\n") if "Exchange" in x)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,3 +39,57 @@ def marks_at_mean(objects: DataFrame, runs: DataFrame, marks: list[str], key: st
     """Objects with the marks at the mean of their vertices, in whole pixels towards zero."""
     centre = objects.withColumn("_c", g.centroid(F.col("vertices")))
     return marks_at(centre, runs, g.trunc(F.col("_c.x")), g.trunc(F.col("_c.y")), marks, key, cell=cell).drop("_c")
+
+
+def painter(side: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For `mapInArrow`: rows (tile, object, class_mark, x0, x1, y0, y1 in cells), sorted by tile and object, to painted cells.
+
+    The cells of a tile that goes on in the next batch are painted there first, as boxes of one cell.
+    """
+    most = max(1 << 20, side * side)
+
+    def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Of `most` cells or so, or one box."""
+        x0, x1, y0, y1 = (batch.column(k).to_numpy().astype(np.int64) for k in range(3, 7))
+        total = np.cumsum((x1 - x0 + 1) * (y1 - y0 + 1))
+        start = 0
+        while start < len(total):
+            before = total[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(total, before + most, "right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+    def paint(rows: pa.RecordBatch) -> tuple[pa.RecordBatch, int]:
+        """(tile, object, class_mark, x0, x1, y0, y1) of every painted cell, and where the last tile begins."""
+        x0, x1, y0, y1 = (rows.column(k).to_numpy().astype(np.int64) for k in range(3, 7))
+        tile = pa.array(rows.column(0)).dictionary_encode(null_encoding="encode").indices.to_numpy().astype(np.int64)
+        wide, high = x1 - x0 + 1, y1 - y0 + 1
+        n = wide * high
+        box = np.repeat(np.arange(len(n)), n)
+        k = np.arange(len(box)) - np.repeat(np.cumsum(n) - n, n)
+        x, y = x0[box] + k // high[box], y0[box] + k % high[box]
+        place = (tile[box] * side + x) * side + y
+        order = np.argsort(place, kind="stable")
+        ordered = place[order]
+        top = order[np.append(ordered[1:] != ordered[:-1], True)]  # of equal places the last
+        x, y = (pa.array(c[top].astype(np.int32)) for c in (x, y))
+        given = [rows.column(c).take(pa.array(box[top])) for c in range(3)]
+        painted = pa.RecordBatch.from_arrays([*given, x, x, y, y], schema=rows.schema)
+        return painted, int(np.searchsorted(tile[box[top]], tile[-1]))
+
+    def cells(painted: pa.RecordBatch) -> pa.RecordBatch:
+        tile, object_, mark, x, _, y, _ = painted.columns
+        return pa.RecordBatch.from_arrays([tile, x, y, object_, mark], names=["tile", "cell_x", "cell_y", "object", "class_mark"])
+
+    def paint_all(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
+        for batch in batches:
+            for piece in pieces(batch):
+                rows = piece if left is None else pa.concat_batches([left, piece.cast(left.schema)])
+                painted, last = paint(rows)
+                yield cells(painted.slice(0, last))
+                left = painted.slice(last)
+        if left is not None:
+            yield cells(left)
+
+    return paint_all

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import geometry as g
 from tilewright.functions import let
+from tilewright.operators.raster import painter
+from tilewright.operators.ranks import HOT_ROWS, hot_cold
 from tilewright.operators.spatial import points_in_boxes
 
 
@@ -148,20 +150,32 @@ def normalise_vertices(df: DataFrame, tile: int) -> DataFrame:
     return df.withColumn("vertices", F.transform("vertices", share))
 
 
-def rasterise(df: DataFrame, cell: int, tile: int) -> DataFrame:
+def rasterise(df: DataFrame, cell: int, tile: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Boxes painted on a grid of `cell`-pixel cells, later objects over earlier ones: object number and class+1.
 
-    Corners are whole pixels and included, as a filled rectangle is drawn.
+    Corners are whole pixels and included, as a filled rectangle is drawn. Boxes are dealt by tile and painted in object
+    order, tile after tile, so that cells are neither shuffled nor kept. A tile with more than `hot_rows` boxes is
+    painted wherever its boxes lie, and its cells, no more than a grid has, are put together.
     """
     last = (tile - 1) // cell
-    span = lambda lo, hi: F.sequence(
-        F.greatest(F.floor(lo / cell), F.lit(0)).cast("int"), F.least(F.floor(hi / cell), F.lit(last)).cast("int")
-    )
+    at = lambda x: F.least(F.greatest(F.floor(x / cell), F.lit(0)), F.lit(last)).cast("int")
     on_grid = (
         (F.col("x0") + F.col("w") >= 0) & (F.col("y0") + F.col("h") >= 0) & (F.col("x0") < tile) & (F.col("y0") < tile)
     )
-    rows = df.filter(on_grid).withColumn("cell_x", F.explode(span(F.col("x0"), F.col("x0") + F.col("w"))))
-    rows = rows.withColumn("cell_y", F.explode(span(F.col("y0"), F.col("y0") + F.col("h"))))
-    return rows.groupBy("tile", "cell_x", "cell_y").agg(
-        F.max("obj").alias("object"), (F.max_by("class", "obj") + 1).alias("class_mark")
+    ends = {"x": (at(F.col("x0")), at(F.col("x0") + F.col("w"))), "y": (at(F.col("y0")), at(F.col("y0") + F.col("h")))}
+    # Without a number an object is below all others, and marks nothing.
+    mark = F.when(F.col("obj").isNotNull(), F.col("class") + 1)
+    boxes = df.filter(on_grid).select(
+        "tile", F.col("obj").alias("object"), mark.alias("class_mark"),
+        *[f(*ends[c]).alias(f"{c}{n}") for c in "xy" for n, f in enumerate((F.least, F.greatest))],
     )
+    kinds = dict(boxes.dtypes)
+    schema = f"tile {kinds['tile']}, cell_x int, cell_y int, object {kinds['object']}, class_mark {kinds['class_mark']}"
+    hot, cold = hot_cold(boxes, ["tile"], hot_rows)
+    # Dealt by a hash of the tile, which no earlier step has dealt by: rows of a tile meet whatever the optimiser does there.
+    painted = cold.repartition(F.xxhash64("tile")).sortWithinPartitions("tile", "object").mapInArrow(painter(last + 1), schema)
+    if hot is None:
+        return painted
+    cells = hot.select("tile", F.explode(F.sequence("x0", "x1")).alias("cell_x"), "y0", "y1", "object", "class_mark")
+    cells = cells.withColumn("cell_y", F.explode(F.sequence("y0", "y1"))).groupBy("tile", "cell_x", "cell_y")
+    return painted.unionByName(cells.agg(F.max("object").alias("object"), F.max_by("class_mark", "object").alias("class_mark")))
