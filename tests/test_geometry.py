@@ -108,6 +108,27 @@ def test_names(spark):
     assert got["b"].slide == "I_4_S_5_" and got["c"].slide == "X_PAS" and got["c"].sample is None
 
 
+def test_corners_of_odd_outlines(spark):
+    """Against a plain loop: no outline, no vertex, vertices without a number, two jumps."""
+    draw = random.Random(5)
+    some = [0, 1, 2, 50, 98, 99, 100, 101, -1, None]
+    rings = [None, [], [None], [(0, 50)], [(None, 0), (0, None), (50, 0)]] + [[draw.choice([None, *[(draw.choice(some), draw.choice(some)) for _ in range(9)]]) for _ in range(draw.randint(1, 7))] for _ in range(300)]
+
+    def plain(ring):
+        edge = lambda c: None if c is None else 0 if 0 <= c / 100 <= 0.02 else 1 if 0.98 <= c / 100 <= 1 else None
+        sides = [(None, None) if p is None else (edge(p[0]), edge(p[1])) for p in ring]
+        for k, (p, q) in enumerate(zip(sides, sides[1:])):
+            if p[0] is not None and q[1] is not None:
+                return ring[: k + 1] + [(p[0] * 100, q[1] * 100)] + ring[k + 1 :]
+            if p[1] is not None and q[0] is not None:
+                return ring[: k + 1] + [(q[0] * 100, p[1] * 100)] + ring[k + 1 :]
+        return ring
+
+    df = spark.createDataFrame(list(enumerate(rings)), "n int, v array<struct<x:bigint,y:bigint>>")
+    got = {r.n: r.c and [p and tuple(p) for p in r.c] for r in df.select("n", g.with_corner(F.col("v"), 100, 100, 0.02).alias("c")).collect()}
+    assert got == {n: ring and plain(ring) for n, ring in enumerate(rings)}
+
+
 def test_painting_in_small_batches_and_of_hot_tiles(spark):
     """A tile over many batches, tiles above `hot_rows`, objects without a number or class: all as if painted one by one."""
     draw = random.Random(9)

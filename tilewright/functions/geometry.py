@@ -6,6 +6,9 @@ a projection: no explode, no re-grouping, and an object's vertices never meet an
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -158,38 +161,36 @@ def _halve(v: Column) -> Column:
 
 
 def with_corner(v: Column, tile_w: int, tile_h: int, eps: float = 0.005) -> Column:
-    """The first time the outline jumps from one tile border to a perpendicular one, add that corner."""
-
-    def border(share: Column) -> Column:
-        return F.when(share.between(0, eps), 0).when(share.between(1 - eps, 1), 1)
-
-    def edges(p: Column) -> Column:
-        return F.struct(border(p["x"] / tile_w).alias("x"), border(p["y"] / tile_h).alias("y"))
-
-    def at(x: Column, y: Column) -> Column:
-        return F.struct((x * tile_w).cast("bigint").alias("x"), (y * tile_h).cast("bigint").alias("y"))
-
-    def corner(p: Column, q: Column) -> Column:
-        return F.when(p["x"].isNotNull() & q["y"].isNotNull(), at(p["x"], q["y"])).when(
-            p["y"].isNotNull() & q["x"].isNotNull(), at(q["x"], p["y"])
-        )
-
-    def insert(u: Column, corners: Column) -> Column:
-        jump = F.array_position(F.transform(corners, lambda c: c.isNotNull()), True).cast("int")
-        return F.when(
-            jump > 0, F.concat(F.slice(u, 1, jump), F.slice(corners, jump, 1), F.slice(u, jump + 1, F.size(u)))
-        ).otherwise(u)
-
-    def bordered(u: Column) -> Column:
-        steps = lambda e: F.zip_with(F.slice(e, 1, F.greatest(F.size(e) - 1, F.lit(0))), F.slice(e, 2, F.size(e)), corner)
-        return let(let(F.transform(u, edges), steps), lambda corners: insert(u, corners))
-
-    def reaches(c: Column, size: int) -> Column:
-        return (F.array_min(c) <= eps * size) | (F.array_max(c) >= (1 - eps) * size)
-
-    whole = F.transform(v, lambda p: F.struct(p["x"].cast("bigint").alias("x"), p["y"].cast("bigint").alias("y")))
-    # Few outlines come near borders of both directions; the others stay as they are.
-    return let(whole, lambda u: F.when(reaches(u["x"], tile_w) & reaches(u["y"], tile_h), bordered(u)).otherwise(u))
+    """The first time the outline jumps from one tile border to a perpendicular one, add that corner.
+
+    Outlines are looked at in Arrow batches, all vertices at once.
+    """
+
+    def border(share: np.ndarray) -> np.ndarray:
+        """0 or 1, or -1 away from borders and without a number."""
+        return np.where((share >= 0) & (share <= eps), 0, np.where((share >= 1 - eps) & (share <= 1), 1, -1))
+
+    def insert(outlines: pa.Array) -> pa.Array:
+        n = outlines.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+        points = outlines.flatten()
+        row = np.repeat(np.arange(len(n)), n)
+        x, y = (pc.struct_field(points, c).cast("float64", safe=False).to_numpy(zero_copy_only=False) for c in ("x", "y"))
+        bx, by = border(x / tile_w), border(y / tile_h)
+        first, second = (bx[:-1] >= 0) & (by[1:] >= 0), (by[:-1] >= 0) & (bx[1:] >= 0)
+        jumps = np.flatnonzero((first | second) & (row[:-1] == row[1:]))
+        rows, place = np.unique(row[jumps], return_index=True)
+        p = jumps[place]
+        cx, cy = np.where(first[p], bx[p], bx[p + 1]) * tile_w, np.where(first[p], by[p + 1], by[p]) * tile_h
+        corners = pa.StructArray.from_arrays([pa.array(c.astype(np.int64)) for c in (cx, cy)], fields=list(points.type))
+        order = np.insert(np.arange(len(points)), p + 1, len(points) + np.arange(len(p)))
+        n[rows] += 1
+        ends = pa.array(np.append(0, np.cumsum(n)).astype(np.int32), mask=np.append(outlines.is_null().to_numpy(zero_copy_only=False), False))
+        return pa.ListArray.from_arrays(ends, pa.concat_arrays([points, corners]).take(pa.array(order)))
+
+    whole = "array<struct<x:bigint,y:bigint>>"
+    # Annotations are read when the function is made, so they are no strings here.
+    insert.__annotations__ = {"outlines": pa.Array, "return": pa.Array}
+    return F.arrow_udf(insert, whole)(v.cast(whole))
 
 
 def vertex_text(v: Column) -> Column:
