@@ -129,6 +129,28 @@ def test_corners_of_odd_outlines(spark):
     assert got == {n: ring and plain(ring) for n, ring in enumerate(rings)}
 
 
+def test_pieces_of_odd_outlines(spark):
+    """Outlines without vertices or numbers, regions below a tile, fractions and negative places, against a plain loop."""
+    draw = random.Random(7)
+    at = lambda: draw.choice([None, -70.5, -3, 0, 31.9, draw.uniform(-50, 400), draw.uniform(0, 300)])
+    rows = [(n, draw.choice([None, 50, 64, 100, 250, 300.5]), draw.choice([64, 200, None]), draw.choice([None, [], *[[draw.choice([None, (at(), at()), (at(), at())]) for _ in range(draw.randint(1, 9))] for _ in range(8)]])) for n in range(400)]
+    rows = [(n, w and float(w), h, v and [p and tuple(None if c is None else float(c) for c in p) for p in v]) for n, w, h, v in rows]
+    df = spark.createDataFrame(rows, "n int, w double, h int, vertices array<struct<x:double,y:double>>")
+    got = sorted((r.n, r.i, r.j, tuple(tuple(p) for p in r.vertices)) for r in tiling.tile_polygons(df.withColumn("h", F.col("h").cast("double")), 64, 32, F.col("w"), F.col("h")).collect())
+    want = []
+    for n, w, h, v in rows:
+        if not v or w is None or h is None:
+            continue
+        pull = lambda c, most: float(most - 1 if c is None else min(int(c), most - 1))
+        whole = [(pull(p and p[0], w), pull(p and p[1], h)) for p in v]
+        for j in range(max(int((w - 64) // 32) + 1, 0)):
+            for i in range(max(int((h - 64) // 32) + 1, 0)):
+                held = tuple((x - j * 32, y - i * 32) for x, y in whole if 0 <= x - j * 32 < 64 and 0 <= y - i * 32 < 64)
+                if held:
+                    want.append((n, i, j, held))
+    assert got == sorted(want)
+
+
 def test_painting_in_small_batches_and_of_hot_tiles(spark):
     """A tile over many batches, tiles above `hot_rows`, objects without a number or class: all as if painted one by one."""
     draw = random.Random(9)
