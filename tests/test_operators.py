@@ -162,3 +162,11 @@ def test_labelled_crops_with_finer_classes(spark):
     out = jobs.label_crops(p, t, 2048, fine)
     assert {(r["class"], r["count"]) for r in out.groupBy("class").count().collect()} == {(0, 20), (1, 20), (3, 20)}
     assert {r["count"] for r in out.filter("fold = 'test'").groupBy("class").count().collect()} == {4}
+
+
+def test_cells_grow_with_the_tile(spark):
+    """A box of an eighth of the tile lies in four cells of a tile of any size, one of a quarter in four of the larger cells."""
+    for tile in (2048, 4096):
+        box = spark.range(1).selectExpr("1 as tile", "1 as obj", "1 as pred", "0 as class", f"{tile // 16} as x0", f"{tile // 16} as y0", f"{tile // 8} as w", f"{tile // 8} as h")
+        plans = [f(box, box, tile)._jdf.queryExecution().optimizedPlan().toString() for f in (matching.match_predictions, matching.overlap_match)]
+        assert f"/ {tile // 8}.0" in plans[0] and f"/ {tile // 4}.0" in plans[1]
