@@ -1,5 +1,7 @@
 """Quirks and invariants on hand-made tables."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,8 +167,9 @@ def test_labelled_crops_with_finer_classes(spark):
 
 
 def test_cells_grow_with_the_tile(spark):
-    """A box of an eighth of the tile lies in four cells of a tile of any size, one of a quarter in four of the larger cells."""
+    """Boxes are filed on a grid of as many cells whatever the tile's size, where both sides are boxes on a coarser one."""
     for tile in (2048, 4096):
-        box = spark.range(1).selectExpr("1 as tile", "1 as obj", "1 as pred", "0 as class", f"{tile // 16} as x0", f"{tile // 16} as y0", f"{tile // 8} as w", f"{tile // 8} as h")
-        plans = [f(box, box, tile)._jdf.queryExecution().optimizedPlan().toString() for f in (matching.match_predictions, matching.overlap_match)]
-        assert f"/ {tile // 8}.0" in plans[0] and f"/ {tile // 4}.0" in plans[1]
+        box = spark.range(3).selectExpr("id as tile", "id as obj", "id as pred", "id as class", "id as x0", "id as y0", "id as w", "id as h")
+        plans = [f(box, box, tile)._jdf.queryExecution().analyzed().toString() for f in (matching.match_predictions, matching.overlap_match)]
+        for plan, cell in zip(plans, (tile // 8, tile // 4)):
+            assert set(re.findall(r"/ cast\((\d{3,}) as double\)|/ (\d{3,})\.0", plan)) in ({(str(cell), "")}, {("", str(cell))})
