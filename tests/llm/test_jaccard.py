@@ -1,3 +1,4 @@
+import os
 import random
 import re
 from collections import defaultdict
@@ -143,3 +144,19 @@ def test_components(spark):
 
 def test_no_rows(make_docs):
     assert jaccard.near_duplicates(make_docs([])).count() == 0
+
+
+def test_keys_are_off_the_disk_before_texts_are_compared(spark, make_docs, monkeypatch):
+    texts = [f"{' '.join(f'w{k * 7 + j}' for j in range(30))} {k % 3}" for k in range(20)] * 2
+    made, seen = [], []
+
+    def kept(df, name, _written=jaccard.written):
+        out = _written(df, name)
+        made.append((name, out.inputFiles()[0].rpartition("/")[0].removeprefix("file:")))
+        seen.append({n for n, path in made if os.path.exists(path)})
+        return out
+
+    monkeypatch.setattr(jaccard, "written", kept)
+    found = {r.doc_id: r.component_id for r in jaccard.near_duplicates(make_docs(texts)).collect()}
+    assert found == {d: c for d, c in enumerate([*range(20)] * 2)}
+    assert "keys" in seen[0] and seen[-1] == {"sets", "kept", "links"}

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tilewright.llm import text as tx
 from tilewright.llm.components import components
-from tilewright.llm.store import written
+from tilewright.llm.store import dropped, written
 
 WORDS = 5
 PERCENT = 75
@@ -221,19 +221,24 @@ def _groups(docs: DataFrame, members: DataFrame, key: str, text: str) -> DataFra
     return paired.withColumn("cell", cell).select((F.col("task") + F.col("cell")).alias("task"), "leader", "cell", "doc", "text")
 
 
-def jaccard_links(docs: DataFrame, known: DataFrame, words: int, percent: int, key: str, text: str) -> DataFrame:
-    """(a, b): links that connect all components among the sets of `known`."""
+def leaders(known: DataFrame) -> DataFrame:
+    """(doc, leader, keys): the groups that the keys bring each set of `known` into."""
     posts = known.filter("same_as = doc").select(F.explode("keys").alias("k"), "doc").repartition("k").sortWithinPartitions("k", "doc")
-    led = posts.mapInArrow(_led, "doc long, leader long, keys long").groupBy("doc", "leader").agg(F.sum("keys").alias("keys"))
-    led = written(led, "led")
+    return posts.mapInArrow(_led, "doc long, leader long, keys long").groupBy("doc", "leader").agg(F.sum("keys").alias("keys"))
+
+
+def jaccard_links(docs: DataFrame, known: DataFrame, led: DataFrame, words: int, percent: int, key: str, text: str) -> DataFrame:
+    """(a, b): links that connect all components among the sets of `known`. `led` is written, and dropped here."""
     own = led.groupBy("doc").agg(F.sum("keys").alias("all_keys")).join(known.filter("same_as = doc").select("doc", "n").distinct(), "doc")
     need = (1 + F.floor(F.ceil(F.col("n") * percent / 100) / 16)).cast("bigint")
     own = own.withColumn("need", need).filter("all_keys >= need").select("doc", "need")
-    led = written(led.join(own, "doc"), "members")
+    every, led = led, written(led.join(own, "doc"), "members")
+    dropped(every)
     size = led.groupBy("leader").agg(F.countDistinct("doc").alias("g"))
     ordered = Window.partitionBy("doc").orderBy(F.desc("g"), F.desc("leader"))
     kept = led.join(size, "leader").withColumn("passed", F.sum("keys").over(ordered)).filter("passed >= need")
     kept = written(kept.select("doc", "leader").distinct(), "kept")
+    dropped(led)
     size = kept.groupBy("leader").agg(F.count("*").alias("g")).filter("g > 1")
     tasks = max(1, kept.count() // GROUPS_PER_TASK)
     blocks = F.when(F.col("g") > BLOCK, F.ceil(2 * F.col("g") / BLOCK)).otherwise(1).cast("bigint")
@@ -268,8 +273,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     nothing; rows that repeat a key are one document as far as links go. Other columns are ignored; an empty
     table gives no rows.
     """
-    known = written(key_table(docs, words, percent, key, text), "keys")
-    links = written(jaccard_links(docs, known, words, percent, key, text), "links")
+    keyed = written(key_table(docs, words, percent, key, text), "keys")
+    led = written(leaders(keyed), "led")
+    # The keys, half as large as the texts, have brought the sets together; what follows needs the sets' sizes only.
+    known = written(keyed.select("doc", "same_as", "n"), "sets")
+    dropped(keyed)
+    links = written(jaccard_links(docs, known, led, words, percent, key, text), "links")
     copies = known.filter("same_as <> doc").select(F.col("doc").alias("a"), F.col("same_as").alias("b"))
     found = components(links.unionByName(copies))
     kind = docs.schema[key].dataType
