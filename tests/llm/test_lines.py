@@ -155,3 +155,25 @@ def test_a_text_longer_than_a_slice(spark, make_docs):
     assert (rows[0]["n_lines"], rows[0]["n_removed"]) == (12_000, 0)
     assert [tuple(x) for x in rows[1]["removed"]] == [(k, 0, 100 * k) for k in range(120)]
     assert [tuple(x) for x in rows[2]["removed"]] == [(0, 0, 5), (2, 0, 5)]
+
+
+def test_pairs_are_compared_together_as_each_by_itself():
+    texts = [b"a", b"abcdefgh", b"aaaaaaaaaaaaaaaaaaaa", "é€😀 words that are long enough".encode(), b"one line of words that is longer, 1", b"one line of words that is longer, 2"]
+    sets = lines._sets(texts, lines.SHINGLE)
+    assert [len(s) for s in sets[:3]] == [1, 1, 1] and all((s[1:] > s[:-1]).all() for s in sets)
+    pairs = [(i, j) for i in range(len(sets)) for j in range(len(sets))]
+    for percent in (1, 75, 93, 94, 100):
+        share = lambda a, b: 100 * len(set(a) & set(b)) >= percent * len(set(a) | set(b))
+        got = lines._alike_pairs([sets[k] for p in pairs for k in p], percent)
+        assert got.tolist() == [share(sets[i].tolist(), sets[j].tolist()) for i, j in pairs]
+
+
+def test_a_short_line_does_not_change_the_keys_of_others(monkeypatch):
+    rng = np.random.default_rng(1)
+    counts = np.array([60] * 500 + [1])
+    hashes = rng.integers(0, 2**64, counts.sum(), dtype=np.uint64)
+    rolled = []
+    monkeypatch.setattr(lines.np, "roll", lambda a, *x, _roll=np.roll, **y: rolled.append(len(a)) or _roll(a, *x, **y))
+    keys = lines.band_keys(hashes, counts)
+    assert np.array_equal(keys[:500], lines.band_keys(hashes[:-1], counts[:-1])) and np.array_equal(keys[500:], lines.band_keys(hashes[-1:], counts[-1:]))
+    assert rolled.count(1) >= 30  # the steps of the short line are its own

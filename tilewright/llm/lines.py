@@ -90,10 +90,14 @@ def band_keys(hashes: np.ndarray, counts: np.ndarray, bands: int = BANDS, rows:
     np.minimum.at(least, at, low)
     least = least.reshape(len(counts), bins)
     filled, step = least.copy(), 0
-    while (gap := filled == empty).any():
+    # Only signatures that still have empty bins go on: one line of a single shingle takes as many steps as there are bins.
+    open_ = np.flatnonzero((least == empty).any(axis=1))
+    while len(open_):
         step += 1
-        moved = np.roll(least, -step, axis=1)
-        filled = np.where(gap & (moved != empty), moved + np.uint64(step << 32), filled)
+        part, moved = filled[open_], np.roll(least[open_], -step, axis=1)
+        part = np.where((part == empty) & (moved != empty), moved + np.uint64(step << 32), part)
+        filled[open_] = part
+        open_ = open_[(part == empty).any(axis=1)]
     key = np.zeros((len(counts), bands), np.uint64)
     for r in range(rows):
         key = tx.mix(key ^ filled[:, r::rows][:, :bands])
@@ -216,13 +220,36 @@ def _sets(lines: list[bytes], k: int) -> list[np.ndarray]:
     edge = np.append(0, np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines))))
     points, before = _characters(raw)
     h, count = _shingles(points, before[edge[:-1]], before[edge[1:]], k)
-    return [np.unique(x) for x in np.split(h, np.cumsum(count)[:-1])]
+    at = _sorted_parts(h, count)
+    new = np.append(True, h[1:] != h[:-1])
+    new[at[:-1]] = True
+    at = np.append(0, np.cumsum(new))[at].tolist()
+    h = h[new]
+    return [h[a:b] for a, b in zip(at, at[1:])]
+
+
+def _sorted_parts(values: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Sorts each stretch of `count` values where it lies; the edges of the stretches."""
+    edge = np.append(0, np.cumsum(count))
+    ends = edge.tolist()
+    for a, b in zip(ends, ends[1:]):
+        values[a:b].sort()
+    return edge
 
 
 def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Exact Jaccard test of two sorted sets."""
-    both = np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a)
-    return bool(100 * both >= percent * (len(a) + len(b) - both))
+    return bool(_alike_pairs([a, b], percent)[0])
+
+
+def _alike_pairs(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """The same for sets 0 and 1, sets 2 and 3, ...: what a pair has in common stands twice among its sorted values."""
+    total = np.fromiter(map(len, sets), np.int64, len(sets)).reshape(-1, 2).sum(axis=1)
+    values = np.concatenate(sets)
+    edge = _sorted_parts(values, total)
+    twice = np.append(0, np.cumsum(values[1:] == values[:-1]))
+    both = twice[edge[1:] - 1] - twice[edge[:-1]]
+    return 100 * both >= percent * (total - both)
 
 
 def group_links(group: np.ndarray, own: np.ndarray, texts: list[bytes], percent: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -238,11 +265,13 @@ def group_links(group: np.ndarray, own: np.ndarray, texts: list[bytes], percent:
     if places:
         needed = np.unique(own[np.concatenate(places)])
         sets = dict(zip(needed.tolist(), _sets([texts[x] for x in needed], k)))
+        pairs = np.array([at for at in places if len(at) == 2], np.int64).reshape(-1, 2)
+        if len(pairs):
+            linked = pairs[_alike_pairs([sets[x] for x in own[pairs.ravel()].tolist()], percent)]
+            a.append(linked[:, 1])
+            b.append(linked[:, 0])
         for at in places:
             if len(at) == 2:
-                if _alike(sets[own[at[0]]], sets[own[at[1]]], percent):
-                    a.append(at[1:])
-                    b.append(at[:1])
                 continue
             distinct, lead, which = np.unique(own[at], return_index=True, return_inverse=True)
             root = lead[connect([sets[x] for x in distinct.tolist()], percent)][which]
