@@ -106,6 +106,23 @@ def test_search_in_a_group_without_pivots():
         assert (jaccard.connect(sets, 75, pivots) == want.roots()).all()
 
 
+def test_long_lists_are_probed_in_parts_or_merged(monkeypatch):
+    rng = random.Random(5)
+    words = [rng.getrandbits(60) for _ in range(500)]
+    sets = [np.unique(np.array([x for x in words[:40] + rng.sample(words, 5) if rng.random() > 0.05], np.uint64)) for _ in range(80)]
+    want = jaccard.Links(len(sets))
+    for i in range(len(sets)):
+        for j in range(i):
+            n = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * n >= 75 * (len(sets[i]) + len(sets[j]) - n):
+                want.join(i, j)
+    assert 1 < len(set(want.roots().tolist())) < len(sets)
+    for probes in (1, 100, 1 << 18):
+        monkeypatch.setattr(jaccard, "PROBES", probes)
+        for probe in (0, 1, 16, 1000):
+            assert (jaccard.connect(sets, 75, 0, probe) == want.roots()).all()
+
+
 def chain(name):
     """A text and its successive truncations to 80, 64 and 51 %: only neighbours link."""
     return [" ".join(f"{name}{i}" for i in range(n + 4)) for n in (100, 80, 64, 51)]

@@ -177,3 +177,75 @@ def test_a_short_line_does_not_change_the_keys_of_others(monkeypatch):
     keys = lines.band_keys(hashes, counts)
     assert np.array_equal(keys[:500], lines.band_keys(hashes[:-1], counts[:-1])) and np.array_equal(keys[500:], lines.band_keys(hashes[-1:], counts[-1:]))
     assert rolled.count(1) >= 30  # the steps of the short line are its own
+
+
+def test_smallest_node_of_each_text():
+    """Keys need not rise within a partition."""
+    seen = lines.Seen()
+    h = lambda *x: np.array(x, np.uint64)
+    assert seen.first(h(7, 8, 7), np.array([50, 60, 40])).tolist() == [40, 60, 40]
+    assert seen.first(h(8, 7, 9), np.array([10, 45, 70])).tolist() == [10, 40, 70]
+    assert seen.first(h(7, 8, 9), np.array([90, 90, 20])).tolist() == [40, 10, 20]
+    assert sum(len(x) for x, _ in seen.runs) == 3
+
+
+def test_copies_are_neither_compared_nor_joined_one_by_one(make_docs, monkeypatch):
+    rng = random.Random(3)
+    base = [" ".join(str(rng.randrange(10**6)) for _ in range(14)) for _ in range(5)]
+    texts = [f"{base[d % 5]}\n{base[(d + 1) % 5]}\nown {d}" for d in range(60)] + [b + "." for b in base]
+    taken, edges = {}, []
+    keep, join = lines.written, lines.components
+    monkeypatch.setattr(lines, "written", lambda df, name: taken.setdefault(name, keep(df, name)))
+    monkeypatch.setattr(lines, "components", lambda e: edges.append(e.count()) or join(e))
+    got = {r["doc_id"]: [tuple(x) for x in r["removed"] or []] for r in lines.dedup_lines(make_docs(texts, 4)).collect()}
+    _, gone = brute(list(enumerate(texts)))
+    assert got == {d: gone[d] for d in range(len(texts))}
+    assert {r["node"] for r in taken["line-led"].collect()} == {0, 1, *[(d << lines.LINE_BITS) + 1 for d in (1, 2, 3)], *[d << lines.LINE_BITS for d in range(60, 65)]}
+    assert edges[0] <= 5 * 3 + 5  # copies in other partitions, and the near copies
+
+
+def test_rows_that_repeat_a_key_with_other_texts(make_docs):
+    """The lines of such a row are copies by one text and near copies by another: both count."""
+    rng = random.Random(9)
+    a, b, c = (" ".join(str(rng.randrange(10**6)) for _ in range(14)) for _ in range(3))
+    rows = [(1, a), (9, b + "."), (5, a), (5, b), (5, c), (7, c + "!"), (3, "x"), (8, b)]
+    for parts in (1, 2, 8):
+        got = {(r["doc_id"], x["line"], x["kept_doc"]) for r in lines.dedup_lines(make_docs(rows, parts)).collect() for x in r["removed"] or []}
+        assert got == {(5, 0, 1), (7, 0, 1), (8, 0, 1), (9, 0, 1)}, parts
+
+
+def test_groups_of_any_size_keep_their_links():
+    """A chain of lines, of which only neighbours link, hidden among others; every group size has its own way."""
+    rng = random.Random(2)
+    text = "".join(chr(0x4E00 + i) for i in range(400))
+    steps = [text[:n] for n in (400, 320, 256, 205)]
+    for size in (2, 3, 4, 5, 12, 40):
+        alone = ["".join(chr(0x5000 + rng.randrange(9000)) for _ in range(90)) for _ in range(max(0, size - 4))]
+        texts = [*steps[:size], *alone]
+        order = rng.sample(range(len(texts)), len(texts))
+        own = np.array(order * 2 if size == 5 else order)
+        group = np.zeros(len(own), np.int64)
+        x, y = lines.group_links(group, own, [t.encode() for t in texts], lines.PERCENT, lines.SHINGLE)
+        links = jaccard.Links(len(texts))
+        for i, j in zip(own[x].tolist(), own[y].tolist()):
+            links.join(i, j)
+        assert links.roots().tolist() == [*[0] * min(size, 4), *range(4, len(texts))], size
+
+
+def test_pairs_are_tested_in_parts(monkeypatch):
+    monkeypatch.setattr(lines, "VALUES", 50)
+    rng = np.random.default_rng(7)
+    sets = [np.unique(rng.integers(0, 12, n)).astype(np.uint64) for n in rng.integers(1, 80, 60)]
+    want = [100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b)) for a, b in zip(sets[::2], sets[1::2])]
+    assert lines._alike_pairs(sets, 75).tolist() == want and 0 < sum(want) < len(want)
+
+
+def test_characters_are_counted_at_line_edges():
+    raw = np.frombuffer("aé€😀 ß\nplain".encode(), np.uint8)
+    points, inner = lines._characters(raw)
+    text = raw.tobytes().decode()
+    edges = np.array([len(text[:n].encode()) for n in range(len(text) + 1)])
+    assert points.tolist() == list(map(ord, text)) and lines._before(inner, edges).tolist() == list(range(len(text) + 1))
+    plain = np.frombuffer(b"abcdefghij", np.uint8)
+    one, other = lines._rolling(plain).grams(8), lines._rolling(plain.astype("<u4")).grams(8)
+    assert one.tolist() == other.tolist() == lines.tx.Rolling(lines.tx.mix(plain.astype(np.uint64) + np.uint64(1))).grams(8).tolist()

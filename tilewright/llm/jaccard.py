@@ -34,6 +34,7 @@ PERCENT = 75
 BLOCK = 2000
 GROUPS_PER_TASK = 500  # sets that a task of ordinary groups gets, about
 PIVOTS = 6
+PROBES = 1 << 18  # looked up at once
 
 
 def slice_sets(raw: np.ndarray, starts: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -157,8 +158,11 @@ def _pivot(flat: np.ndarray, offsets: np.ndarray, size: np.ndarray, pivot: int,
     return 100 * both >= percent * (size + len(own) - both)
 
 
-def connect(sets: list[np.ndarray], percent: int = PERCENT, pivots: int = PIVOTS) -> np.ndarray:
-    """For each set the first set of its component, components being those of all links within the group."""
+def connect(sets: list[np.ndarray], percent: int = PERCENT, pivots: int = PIVOTS, probe: int = 0) -> np.ndarray:
+    """For each set the first set of its component, components being those of all links within the group.
+
+    Where lists are merged in less time than it takes to probe them, at `probe` entries a probe, they are merged.
+    """
     size = np.array([len(s) for s in sets])
     flat, offsets = np.concatenate(sets), np.append(0, np.cumsum(size))
     links = Links(len(sets))
@@ -177,31 +181,40 @@ def connect(sets: list[np.ndarray], percent: int = PERCENT, pivots: int = PIVOTS
     rest = np.flatnonzero(rest)
     if not len(rest) or (root[rest] == root[rest[0]]).all():
         return root
-    # Inverted lists: the sets that hold each shingle, rising.
+    # Inverted lists: the sets that hold each shingle, rising. So the pairs of both, as one number each, rise too.
     holder = np.repeat(np.arange(len(sets)), size)
     order = np.argsort(flat, kind="stable")
-    shingle, first = np.unique(flat[order], return_index=True)
-    lists, edges = holder[order], np.append(first, len(flat))
+    lists = holder[order]
+    new = np.append(True, flat[order[1:]] != flat[order[:-1]])
+    edges = np.append(np.flatnonzero(new), len(flat))
+    rank = np.cumsum(new) - 1
+    held = rank * len(sets) + lists
+    place = np.empty(len(flat), np.int64)
+    place[order] = rank
+    length = np.diff(edges)
     largest = np.bincount(root[rest]).argmax()
-    for x in rest[root[rest] != largest]:  # a pair of different components has an end outside the largest
-        at = np.searchsorted(shingle, sets[x])
-        length = edges[at + 1] - edges[at]
+    for x in rest[root[rest] != largest].tolist():  # a pair of different components has an end outside the largest
+        at = place[offsets[x] : offsets[x + 1]]
         need = -(-int(size[x]) * percent // 100)
-        skip = min(need - 1, int(need / (0.01 * np.log2(length.max() + 1) + 1)))  # the number of long lists
-        by_length = np.argsort(length, kind="stable")
+        skip = min(need - 1, int(need / (0.01 * np.log2(length[at].max() + 1) + 1)))  # the number of long lists
+        if length[at].sum() <= probe * len(at):
+            skip = 0
+        by_length = np.argsort(length[at], kind="stable")
         short, long = at[by_length[: len(at) - skip]], at[by_length[len(at) - skip :]]
-        merged = np.bincount(lists[tx.spread(edges[short], edges[short + 1] - edges[short])], minlength=len(sets))
-        here = links.root(int(x))
+        merged = np.bincount(lists[tx.spread(edges[short], length[short])], minlength=len(sets))
+        here = links.root(x)
         found = [y for y in np.flatnonzero(merged >= max(1, need - skip)).tolist() if links.root(y) != here]
-        if not found:
-            continue
-        found = np.array(found)
-        both = merged[found]
-        for one in long:
-            held = lists[edges[one] : edges[one + 1]]
-            both = both + (held[np.minimum(np.searchsorted(held, found), len(held) - 1)] == found)
-        for y in found[100 * both >= percent * (size[x] + size[found] - both)]:
-            links.join(int(x), int(y))
+        if skip and found and length[long].sum() <= probe * skip * len(found):
+            merged, skip = merged + np.bincount(lists[tx.spread(edges[long], length[long])], minlength=len(sets)), 0
+        step = PROBES // skip + 1 if skip else len(found)
+        for lo in range(0, len(found), max(1, step)):
+            some = np.array(found[lo : lo + step])
+            both = merged[some]
+            if skip:
+                asked = long[:, None] * len(sets) + some
+                both = both + (held[np.minimum(np.searchsorted(held, asked), len(held) - 1)] == asked).sum(axis=0)
+            for y in some[100 * both >= percent * (size[x] + size[some] - both)].tolist():
+                links.join(x, y)
     return links.roots()
 
 

@@ -3,13 +3,14 @@
 1. Every line with a word (without the white space around it) is cut into character shingles; one shorter than a
    shingle is one shingle, so it is matched exactly. One hash per shingle goes into one of `bands * rows` bins;
    the bins' minima are the signature, empty bins borrow from the next one (one-permutation hashing). `rows`
-   minima make a band key. Lines that a task has seen before only point at their first occurrence.
+   minima make a band key. Lines that a task has seen before only point at the smallest of their text so far.
 2. Lines with a band key in common form a group led by the smallest; two lines of similarity s share a key with
    probability 1 - (1 - s**rows) ** bands, 0.9985 at s = 0.75 with the defaults, and more above.
-3. Each group's lines are compared exactly: their shingle sets, by T-occurrence search in one task per group; a
-   group above `BLOCK` lines is dealt over pairs of blocks.
-4. Verified links go to a distributed union-find; of each component the first line (smallest key, then line
-   number) stays.
+   Copies (by 64-bit hash) of a smaller line leave the groups, in which that line stands as well.
+3. Each group's lines are compared exactly: their shingle sets, pair by pair in groups of a few lines, else by
+   T-occurrence search, in one task per group; a group above `BLOCK` lines is dealt over pairs of blocks.
+4. Verified links and the copies across tasks go to a distributed union-find; of each component the first line
+   (smallest key, then line number) stays. Copies within a task follow the line they point at.
 
 With 8-character shingles that do not repeat and 75 percent, lines with one replaced inner character reach the
 similarity only from 63 characters on, (L - 15) / (L + 1) >= 0.75; with a replaced last character from 14 on,
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tilewright.llm import text as tx
 from tilewright.llm.components import components
-from tilewright.llm.jaccard import _led, connect
+from tilewright.llm.jaccard import PIVOTS, _led, connect
 from tilewright.llm.store import written
 
 SHINGLE = 8
@@ -42,6 +43,11 @@ LEAST = 1  # every line with a word
 BLOCK = 2000
 GROUPS_PER_TASK = 2000
 LINE_BITS = 24
+FEW = 4  # lines of a group whose pairs are all tested
+MANY = 16  # lines of a group in which bulk copies are looked for first
+PROBE = 16  # list entries that are merged in the time of one probe, about
+VALUES = 1 << 17  # of pairs, sorted at once
+_CODES = tx.mix(np.arange(1, (1 << 11) + 1, dtype=np.uint64))  # of the characters of one or two bytes
 
 
 def _trimmed(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -61,20 +67,37 @@ def _trimmed(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _characters(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(code points, number of characters before each byte)."""
-    points = np.frombuffer(raw.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), "<u4")
-    before = np.zeros(len(raw) + 1, np.int64)
-    np.cumsum((raw & 0xC0) != 0x80, out=before[1:])
-    return points, before
+    """(code points, places of the bytes that begin no character)."""
+    inner = np.flatnonzero((raw & 0xC0) == 0x80)
+    if not len(inner):
+        return raw, inner
+    return np.frombuffer(raw.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), "<u4"), inner
 
 
-def _shingles(points: np.ndarray, begin: np.ndarray, end: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, counts) of the k-character shingles of each line; a shorter line is one shingle."""
-    rolling = tx.Rolling(tx.mix(points.astype(np.uint64) + np.uint64(1)))
+def _before(inner: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The number of characters before each of these bytes."""
+    return at - np.searchsorted(inner, at)
+
+
+def _rolling(points: np.ndarray) -> tx.Rolling:
+    """Hashes of any stretch of characters."""
+    codes = _CODES.take(points, mode="clip")
+    if points.dtype != np.uint8:
+        rare = np.flatnonzero(points >= len(_CODES))
+        codes[rare] = tx.mix(points[rare].astype(np.uint64) + np.uint64(1))
+    return tx.Rolling(codes)
+
+
+def _shingles(rolling: tx.Rolling, begin: np.ndarray, end: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of the k-character shingles of each line; a shorter line is one shingle. Lines follow one another."""
     count = np.maximum(1, end - begin - k + 1)
-    at = tx.spread(begin, count)
     grams = rolling.grams(k)
-    out = grams[np.minimum(at, max(0, len(grams) - 1))] if len(grams) else np.zeros(len(at), np.uint64)
+    edge = np.zeros(len(rolling.sums), np.int8)
+    edge[begin] = 1
+    edge[begin + count] -= 1
+    inside = np.cumsum(edge[:-1], dtype=np.int8).view(bool)
+    # The last characters begin no shingle, but a line of fewer than k may begin there.
+    out = np.concatenate([grams[inside[: len(grams)]], np.zeros(np.count_nonzero(inside[len(grams) :]), np.uint64)])
     short = np.flatnonzero(end - begin < k)
     out[(np.cumsum(count) - count)[short]] = rolling(begin[short], end[short])
     return out, count
@@ -84,7 +107,11 @@ def band_keys(hashes: np.ndarray, counts: np.ndarray, bands: int = BANDS, rows:
     """(lines, bands) keys of the one-permutation signatures."""
     bins = bands * rows
     low = hashes & np.uint64(0xFFFFFFFF)
-    at = np.repeat(np.arange(len(counts)) * bins, counts) + ((hashes >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
+    at = hashes >> np.uint64(32)
+    at *= np.uint64(bins)
+    at >>= np.uint64(32)
+    at = at.view(np.int64)
+    at += np.repeat(np.arange(len(counts)) * bins, counts)
     empty = np.uint64(0xFFFFFFFFFFFFFFFF)
     least = np.full(len(counts) * bins, empty)
     np.minimum.at(least, at, low)
@@ -105,20 +132,21 @@ def band_keys(hashes: np.ndarray, counts: np.ndarray, bands: int = BANDS, rows:
 
 
 class Seen:
-    """The first occurrence of every hash met so far: sorted runs of 16 bytes a hash, merged as they grow."""
+    """The smallest node of every hash met so far: sorted runs of 16 bytes a hash, merged as they grow."""
 
     def __init__(self):
         self.runs: list[tuple[np.ndarray, np.ndarray]] = []
 
     def first(self, hashes: np.ndarray, node: np.ndarray) -> np.ndarray:
-        """The first node of each hash, here or in an earlier call."""
-        own, at, back = np.unique(hashes, return_index=True, return_inverse=True)
-        lead = node[at]
+        """The smallest node of each hash, here or in an earlier call."""
+        own, back = np.unique(hashes, return_inverse=True)
+        lead = np.full(len(own), np.iinfo(np.int64).max)
+        np.minimum.at(lead, back, node)
         fresh = np.ones(len(own), bool)
         for known, nodes in self.runs:
             place = np.minimum(np.searchsorted(known, own), len(known) - 1)
             met = known[place] == own
-            lead[met] = nodes[place[met]]
+            lead[met] = nodes[place[met]] = np.minimum(nodes[place[met]], lead[met])
             fresh &= ~met
         if fresh.any():
             self.runs.append((own[fresh], lead[fresh]))
@@ -130,9 +158,9 @@ class Seen:
 
 
 def line_table(docs: DataFrame, least: int, shingle: int, bands: int, rows: int, key: str, text: str) -> DataFrame:
-    """A row per document (line -1, with n_lines) and per line of `least` characters: its number, the number of
-    its first occurrence in the partition, and there its band keys."""
-    names = ["doc", "line", "node", "first", "n_lines", "keys"]
+    """A row per document (line -1, with n_lines) and per line of `least` characters: its number, the smallest
+    number that the partition has met its text with so far, the text's hash, and, for the smallest, its band keys."""
+    names = ["doc", "line", "node", "first", "hash", "n_lines", "keys"]
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Seen()
@@ -145,15 +173,18 @@ def line_table(docs: DataFrame, least: int, shingle: int, bands: int, rows: int,
                 n = len(starts) - 1
                 row, number, begin, end = _trimmed(raw, starts)
                 per_doc = np.bincount(row, minlength=n)
-                points, before = _characters(raw)
-                use = valid[at + row] & (before[end] - before[begin] >= least)
+                points, inner = _characters(raw)
+                rolling = _rolling(points)
+                begin, end = _before(inner, begin), _before(inner, end)
+                use = valid[at + row] & (end - begin >= least)
                 row, number, begin, end = row[use], number[use], begin[use], end[use]
                 if (number >= 1 << LINE_BITS).any():
                     raise ValueError("a text has too many lines")
                 node = (ids[at + row] << LINE_BITS) | number
-                first = seen.first(tx.Rolling(tx.byte_codes(raw))(begin, end), node)
+                mark = rolling(begin, end)
+                first = seen.first(mark, node)
                 fresh = first == node
-                h, count = _shingles(points, before[begin[fresh]], before[end[fresh]], shingle)
+                h, count = _shingles(rolling, begin[fresh], end[fresh], shingle)
                 keys = tx.signed(band_keys(h, count, bands, rows).ravel())
                 m = len(node)
                 columns = [
@@ -161,15 +192,23 @@ def line_table(docs: DataFrame, least: int, shingle: int, bands: int, rows: int,
                     pa.array(np.concatenate([np.full(n, -1), number]).astype(np.int64)),
                     pa.array(np.concatenate([np.zeros(n, np.int64), node])),
                     pa.array(np.concatenate([np.zeros(n, np.int64), first])),
+                    pa.array(np.concatenate([np.zeros(n, np.int64), np.where(fresh, tx.signed(mark), 0)])),
                     pa.array(np.concatenate([per_doc, np.zeros(m, np.int64)]).astype(np.int64)),
                     tx.lists(keys, np.concatenate([np.zeros(n, np.int64), np.where(fresh, bands, 0)]), pa.int64()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = "doc long, line long, node long, first long, n_lines long, keys array<long>"
+    schema = "doc long, line long, node long, first long, hash long, n_lines long, keys array<long>"
     return docs.select(F.col(key).cast("bigint"), text).mapInArrow(lines, schema)
 
 
+def line_twins(table: DataFrame) -> DataFrame:
+    """(a, b): of the lines with keys, those that some partition has with a smaller number, and the smallest."""
+    posts = table.filter("line >= 0 and node = first").select(F.col("hash").alias("k"), F.col("node").alias("doc"))
+    posts = posts.repartition("k").sortWithinPartitions("k", "doc")
+    return posts.mapInArrow(_led, "doc long, leader long, keys long").filter("doc <> leader").select(F.col("doc").alias("a"), F.col("leader").alias("b"))
+
+
 def _line_groups(docs: DataFrame, members: DataFrame, key: str, text: str) -> DataFrame:
     """(task, leader, cell, node, line): each member's text, once for each group or pair of blocks."""
     wanted = members.groupBy(F.shiftright("node", LINE_BITS).alias("doc")).agg(F.collect_list(F.struct("node", "leader", "task", "blocks")).alias("at"))
@@ -218,8 +257,9 @@ def _sets(lines: list[bytes], k: int) -> list[np.ndarray]:
     """The shingle set of each line."""
     raw = np.frombuffer(b"".join(lines), np.uint8)
     edge = np.append(0, np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines))))
-    points, before = _characters(raw)
-    h, count = _shingles(points, before[edge[:-1]], before[edge[1:]], k)
+    points, inner = _characters(raw)
+    edge = _before(inner, edge)
+    h, count = _shingles(_rolling(points), edge[:-1], edge[1:], k)
     at = _sorted_parts(h, count)
     new = np.append(True, h[1:] != h[:-1])
     new[at[:-1]] = True
@@ -244,12 +284,17 @@ def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def _alike_pairs(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """The same for sets 0 and 1, sets 2 and 3, ...: what a pair has in common stands twice among its sorted values."""
-    total = np.fromiter(map(len, sets), np.int64, len(sets)).reshape(-1, 2).sum(axis=1)
-    values = np.concatenate(sets)
-    edge = _sorted_parts(values, total)
-    twice = np.append(0, np.cumsum(values[1:] == values[:-1]))
-    both = twice[edge[1:] - 1] - twice[edge[:-1]]
-    return 100 * both >= percent * (total - both)
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets)).reshape(-1, 2).sum(axis=1)
+    ends, out, lo = np.cumsum(sizes), [], 0
+    while lo < len(sizes):  # parts of about `VALUES` numbers: the pairs of large sets are not copied all at once
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - sizes[lo] + VALUES, "right")))
+        values, total = np.concatenate(sets[2 * lo : 2 * hi]), sizes[lo:hi]
+        edge = _sorted_parts(values, total)
+        twice = np.append(0, np.cumsum(values[1:] == values[:-1]))
+        both = twice[edge[1:] - 1] - twice[edge[:-1]]
+        out.append(100 * both >= percent * (total - both))
+        lo = hi
+    return np.concatenate(out)
 
 
 def group_links(group: np.ndarray, own: np.ndarray, texts: list[bytes], percent: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -265,28 +310,31 @@ def group_links(group: np.ndarray, own: np.ndarray, texts: list[bytes], percent:
     if places:
         needed = np.unique(own[np.concatenate(places)])
         sets = dict(zip(needed.tolist(), _sets([texts[x] for x in needed], k)))
-        pairs = np.array([at for at in places if len(at) == 2], np.int64).reshape(-1, 2)
+        few = [at for at in places if len(at) <= FEW]
+        pairs = np.array([(x, y) for at in few for k, x in enumerate(at.tolist()) for y in at[k + 1 :].tolist()], np.int64).reshape(-1, 2)
         if len(pairs):
             linked = pairs[_alike_pairs([sets[x] for x in own[pairs.ravel()].tolist()], percent)]
             a.append(linked[:, 1])
             b.append(linked[:, 0])
         for at in places:
-            if len(at) == 2:
+            if len(at) <= FEW:
                 continue
             distinct, lead, which = np.unique(own[at], return_index=True, return_inverse=True)
-            root = lead[connect([sets[x] for x in distinct.tolist()], percent)][which]
+            pivots = PIVOTS if len(distinct) >= MANY else 1
+            root = lead[connect([sets[x] for x in distinct.tolist()], percent, pivots, PROBE)][which]
             apart = np.flatnonzero(root != np.arange(len(at)))
             a.append(at[apart])
             b.append(at[root[apart]])
     return np.concatenate(a), np.concatenate(b)
 
 
-def line_links(docs: DataFrame, table: DataFrame, percent: int, shingle: int, key: str, text: str) -> DataFrame:
-    """(a, b): verified links that connect the near-equal first occurrences."""
-    posts = table.filter("line >= 0 and size(keys) > 0").select(F.explode("keys").alias("k"), F.col("node").alias("doc"))
+def line_links(docs: DataFrame, table: DataFrame, copies: DataFrame, percent: int, shingle: int, key: str, text: str) -> DataFrame:
+    """(a, b): verified links that connect the near-equal lines with keys. `copies` (node) take no part: a line of the
+    same text and with a smaller number has the same keys, and so stands in the same groups."""
+    posts = table.filter("line >= 0 and node = first").select(F.explode("keys").alias("k"), F.col("node").alias("doc"))
     posts = posts.repartition("k").sortWithinPartitions("k", "doc")
-    led = posts.mapInArrow(_led, "doc long, leader long, keys long").select(F.col("doc").alias("node"), "leader").distinct()
-    led = written(led, "line-led")
+    led = posts.mapInArrow(_led, "doc long, leader long, keys long").select(F.col("doc").alias("node"), "leader")
+    led = written(led.repartition("node").distinct().join(copies, "node", "left_anti"), "line-led")
     size = led.groupBy("leader").agg(F.count("*").alias("g")).filter("g > 1")
     tasks = max(1, led.count() // GROUPS_PER_TASK)
     blocks = F.when(F.col("g") > BLOCK, F.ceil(2 * F.col("g") / BLOCK)).otherwise(1).cast("bigint")
@@ -317,9 +365,17 @@ def dedup_lines(
     Other columns are ignored; an empty table gives no rows.
     """
     table = written(line_table(docs, least, shingle, bands, rows, key, text), "lines")
-    links = written(line_links(docs, table, percent, shingle, key, text), "line-links")
+    doc = F.shiftright("a", LINE_BITS).alias("doc")
+    again = written(table.filter("line = -1 and doc is not null").groupBy("doc").count().filter("count > 1").select("doc"), "line-again")
+    twins = written(line_twins(table), "line-twins")
+    # A line of a key that comes in one row has one text: as a copy it needs no comparison, and nothing but a smaller line of its text.
+    alone = twins.join(again, doc == F.col("doc"), "left_anti").select(F.col("a").alias("node"))
+    links = written(line_links(docs, table, alone, percent, shingle, key, text), "line-links")
     copies = table.filter("line >= 0 and node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    found = components(links.unionByName(copies)).filter("node <> component")
+    several = copies.join(again, doc == F.col("doc"), "left_semi")
+    found = written(components(links.unionByName(twins).unionByName(several)), "line-found")
+    one = copies.join(again, doc == F.col("doc"), "left_anti").join(found.withColumnRenamed("node", "b"), "b", "left")
+    found = found.filter("node <> component").unionByName(one.select(F.col("a").alias("node"), F.coalesce("component", "b").alias("component")))
     number = lambda c: F.col(c).bitwiseAND((1 << LINE_BITS) - 1)
     gone = found.select(
         F.shiftright("node", LINE_BITS).alias("doc"),

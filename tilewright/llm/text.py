@@ -15,18 +15,25 @@ SLICE_BYTES = 512 << 10
 
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
 
+_MIXED = 1 << 14
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A one-to-one scrambling of 64-bit numbers (the splitmix finaliser)."""
-    x = x.astype(np.uint64, copy=True)
-    x ^= x >> np.uint64(30)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
-    x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
+    x = x.astype(np.uint64, order="C", copy=True)
+    flat = x.reshape(-1)
+    spare = np.empty(min(len(flat), _MIXED), np.uint64)
+    for lo in range(0, len(flat), _MIXED):  # parts that stay in the processor's cache
+        part = flat[lo : lo + _MIXED]
+        shifted = spare[: len(part)]
+        part ^= np.right_shift(part, np.uint64(30), out=shifted)
+        part *= np.uint64(0xBF58476D1CE4E5B9)
+        part ^= np.right_shift(part, np.uint64(27), out=shifted)
+        part *= np.uint64(0x94D049BB133111EB)
+        part ^= np.right_shift(part, np.uint64(31), out=shifted)
     return x
 
 
