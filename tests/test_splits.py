@@ -1,13 +1,16 @@
 """Annotation files cut at any byte: the same objects as from whole files."""
 
+import glob
 import json
 import os
 import random
+import time
 
 import pytest
 from pyspark.errors import PySparkException
 
 from tilewright.plans import q_sources
+from tilewright.session import shared_root, stored
 from tilewright.sources import annotations, splits
 
 
@@ -120,3 +123,55 @@ def test_collections_of_the_query_are_one_file_each(spark, sf):
     finally:
         for k, value in before.items():
             spark.conf.unset(k) if value is None else spark.conf.set(k, value)
+
+
+def kept(spark):
+    """(folders, bytes) of the intermediate tables there are."""
+    root = shared_root(spark).removeprefix("file:")
+    files = [f for f in glob.glob(f"{root}/**", recursive=True) if os.path.isfile(f)]
+    return set(glob.glob(f"{root}/*")), sum(map(os.path.getsize, files))
+
+
+def test_texts_of_large_files_are_not_kept(spark, tmp_path):
+    """6 MB on splits of 1 MB: only what stands at the ends of the splits is written, and the texts are not shuffled."""
+    draw = random.Random(4)
+    one = lambda: {"geometry": {"coordinates": [[[draw.randrange(10**6), draw.randrange(10**6)] for _ in range(100)]]}, "properties": {"classification": {"name": "G"}}}
+    features = [one() for _ in range(4_000)]
+    put(f"{tmp_path}/large.json", json.dumps({"features": features}))
+    before, conf = kept(spark)[1], "spark.sql.files.maxPartitionBytes"
+    usual = spark.conf.get(conf)
+    spark.conf.set(conf, str(1 << 20))
+    try:
+        found = splits.listed_objects(spark, f"{tmp_path}/large.json")
+        texts = {r.n: json.loads(r.text) for r in found.collect()}
+    finally:
+        spark.conf.set(conf, usual)
+    assert texts == dict(enumerate(features))
+    assert kept(spark)[1] - before < os.path.getsize(f"{tmp_path}/large.json") / 20
+
+
+def test_escapes_and_quotes_at_the_ends_of_splits(spark, tmp_path, small_splits):
+    """Backslashes in runs, quotes and brackets in names, beside names that cut a split in a string."""
+    names = ["\\" * k + '"{[' * (k % 3) + "]}" * (k % 2) + "x" * (k * 7 % 90) for k in range(60)]
+    put(f"{tmp_path}/s.json", json.dumps([{"geometry": {"coordinates": [[[1, 2], [3, 4], [5, k]]]}, "properties": {"classification": {"name": n}}} for k, n in enumerate(names)]))
+    got = annotations.annotation_objects(spark, str(tmp_path), split=True).collect()
+    assert {r.obj: r.class_name for r in got} == dict(enumerate(names)) and len(got) == 60
+
+
+def test_collections_of_the_query_go_once_they_are_read(spark, sf):
+    before = kept(spark)[0]
+    found = q_sources.s3_split_files(spark, sf)
+    assert not [f for f in kept(spark)[0] - before if os.path.basename(f).startswith("collections")]
+    assert found.count() == spark.read.parquet(f"{sf}/lineitem.parquet").count()
+
+
+def test_shuffle_files_of_a_stored_table_go(spark):
+    """And the setting that was there stays."""
+    name, store = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", spark._jvm.org.apache.spark.SparkEnv.get().blockManager()
+    shuffles = lambda: store.diskBlockManager().getAllFiles().size()
+    usual, before = spark.conf.get(name, None), shuffles()
+    table = stored(spark.range(1000).repartition(16, "id").groupBy("id").count(), "counts")
+    deadline = time.time() + 20
+    while shuffles() > before and time.time() < deadline:
+        time.sleep(0.2)
+    assert shuffles() <= before and table.count() == 1000 and spark.conf.get(name, None) == usual
