@@ -1,15 +1,18 @@
 """Saved feature vectors, and classes by the colour of a painted mask."""
 
 import io
+import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tilewright.functions.classes import colour_class
 from tilewright.operators import raster
+from tilewright.plans import q_rows
 from tilewright.sources import features
 
 
@@ -83,3 +86,44 @@ def test_colour_at_the_mean_of_the_vertices(spark):
             colour = masks[t][y][x] if 0 <= x < 40 and 0 <= y < 12 else None
         assert got[k] == ({(0, 255, 0): 0, (255, 0, 0): 1, (0, 0, 255): 2}.get(colour), colour is None), (k, ring)
     assert len(got) == len(objects)
+
+
+def test_cells_are_joined_before_they_meet_by_row(spark):
+    """Rows of cells that batches and tasks cut anywhere, in any order; null is a mark and a key like any other."""
+    draw = random.Random(3)
+    cells = [(t, x, y, draw.choice([0, 0, 0, 255, None])) for t in (None, 1, 2, 3) for y in range(9) for x in range(40) if draw.random() < 0.9]
+    want = []
+    for t, y in itertools.product((None, 1, 2, 3), range(9)):
+        for x, m in sorted(((c[1], c[3]) for c in cells if c[0] == t and c[2] == y), key=lambda c: c[0]):
+            if want and want[-1][:2] == [t, y] and want[-1][3:] == [x - 1, m]:
+                want[-1][3] = x
+            else:
+                want.append([t, y, x, x, m])
+    key = lambda r: (r[0] or 0, *r[1:3])
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(conf)
+    try:
+        for n, tasks, shuffled in ((7, 3, True), (10_000, 1, False)):
+            draw.shuffle(cells) if shuffled else cells.sort(key=lambda c: (c[0] or 0, *c[1:3]))
+            spark.conf.set(conf, str(n))
+            df = spark.createDataFrame(cells, "tile int, cell_x int, cell_y int, m int")
+            runs = raster.run_rows(df.repartition(tasks) if shuffled else df.coalesce(1), ["m"])
+            assert [list(r) for r in sorted(runs.collect(), key=key)] == sorted(want, key=key)
+    finally:
+        spark.conf.set(conf, before)
+    made = list(raster.joiner(1)([pa.RecordBatch.from_pydict({"tile": [4] * 64, "cell_y": [k % 2 for k in range(64)], "from_x": [k // 2 for k in range(64)], "to_x": [k // 2 for k in range(64)], "m": [1] * 64})]))
+    assert [r for b in made for r in b.to_pylist()] == [{"tile": 4, "cell_y": y, "from_x": 0, "to_x": 31, "m": 1} for y in (0, 1)]
+
+
+def test_mask_query_shuffles_runs_and_not_cells(spark, sf):
+    """No stage of the query that writes the mask sends a row for each painted cell."""
+    plans, kept = [], raster.run_rows
+    try:
+        raster.run_rows = lambda *given: plans.append(kept(*given)) or plans[-1]
+        found = q_rows.p18_at_mean(spark, sf)
+    finally:
+        raster.run_rows = kept
+    plan = plans[0]._jdf.queryExecution().executedPlan().toString()
+    before_rows_meet = plan[plan.index("Window") :]
+    assert before_rows_meet.index("Exchange hashpartitioning") < before_rows_meet.index("MapInArrow") < before_rows_meet.rindex("MapInArrow")
+    assert found.count() > 0

@@ -13,14 +13,52 @@ from tilewright.functions import geometry as g
 
 
 def run_rows(cells: DataFrame, marks: list[str], key: str = "tile", x: str = "cell_x", y: str = "cell_y") -> DataFrame:
-    """(key, y, from_x, to_x, marks): neighbouring cells of a row with equal marks become one run. A cell occurs once."""
-    line = Window.partitionBy(key, y).orderBy(x)
+    """(key, y, from_x, to_x, marks): neighbouring cells of a row with equal marks become one run. A cell occurs once.
+
+    Cells that lie together, as `tiling.rasterise` leaves them, are joined to runs before these meet by row.
+    """
+    names = [key, y, "from_x", "to_x", *marks]
+    pieces = cells.select(F.col(key), F.col(y), F.col(x).alias("from_x"), F.col(x).alias("to_x"), *marks)
+    pieces = pieces.mapInArrow(joiner(len(marks)), pieces.schema)
+    line = Window.partitionBy(key, y).orderBy("from_x")
     alike = F.lit(True)
     for c in marks:
         alike = alike & F.lag(c).over(line).eqNullSafe(F.col(c))
-    new = F.when(alike & (F.lag(x).over(line) + 1 == F.col(x)), 0).otherwise(1)
-    runs = cells.withColumn("_new", new).withColumn("_run", F.sum("_new").over(line))
-    return runs.groupBy(key, y, "_run").agg(F.min(x).alias("from_x"), F.max(x).alias("to_x"), *[F.first(c).alias(c) for c in marks]).drop("_run")
+    new = F.when(alike & (F.lag("to_x").over(line) + 1 == F.col("from_x")), 0).otherwise(1)
+    runs = pieces.withColumn("_new", new).withColumn("_run", F.sum("_new").over(line))
+    return runs.groupBy(key, y, "_run").agg(F.min("from_x").alias("from_x"), F.max("to_x").alias("to_x"), *[F.first(c).alias(c) for c in marks]).select(names)
+
+
+def _codes(column: pa.Array) -> np.ndarray:
+    """Equal numbers for equal values, null among them; of nested values all are told apart."""
+    if pa.types.is_nested(column.type):
+        return np.arange(len(column))
+    return column.dictionary_encode(null_encoding="encode").indices.to_numpy().astype(np.int64)
+
+
+def joiner(n_marks: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For `mapInArrow`: cells (key, y, from_x, to_x, marks) to the runs that they make within their batch, if places are whole numbers."""
+
+    def runs(batch: pa.RecordBatch) -> pa.RecordBatch:
+        line, x = [_codes(batch.column(k)) for k in (0, 1)], batch.column(2)
+        # Without a place a cell is a run of its own.
+        known, x = x.is_valid().to_numpy(zero_copy_only=False), x.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.lexsort((x, ~known, line[1], line[0]))
+        same = lambda v: v[order][1:] == v[order][:-1]
+        joined = (np.diff(x[order]) == 1) & known[order][1:] & known[order][:-1]
+        for v in [*line, *[_codes(batch.column(4 + k)) for k in range(n_marks)]]:
+            joined &= same(v)
+        first = order[np.append(True, ~joined)]
+        last = order[np.append(~joined, True)]
+        at = lambda k, rows: batch.column(k).take(pa.array(rows))
+        return pa.RecordBatch.from_arrays([at(0, first), at(1, first), at(2, first), at(3, last), *[at(4 + k, first) for k in range(n_marks)]], schema=batch.schema)
+
+    def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield runs(batch) if pa.types.is_integer(batch.column(2).type) else batch
+
+    return join
 
 
 def marks_at(points: DataFrame, runs: DataFrame, px: Column, py: Column, marks: list[str], key: str = "tile", y: str = "cell_y", cell: int = 1) -> DataFrame:

@@ -15,6 +15,7 @@ from tilewright.operators.runs import training_status
 from tilewright.plans import views as v
 from tilewright.plans.jobs import unmapped_classes
 from tilewright.plans.registry import query
+from tilewright.session import stored
 
 XYWH = ("x0", "y0", "w", "h")
 
@@ -320,14 +321,18 @@ def p18(spark, d):
                and px // 64 between b.x0 // 64 and (b.x0 + b.w) // 64 and py // 64 between b.y0 // 64 and (b.y0 + b.h) // 64 group by all)
     select p.tile, p.pred, m.class::int as class, m.class is null as background from p left join m on m.tile = p.tile and m.pred = p.pred""")
 def p18_at_mean(spark, d):
-    """Predictions as outlines on a mask of painted boxes: the class is that of the colour at the vertices' mean."""
-    cells = tiling.rasterise(v.boxes(spark, d).select("tile", "obj", "class", "x0", "y0", "w", "h"), 64, v.TILE)
+    """Predictions as outlines on a mask of painted boxes: the class is that of the colour at the vertices' mean.
+
+    Boxes and mask are written, which takes less than the shuffles that make them.
+    """
+    own = stored(v.boxes(spark, d).select("tile", "slide", "obj", "class", "x0", "y0", "w", "h"), "boxes")
+    cells = tiling.rasterise(own.select("tile", "obj", "class", "x0", "y0", "w", "h"), 64, v.TILE)
     part = lambda k: F.when(F.col("class_mark") == k + 1, 255).otherwise(0)
-    mask = raster.run_rows(cells.select("tile", "cell_x", "cell_y", part(1).alias("r"), part(0).alias("g"), part(2).alias("b")), ["r", "g", "b"])
+    mask = stored(raster.run_rows(cells.select("tile", "cell_x", "cell_y", part(1).alias("r"), part(0).alias("g"), part(2).alias("b")), ["r", "g", "b"]), "mask")
     x1, y1 = F.col("x0") + F.col("w"), F.col("y0") + F.col("h")
     corner = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
     outline = F.array(corner(F.col("x0"), F.col("y0")), corner(x1, F.col("y0")), corner(x1, y1), corner(F.col("x0"), y1))
-    marked = raster.marks_at_mean(v.preds(spark, d).select("tile", "pred", outline.alias("vertices")), mask, ["r", "g", "b"], cell=64)
+    marked = raster.marks_at_mean(v.preds_of(own).select("tile", "pred", outline.alias("vertices")), mask, ["r", "g", "b"], cell=64)
     known = marked.select("tile", "pred", cl.colour_class(*cols("r", "g", "b")).alias("class"))
     return known.withColumn("background", F.col("class").isNull())
 
