@@ -5,6 +5,8 @@ import os
 
 from pyspark.sql import functions as F
 
+from tilewright.plans import q_models
+from tilewright.plans import views as v
 from tilewright.sources import annotations, files, listing
 from tilewright.streaming import labels as label_stream
 from tilewright.streaming import runs as run_stream
@@ -202,3 +204,18 @@ def test_state_is_kept_for_a_time_only(spark, tmp_path):
         put(f"{src}/{k}/a.txt", "x\ny")
         label_stream.ingest(label_stream.label_files(spark, src), "value", "name", out, state, within="0 seconds")
     assert label_stream.ingested(spark, out).count() == 6
+
+
+def test_documents_of_the_flow_are_small_and_whole(spark, sf, monkeypatch):
+    """Each slide's objects in order, in files of less than a quarter of the texts."""
+    paths, write = [], annotations.write_annotation_lines
+    monkeypatch.setattr(annotations, "write_annotation_lines", lambda df, path, *given: paths.append(path) or write(df, path, *given))
+    q_models.flow_tile_dataset(spark, sf)
+    documents = {r.slide: r.text for r in annotations.annotation_lines(spark, paths[0]).collect()}
+    one = annotations.annotation_text(F.col("vertices"), q_models.class_text())
+    want = {}
+    for r in v.objects(spark, sf).select("slide", "tile", "obj", one.alias("feature")).orderBy("slide", "tile", "obj").collect():
+        want.setdefault(str(r.slide), []).append(r.feature)
+    assert documents == {k: '{"type":"FeatureCollection","features":[' + ",".join(f) + "]}" for k, f in want.items()}
+    path = paths[0].removeprefix("file:")
+    assert sum(os.path.getsize(f"{path}/{f}") for f in os.listdir(path)) < sum(map(len, documents.values())) / 4
